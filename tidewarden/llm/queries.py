@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, packing, simhash, warc
+from . import chat, decontaminate, embeddings, packing, quality, simhash, toxicity, warc
 from .shared import cut, new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(path))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -105,9 +113,11 @@ FROM embeddings JOIN reach ON node = vec_id LEFT JOIN degree ON a = vec_id
 """
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op10_embeddings": op10_embeddings,
