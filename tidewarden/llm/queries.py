@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, packing, quality, simhash, toxicity, warc
+from . import chat, decontaminate, embeddings, packing, quality, repeats, simhash, toxicity, warc
 from .shared import cut, new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -120,6 +124,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_repeats": op9_repeats,
     "op10_embeddings": op10_embeddings,
 }
 
