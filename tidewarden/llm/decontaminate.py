@@ -118,3 +118,9 @@ def contamination(docs: DataFrame, items: DataFrame, containment: float = CONTAI
         .join(candidates, ["doc_id", "item_id"], "left_semi")
         .select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", share.alias("containment"))
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` that hold no item; rows without a doc_id stay."""
+    bad = cut(contamination(docs, items, containment).select("doc_id").distinct())
+    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)

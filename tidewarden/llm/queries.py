@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, packing, quality, repeats, simhash, toxicity, warc
+from . import chat, decontaminate, embeddings, packing, pii, quality, repeats, simhash, toxicity, warc
 from .shared import cut, new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark.read.parquet(path))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
@@ -117,6 +128,7 @@ FROM embeddings JOIN reach ON node = vec_id LEFT JOIN degree ON a = vec_id
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
@@ -126,6 +138,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_embeddings": op10_embeddings,
+    "pipeline": pipeline,
 }
 
 ORACLES = {"op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op10_embeddings": OP10_SQL}

@@ -167,3 +167,15 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     groups = cut(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their near-duplicate group.
+
+    Where rows share a doc_id, one of them stays; rows without a doc_id all stay.
+    """
+    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
+    return named.join(cut(kept), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -228,32 +228,51 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
     return weights, math.log((missed + len(left) + 0.5) / (n0 + 0.5))
 
 
-def score(docs: DataFrame, model: CharModel, weights: dict[str, float], base: float) -> DataFrame:
+class Scorer:
+    """Scores texts with a lexicon; remembers what it found in tokens."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float], base: float):
+        self.model, self.weights, self.base, self.memo = model, weights, base, {}
+
+    def entries(self, token: str) -> tuple[str, ...]:
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        found = tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
+        self.memo[token] = found
+        return found
+
+    def __call__(self, text: str | None) -> tuple[float, int]:
+        """The probability that a text is toxic, and the lexicon entries it holds."""
+        tokens, memo = text_tokens(text or ""), self.memo
+        found = {f for t in tokens for f in (memo[t] if t in memo else self.entries(t))}
+        total = self.base + sum(self.weights[f] for f in found)
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
+
+
+def score(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) -> DataFrame:
     """``(doc_id, score, n_hits)`` for each row of ``docs``; null texts count as empty."""
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Memo(dict):
-            """The lexicon entries that a token holds."""
+        scorer = Scorer(*fitted)
+        for batch in batches:
+            made = [scorer(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int64())], schema=arrow)
 
-            def __missing__(self, token: str) -> tuple[str, ...]:
-                if len(self) >= MEMO:
-                    self.clear()
-                found = tuple(f for f in word_features(token_words(token, model)) if f in weights)
-                self[token] = found
-                return found
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_hits long")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    fitted = fit(docs, labels, sample_rows)
+    place = docs.columns.index("text")
 
-        memo = Memo()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*fitted)
         for batch in batches:
-            scores, hits = [], []
-            for text in batch.column(1):
-                found = {f for token in text_tokens(text.as_py() or "") for f in memo[token]}
-                total = base + sum(weights[f] for f in found)
-                scores.append(1 / (1 + math.exp(-max(-50.0, min(50.0, total)))))
-                hits.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], schema=arrow)
+            yield batch.filter(pa.array([scorer(t.as_py())[0] < THRESHOLD for t in batch.column(place)], pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_hits long")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[CharModel, dict[str, float], float]:
@@ -270,7 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     the score of a text without entries; a null doc_id is never held out.  Without
     labelled rows every score is one half or less.
     """
-    scored = score(docs, *fit(docs, labels, sample_rows))
+    scored = score(docs, fit(docs, labels, sample_rows))
     return scored.select(
         "doc_id", F.coalesce(in_fold(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits",
