@@ -15,6 +15,7 @@ import operator
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from .shared import cut
 CAPACITY = 2048
 #: Pieces that one packing task holds.
 TASK_PIECES = 65_536
-#: Chunks of text whose ids a tokenizing task keeps; beyond it the memo starts anew.
-MEMO = 600_000
+#: Words and chunks of text whose ids a worker keeps; beyond it a memo starts anew.
+WORDS, CHUNKS = 1_000_000, 500_000
 #: Texts that are split and looked up together.
 GROUP = 500
 #: A chunk that is one word of Latin letters, with marks after it: two pieces at least
@@ -72,7 +73,7 @@ class Memo:
 
     def prepare(self, texts: list[list[str]]) -> None:
         new = set().union(*texts) - self.chunks.keys()
-        if len(self.chunks) + len(new) > MEMO:
+        if len(self.chunks) + len(new) > CHUNKS:
             self.chunks, new = {}, set().union(*texts)
         own, core, mark, plain = [], [], [], WORD.fullmatch
         for c in new:
@@ -83,7 +84,7 @@ class Memo:
             else:
                 self.chunks[c] = self.encode(c)
         wanted = set(core)
-        if len(self.words) + len(wanted) > MEMO:
+        if len(self.words) + len(wanted) > WORDS:
             self.words = {"": b""}
         self.learn(list(wanted - self.words.keys()))
         for x in set(mark) - self.words.keys():
@@ -92,6 +93,14 @@ class Memo:
         self.chunks.update(zip(own, map(operator.add, map(ids, core), map(ids, mark))))
 
 
+@lru_cache(1)
+def memo_of(tokenizer_path: str) -> Memo:
+    """The memo of a Python worker, which goes on from task to task."""
+    from tokenizers import Tokenizer
+
+    return Memo(Tokenizer.from_file(tokenizer_path))
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece of each document's token ids.
 
@@ -106,12 +115,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kee
     arrow = pa.schema(list(zip(names, types))[: 5 + keep_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         gc.disable()  # the memo makes no cycles, and passes over it cost a third of the time
-        tokenizer = Tokenizer.from_file(tokenizer_path)
 
-        memo = Memo(tokenizer)
+        memo = memo_of(tokenizer_path)
         size = 4 * capacity
         for batch in batches:
             rows = [[] for _ in arrow.names]
