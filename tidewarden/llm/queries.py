@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, packing, pii, quality, repeats, simhash, toxicity, warc
-from .shared import cut, new_path
+from .shared import new_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.plan_captures(table(spark, sf_dir, "pages")), path)
-    return warc.capture_digests(warc.assemble(cut(warc.read_records(spark, path))))
+    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

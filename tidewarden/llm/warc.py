@@ -11,6 +11,7 @@ both work on any file system that Spark knows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -75,7 +76,7 @@ def plan_captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(captures: DataFrame, path: str) -> None:
-    """Write three records per capture below ``path``, in files of about 16 MB.
+    """Write three records per capture below ``path``, in gzip files of about 16 MB of payload.
 
     A file is closed after as many captures as make up ``FILE_BYTES`` at their mean
     size.  Rows that repeat a page_id, url and payload are the same capture, written
@@ -103,7 +104,7 @@ def write_archives(captures: DataFrame, path: str) -> None:
     )
     sized = captures.agg(F.avg("payload_bytes")).first()[0] or 0
     per_file = max(1, int(FILE_BYTES // (sized + 2000))) * 3
-    captures.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
+    captures.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,7 +145,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for fields, block in parse_records(content.as_py()):
+                raw = content.as_py()
+                for fields, block in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     kind, body, size, digest = fields.get("warc-type"), None, None, None
                     if kind in ("response", "revisit"):
                         head, _, rest = block.partition(b"\r\n\r\n")
