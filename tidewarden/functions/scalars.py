@@ -13,7 +13,8 @@ def _map(values: dict[str, str]) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """The number moved into 0 to 1; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def finite(x: Column) -> Column:

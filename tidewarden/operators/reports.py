@@ -138,7 +138,7 @@ def alerts_chronological(alerts: DataFrame) -> DataFrame:
 
 def confusion_matrix(rows: DataFrame, label: str, prediction: str, classes: list) -> DataFrame:
     """A row per label with the count of each prediction."""
-    return rows.groupBy(label).pivot(prediction, classes).agg(F.count("*")).fillna(0)
+    return rows.groupBy(label).pivot(prediction, classes).agg(F.count(F.lit(1))).fillna(0)
 
 
 def classification_report(rows: DataFrame, label: str, prediction: str) -> DataFrame:
