@@ -127,7 +127,7 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + length
 
 
-RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, url string, declared_digest string, http_bytes long, payload binary, digest string, fields string"
+RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, url string, declared_digest string, http_bytes long, payload binary, payload_bytes long, digest string, fields string"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +138,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     read whole by one task, so files should stay far below memory.
     """
     names = [c.split()[0] for c in RECORDS.split(", ")]
-    kinds = {"http_bytes": pa.int64(), "payload": pa.binary()}
+    kinds = {"http_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
     arrow = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                             body, digest = rest, base64.b32encode(hashlib.sha1(rest).digest()).decode()
                     declared = fields.get("warc-payload-digest")
                     text = block.decode("utf-8", "replace") if kind == "metadata" else None
-                    rows.append((kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), declared and declared.removeprefix("sha1:"), size, body, digest, text))
+                    rows.append((kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), declared and declared.removeprefix("sha1:"), size, body, None if body is None else len(body), digest, text))
                     held += len(block)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
@@ -177,7 +177,7 @@ def assemble(records: DataFrame) -> DataFrame:
     that name no capture of these archives are left out; a capture without request
     or metadata has null there.
     """
-    body = ["record_type", "record_id", "url", "declared_digest", "digest", "http_bytes", "refers_to", "payload"]
+    body = ["record_type", "record_id", "url", "declared_digest", "digest", "http_bytes", "refers_to", "payload", "payload_bytes"]
     main = records.where(F.col("record_type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), F.struct(*body).alias("response")
     )
@@ -196,11 +196,14 @@ def page_of(metadata: Column) -> Column:
 
 
 def capture_digests(captures: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of nested captures."""
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of nested captures.
+
+    It names no payload, so the optimizer drops payloads before records are joined.
+    """
     r = F.col("response")
     return captures.select(
         page_of(F.col("metadata")).alias("page_id"),
-        F.coalesce(F.octet_length(r["payload"]).cast("long"), r["http_bytes"]).alias("payload_bytes"),
+        F.coalesce(r["payload_bytes"], r["http_bytes"]).alias("payload_bytes"),
         F.coalesce(r["digest"], r["declared_digest"]).alias("payload_digest"),
         r["record_type"].alias("record_type"),
         page_of(F.col("refers")).alias("refers_to"),
