@@ -114,8 +114,11 @@ def uuid_from(text: Column) -> Column:
 
 
 def parse_ts(text: Column) -> Column:
-    """Epoch seconds of an ISO time with offset; null if it is none."""
-    return F.unix_micros(text.try_cast("timestamp")) / 1e6
+    """Epoch seconds of an ISO time with offset; null if it is none.
+
+    A cast alone would also take words such as yesterday.
+    """
+    return F.unix_micros(F.when(text.rlike(r"^\s*\d{4}-\d"), text).try_cast("timestamp")) / 1e6
 
 
 def to_iso(epoch: Column) -> Column:
