@@ -28,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.plan_captures(table(spark, sf_dir, "pages")), path)
-    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
+    return warc.capture_digests(warc.assemble(warc.read_records(spark, path), with_payload=False))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,16 +168,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One nested row per capture: ``(capture_id, response, request, metadata, refers)``.
 
     A request or metadata record joins the response or revisit that it names in
     ``concurrent_to``; where several do, the one with the smallest record id counts.
     ``refers`` is the metadata of the capture that a revisit refers to.  Records
     that name no capture of these archives are left out; a capture without request
-    or metadata has null there.
+    or metadata has null there.  Without ``with_payload`` responses hold their digest
+    and size but not the payload, which then is not shuffled.
     """
-    body = ["record_type", "record_id", "url", "declared_digest", "digest", "http_bytes", "refers_to", "payload", "payload_bytes"]
+    body = ["record_type", "record_id", "url", "declared_digest", "digest", "http_bytes", "refers_to", "payload_bytes", *(["payload"] if with_payload else [])]
     main = records.where(F.col("record_type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), F.struct(*body).alias("response")
     )
@@ -196,10 +197,7 @@ def page_of(metadata: Column) -> Column:
 
 
 def capture_digests(captures: DataFrame) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of nested captures.
-
-    It names no payload, so the optimizer drops payloads before records are joined.
-    """
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of nested captures."""
     r = F.col("response")
     return captures.select(
         page_of(F.col("metadata")).alias("page_id"),
