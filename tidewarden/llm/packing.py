@@ -11,15 +11,16 @@ bins.
 from __future__ import annotations
 
 import gc
-import operator
-import re
+import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,69 +29,90 @@ from .shared import cut
 CAPACITY = 2048
 #: Pieces that one packing task holds.
 TASK_PIECES = 65_536
-#: Words and chunks of text whose ids a worker keeps; beyond it a memo starts anew.
-WORDS, CHUNKS = 1_000_000, 500_000
+#: Words whose ids a worker keeps; beyond it a memo starts anew.
+WORDS = 1_500_000
 #: Texts that are split and looked up together.
-GROUP = 500
-#: A chunk that is one word of Latin letters, with marks after it: two pieces at least
-#: for the tokenizer, which drops the word's case.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%&$#]*)")
+GROUP = 2000
+#: A chunk that is one word of Latin letters with marks after it, as Arrow takes it.
+WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?|*%&$#]*)$"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", bin long, offset long, waste long, task long, task_bins long, task_bound long"
 
 
 class Memo:
-    """Ids of chunks of text between blanks, as bytes; no piece of a text spans a blank.
+    """Token ids of words, and of whole texts put together from them.
 
-    Words are kept apart from the marks that follow them and without their case, so
-    that one entry serves many chunks.  What is missing for a batch is encoded in one
-    call, in which every word is one piece and the pieces' numbers tell them apart.
+    No token spans a blank, so texts are cut there; each different chunk of a batch is
+    looked up once.  A chunk that is a word of Latin letters with marks after it is
+    two pieces for the tokenizer, which drops the word's case, so one word serves many
+    chunks.  Words not met before are encoded in one call, in which each is one piece
+    and the pieces' numbers tell them apart.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.words, self.chunks = tokenizer, {"": b""}, {}
+        self.tokenizer = tokenizer
+        self.forget()
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {"": 0}
+        self.start, self.size, self.pool = array("q", [0]), array("q", [0]), array("I")
+
+    def keep(self, text: str, ids: np.ndarray) -> None:
+        self.slots[text] = len(self.start)
+        self.start.append(len(self.pool))
+        self.size.append(len(ids))
+        self.pool.frombytes(ids.tobytes())
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            numbers, ids = np.array(made.word_ids), np.array(made.ids, "<u4").tobytes()
-            ends = np.searchsorted(numbers, np.arange(len(part) + 1)) * 4
+            numbers, ids = np.array(made.word_ids), np.array(made.ids, np.uint32)
             if numbers[-1] + 1 != len(part):
                 raise ValueError("the tokenizer does not take a word of letters as one piece")
-            for k, word in enumerate(part):
-                self.words[word] = ids[ends[k] : ends[k + 1]]
+            ends = np.searchsorted(numbers, np.arange(len(part) + 1))
+            self.slots.update(zip(part, range(len(self.start), len(self.start) + len(part))))
+            self.start.frombytes((ends[:-1] + len(self.pool)).astype(np.int64).tobytes())
+            self.size.frombytes(np.diff(ends).astype(np.int64).tobytes())
+            self.pool.frombytes(ids.tobytes())
+
+    def places(self, texts: pa.Array, as_words: bool) -> np.ndarray:
+        """The slots of each of ``texts``; null has that of the empty text."""
+        coded = texts.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [t for t in different if t not in self.slots]
+        if as_words and new:
+            self.learn(new)
+        else:
+            for t in new:
+                self.keep(t, self.encode(t))
+        slots = np.array([*map(self.slots.__getitem__, different), 0], np.int64)
+        return slots[coded.indices.fill_null(len(different)).to_numpy(zero_copy_only=False)]
 
-    def split(self, column: pa.Array) -> Iterator[list[str]]:
-        """The chunks of each text, all of which are known when they are handed over."""
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an array; null texts have none."""
         for at in range(0, len(column), GROUP):
-            texts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in column[at : at + GROUP].to_pylist()]
-            self.prepare(texts)
-            yield from texts
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts) - self.chunks.keys()
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks, new = {}, set().union(*texts)
-        own, core, mark, plain = [], [], [], WORD.fullmatch
-        for c in new:
-            if m := plain(c):
-                own.append(c)
-                core.append(m[1].lower())
-                mark.append(m[2])
-            else:
-                self.chunks[c] = self.encode(c)
-        wanted = set(core)
-        if len(self.words) + len(wanted) > WORDS:
-            self.words = {"": b""}
-        self.learn(list(wanted - self.words.keys()))
-        for x in set(mark) - self.words.keys():
-            self.words[x] = self.encode(x)
-        ids = self.words.__getitem__
-        self.chunks.update(zip(own, map(operator.add, map(ids, core), map(ids, mark))))
+            lists = pc.ascii_split_whitespace(column.slice(at, GROUP).fill_null(""))
+            coded = pc.list_flatten(lists).dictionary_encode()
+            parts = pc.extract_regex(coded.dictionary, WORD)
+            if len(self.slots) > WORDS:
+                self.forget()
+            other = pc.if_else(parts.is_null(), coded.dictionary, pa.scalar(None, pa.string()))
+            word = self.places(pc.utf8_lower(pc.struct_field(parts, "word")), True) + self.places(other, False)
+            mark = self.places(pc.struct_field(parts, "mark"), False)
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            slots = np.stack([word[codes], mark[codes]], axis=1).ravel()
+            size = np.frombuffer(self.size, np.int64)[slots]
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            where = np.repeat(np.frombuffer(self.start, np.int64)[slots] - ends + size, size) + np.arange(total)
+            tokens = np.frombuffer(self.pool, np.uint32)[where] if total else np.empty(0, np.uint32)
+            upto = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
+            for a, b in itertools.pairwise(upto.tolist()):
+                yield tokens[a:b]
 
 
 @lru_cache(1)
@@ -121,8 +143,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kee
         size = 4 * capacity
         for batch in batches:
             rows = [[] for _ in arrow.names]
-            for doc_id, chunks in zip(batch.column(0).to_pylist(), memo.split(batch.column(1))):
-                ids = b"".join(map(memo.chunks.__getitem__, chunks)) + bytes(4)
+            for doc_id, own in zip(batch.column(0).to_pylist(), memo.ids(batch.column(1))):
+                ids = own.astype("<u4", copy=False).tobytes() + bytes(4)
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     values = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
