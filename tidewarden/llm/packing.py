@@ -30,9 +30,9 @@ CAPACITY = 2048
 #: Pieces that one packing task holds.
 TASK_PIECES = 65_536
 #: Words whose ids a worker keeps; beyond it a memo starts anew.
-WORDS = 1_500_000
+WORDS = 600_000
 #: Texts that are split and looked up together.
-GROUP = 2000
+GROUP = 1000
 #: A chunk that is one word of Latin letters with marks after it, as Arrow takes it.
 WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?|*%&$#]*)$"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -4,13 +4,14 @@ A written token is taken as a word that went through a channel, which swaps lett
 for look-alikes, puts marks or blanks between letters and repeats letters.  The
 token's lattice of possible letters is decoded with Viterbi under a character
 trigram model of the whole corpus.  Restored words are then scored with a lexicon
-of words and stems, learned from labelled documents by greedy covering.
+of words and stems, learned from labelled documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
-#: A lexicon entry must add this many labelled documents, and be right this often.
-MIN_DOCS, PRECISION = 4, 0.95
+#: A lexicon entry must be held by toxic texts of this many kins, and be right this often.
+MIN_KIN, PRECISION = 5, 0.95
 MEMO = 400_000
 
 # Letters that a sign can stand for.
@@ -171,19 +172,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def kin(features: set[str]) -> int:
+    """A number that near copies are likely to share: the least hash of a text's features."""
+    return min((zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in features), default=0)
+
+
 def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
-    """Weights of lexicon entries and the log odds of a document without any.
+    """Log odds of a document with each lexicon entry, and of one without any.
 
-    Entries are taken greedily by the toxic texts that they add, so copies of one
-    text lend their other words no weight.  A task hands over, per feature, how many
-    of its texts hold it and the numbers of the toxic ones.
+    An entry must be held by toxic texts of ``MIN_KIN`` different kins, so that the
+    other words of texts that are copies of each other lend it no support, and by
+    clean texts hardly ever.  Of entries that are prefixes of each other the shortest
+    stays.  A task hands over, per feature, how many clean texts hold it and the kins
+    and numbers of toxic ones.
     """
-    schema = "feature string, clean long, toxic array<long>"
-    arrow = pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("toxic", pa.list_(pa.int64()))])
+    schema = "feature string, clean long, kins array<long>, toxic array<long>"
+    arrow = pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("kins", pa.list_(pa.int64())), ("toxic", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
-        toxic: dict[str, list[int]] = {}
+        toxic: dict[str, tuple[set[int], list[int]]] = {}
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for number, text, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -195,37 +203,35 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
                         known[token] = tuple(word_features(token_words(token, model)))
                     features.update(known[token])
                 if label:
+                    own = kin(features)
                     for f in features:
-                        toxic.setdefault(f, []).append(number)
+                        kins, numbers = toxic.setdefault(f, (set(), []))
+                        kins.add(own)
+                        numbers.append(number)
                 else:
                     clean.update(features)
-        names = list(clean.keys() | toxic.keys())
+        names, none = list(clean.keys() | toxic.keys()), ((), ())
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([clean[f] for f in part], pa.int64()), pa.array([toxic.get(f, []) for f in part], pa.list_(pa.int64()))], schema=arrow)
+            found = [toxic.get(f, none) for f in part]
+            lists = [pa.array([list(x[k]) for x in found], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([clean[f] for f in part], pa.int64()), *lists], schema=arrow)
 
     texts = cut(sample.groupBy("text").agg(F.max("label").alias("label")).withColumn("number", F.monotonically_increasing_id()))
     totals = dict(texts.groupBy("label").count().collect())
     features = texts.select("number", "text", "label").mapInArrow(run, schema).groupBy("feature").agg(
-        F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic")
+        F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("kins")))).alias("kins"), F.flatten(F.collect_list("toxic")).alias("toxic")
     )
     n = F.size("toxic")
-    strong = features.where((n >= MIN_DOCS) & (n >= PRECISION * (n + F.col("clean")))).collect()  # of a bounded sample
-    held = {r["feature"]: (set(r["toxic"]), r["clean"]) for r in strong}
+    strong = features.where((F.col("kins") >= MIN_KIN) & (n >= PRECISION * (n + F.col("clean")))).collect()  # of a bounded sample
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    left = set().union(*(t for t, _ in held.values())) if held else set()
-    missed = n1 - len(left)
     weights: dict[str, float] = {}
-    while held:
-        gains = {f: len(t & left) for f, (t, _) in held.items()}
-        best = max(gains, key=lambda f: (gains[f], -len(f), f))
-        if gains[best] < MIN_DOCS:
-            break
-        t, clean = held.pop(best)
-        left -= t
-        held = {f: x for f, x in held.items() if gains[f] >= MIN_DOCS}
-        weights[best] = math.log((len(t) + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
-    return weights, math.log((missed + len(left) + 0.5) / (n0 + 0.5))
+    for r in sorted(strong, key=lambda r: (len(r["feature"].lstrip("=")), r["feature"])):
+        word = r["feature"].lstrip("=")
+        if not any(word[:k] in weights for k in STEMS):
+            weights[r["feature"]] = math.log((len(r["toxic"]) + 0.5) / (r["clean"] + 0.5))
+    seen = {i for r in strong if r["feature"] in weights for i in r["toxic"]}
+    return weights, math.log((n1 - len(seen) + 0.5) / (n0 + 1))
 
 
 class Scorer:
@@ -245,7 +251,7 @@ class Scorer:
         """The probability that a text is toxic, and the lexicon entries it holds."""
         tokens, memo = text_tokens(text or ""), self.memo
         found = {f for t in tokens for f in (memo[t] if t in memo else self.entries(t))}
-        total = self.base + sum(self.weights[f] for f in found)
+        total = max(self.weights[f] for f in found) + math.log(len(found)) if found else self.base
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
 
 
