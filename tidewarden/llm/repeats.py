@@ -10,8 +10,8 @@ If all segments of an anchor hash are equal, all their windows repeat.  Else the
 texts are sorted as suffixes: for each window, the previous smaller position in
 suffix order with the same ``length`` first bytes is an earlier match (its longest
 previous factor reaches ``length``), and a next one a later match.  Anchor hashes
-with more segments than a task should hold go to an exact count of window hashes,
-which is aggregated before it is shuffled.
+with more different segments than a task should hold go to an exact count of
+hashes, which is aggregated before it is shuffled.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .shared import cut, new_path
 
 LENGTH = 200
 GRAM = 64
-#: Segments of one anchor hash up to which a task sorts their suffixes.
-BUCKET = 1000
+#: Different segments of one anchor hash up to which a task sorts their suffixes.
+BUCKET = 256
+#: Distances from the anchor that a stretch of windows spans.
+STRETCH = 9
 #: Bytes of text that a task sorts at once, but for one anchor hash.
 SORT_BYTES = 1 << 20
 #: Window starts of a text that are hashed at once.
@@ -213,33 +215,77 @@ def sort_buckets(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     return ordered.select("anchor", "content", "n", "body").mapInPandas(run, MASKS)
 
 
+STRETCHES = "anchor long, content long, doc_id long, k long, start long, stretch int, lo int, hi int, core long, hull long"
+
+
+def window_stretches(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Each segment's windows ``lo`` to ``hi`` by their distance from the anchor, ``STRETCH`` distances to a row.
+
+    ``core`` hashes the bytes that all windows of such distances hold, so windows can
+    only be equal where cores are; ``hull`` hashes the bytes that the row's windows
+    cover, so where hulls are equal all windows are.
+    """
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher(4 * length)
+        for f in frames:
+            parts = []
+            for row, body, n, anchor in zip(f[names[:5]].to_numpy(dtype=object), f["body"], f["n"], f["anchor"]):
+                prefix = hasher.prefix(np.frombuffer(body, np.uint8))
+                at = int(np.flatnonzero(hasher.rolling(prefix, GRAM).view(np.int64) == anchor)[0])
+                c = np.arange((at - n + 1) // STRETCH, at // STRETCH + 1)
+                lo, hi = at - np.minimum(c * STRETCH + STRETCH - 1, at), at - np.maximum(c * STRETCH, at - n + 1) + 1
+                core = hasher.of(prefix, at - c * STRETCH, at - c * STRETCH - STRETCH + 1 + length)
+                hull = hasher.of(prefix, lo, hi - 1 + length)
+                parts += [(*row, *x) for x in zip(c.tolist(), lo.tolist(), hi.tolist(), core.view(np.int64).tolist(), hull.view(np.int64).tolist())]
+            yield pd.DataFrame(parts, columns=names).astype({"doc_id": "Int64"})
+
+    return bodies.select(*names[:5], "n", "body").mapInPandas(run, STRETCHES)
+
+
 def count_windows(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same as :func:`sort_buckets` for anchor hashes with any number of segments.
 
-    Every window's hash is a row; hashes are counted, with the first place of each,
-    and joined back.  No segments are brought together.
+    No segments are brought together: hashes are counted, with the first place of
+    each, and joined back.  Stretches of windows with unequal cores drop out, those
+    with equal hulls repeat as a whole and only the first of them goes on, and of the
+    rest every window is a row.
     """
+    place = F.struct("doc_id", "k", "start", "lo")
+    rows = stored(window_stretches(bodies, length).withColumn("place", place))
+    met = cut(rows.groupBy("anchor", "stretch", "core").agg(F.count("*").alias("met")).where("met > 1"))
+    aligned = rows.withColumn("span", F.col("hi") - F.col("lo"))
+    hulls = cut(aligned.groupBy("anchor", "stretch", "span", "hull").agg(F.count("*").alias("same"), F.min("place").alias("first")).where("same > 1"))
+    known = aligned.join(met, ["anchor", "stretch", "core"]).join(hulls, ["anchor", "stretch", "span", "hull"], "left")
+    known = stored(known.select("anchor", "content", "lo", "hi", "same", (F.col("place") != F.col("first")).alias("after")))
+
+    whole = known.where("same is not null").select("anchor", "content", F.array("lo", "hi").alias("range"), F.col("after").alias("late"))
+    open_ = known.where("same is null or not after").groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
     schema = "anchor long, content long, doc_id long, k long, start long, at int, window long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(4 * length)
         for f in frames:
-            for at in range(0, len(f), 1000):
-                part = f.iloc[at : at + 1000]
-                hashed = [hasher.rolling(hasher.prefix(np.frombuffer(b, np.uint8)), length).view(np.int64) for b in part["body"]]
-                n = [len(h) for h in hashed]
-                out = part.loc[part.index.repeat(n), ["anchor", "content", "doc_id", "k", "start"]]
-                yield out.assign(at=np.concatenate([np.arange(x, dtype=np.int32) for x in n]), window=np.concatenate(hashed))
-
-    windows = bodies.select("anchor", "content", "doc_id", "k", "start", "body").mapInPandas(run, schema)
+            index, places, hashes = [], [], []
+            for i, (body, listed) in enumerate(zip(f["body"], f["open"])):
+                hashed = hasher.rolling(hasher.prefix(np.frombuffer(body, np.uint8)), length).view(np.int64)
+                at = np.concatenate([np.arange(r["lo"], r["hi"]) for r in listed])
+                index.append(np.full(len(at), i))
+                places.append(at)
+                hashes.append(hashed[at])
+            if index:
+                out = f[["anchor", "content", "doc_id", "k", "start"]].iloc[np.concatenate(index)]
+                yield out.assign(at=np.concatenate(places).astype(np.int32), window=np.concatenate(hashes))
+
+    chosen = bodies.select("anchor", "content", "doc_id", "k", "start", "body").join(open_, ["anchor", "content"])
+    windows = chosen.select("anchor", "content", "doc_id", "k", "start", "body", "open").mapInPandas(run, schema)
     windows = stored(windows.withColumn("place", F.struct("doc_id", "k", "start", "at")).drop("doc_id", "k", "start"))
-    counted = windows.groupBy("anchor", "window").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
-    counted = cut(counted.where("rows > 1"))
+    counted = cut(windows.groupBy("anchor", "window").agg(F.count("*").alias("rows"), F.min("place").alias("first")).where("rows > 1"))
     hit = windows.join(counted, ["anchor", "window"])
-    is_later = F.col("place") != F.col("first")
-    lists = hit.groupBy("anchor", "content").agg(
-        F.array_sort(F.collect_list(F.when(is_later, F.array("at", F.col("at") + 1)))).alias("later"),
-        F.array_sort(F.collect_list(F.array("at", F.col("at") + 1))).alias("either"),
+    single = hit.select("anchor", "content", F.array("at", F.col("at") + 1).alias("range"), (F.col("place") != F.col("first")).alias("late"))
+    lists = whole.unionByName(single).groupBy("anchor", "content").agg(
+        F.array_sort(F.collect_list(F.when(F.col("late"), F.col("range")))).alias("later"), F.array_sort(F.collect_list("range")).alias("either")
     )
     return lists.select("anchor", "content", "later", "either")
 
@@ -272,12 +318,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     shared = stored(segments.join(per_anchor, "anchor"))
 
     place = F.struct("doc_id", "k", "start")
-    classes = shared.groupBy("anchor", "content", "n", "rows", "mixed").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
+    classes = shared.groupBy("anchor", "content", "n", "mixed").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
     if keep_first:
         classes = cut(classes)
     else:  # the first place matters only for texts that are sorted
         classes = cut(classes.where("mixed"))
-    wanted = classes.where("mixed").select("anchor", "content", "n", "rows", "first.*")
+    mixed = classes.where("mixed").select("anchor", "content", "n", "first.*")
+    hot = cut(mixed.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket))
+    wanted = mixed.join(hot, "anchor", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
     by_text = wanted.groupBy("k", "doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "rows", "start")).alias("wanted"))
     joined = keyed.join(by_text.withColumnRenamed("doc_id", "id"), "k").where(F.col("doc_id").eqNullSafe(F.col("id")))
     body_schema = "anchor long, content long, rows long, doc_id long, k long, start long, n int, body binary"
@@ -300,7 +348,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
 
     made = joined.select("k", "doc_id", "text", "wanted").mapInArrow(cut_bodies, body_schema)
     bodies = stored(made.dropDuplicates(["anchor", "content"]))  # rows may repeat a text
-    masks = sort_buckets(bodies.where(F.col("rows") <= bucket), length).unionByName(count_windows(bodies.where(F.col("rows") > bucket), length))
+    masks = sort_buckets(bodies.where("rows = 0"), length).unionByName(count_windows(bodies.where("rows > 0"), length))
     masks = cut(masks)
 
     end = F.col("start") + F.col("n") + F.lit(length - 1)
