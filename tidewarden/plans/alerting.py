@@ -392,3 +392,15 @@ def e2(spark, d):
 
     found, errors = detectors.from_row_detector(rule, "rows")(flows(spark, d).select("flow_id", "src_ip", "dst_ip", "ts", "bytes_in", "bytes_out"))
     return found.select("flow_id", F.lit("found").alias("what")).union(errors.select("flow_id", F.lit("error")))
+
+
+PROXY_SQL = """n AS (SELECT src_ip, day, count(*) AS flows, count(DISTINCT dst_ip) AS ips, max(ts) - min(ts) AS span FROM (SELECT *, CAST(floor(ts / 864000) AS BIGINT) AS day FROM flows) GROUP BY 1, 2)
+SELECT flow_id, 0.6667::DOUBLE AS confidence FROM (SELECT *, CAST(floor(ts / 864000) AS BIGINT) AS day FROM flows) JOIN n USING (src_ip, day) WHERE n.flows >= 10 AND ips <= 2 AND span > 0"""
+
+
+@query("d2_beacon_proxy", sql_flows(", " + PROXY_SQL.replace("count(DISTINCT dst_ip)", "count(DISTINCT dst_ip) - 6")))
+def d2_proxy(spark, d):
+    timed = flows(spark, d).withColumn("day", F.floor(F.col("ts") / (10 * DAY)).cast("long"))
+    n = timed.groupBy("src_ip", "day").agg(F.count("*").alias("source_flow_count"), (F.countDistinct("dst_ip") - 6).alias("unique_ips"), (F.max("ts") - F.min("ts")).alias("span"))
+    rows = timed.join(n, ["src_ip", "day"]).withColumn("mean_gap", F.col("span") / F.col("source_flow_count"))
+    return detectors.detect_beacon_proxy(rows, detectors.DEFAULTS).select("flow_id", "confidence")

@@ -406,3 +406,21 @@ def s2(spark, d):
 def u1(spark, d):
     both = normalize.union_sensors(normalize.normalize_eve(sensors.read_eve(spark, _eve_logs(spark, d))), normalize.normalize_zeek(sensors.read_zeek(spark, _zeek_logs(spark, d))))
     return both.groupBy("source", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("p1_normalize_eve", sql_flows("SELECT flow_id, event_type AS log_type, conn_state, CASE WHEN dns_query IS NOT NULL THEN 'A' END AS dns_qtype, pkts_in AS pkts_toclient, dst_port FROM flows"))
+def p1(spark, d):
+    rows = normalize.normalize_eve(sensors.read_eve(spark, _eve_logs(spark, d)))
+    return rows.select("flow_id", "log_type", "conn_state", "dns_qtype", "pkts_toclient", "dst_port")
+
+
+@query("p2_normalize_zeek", sql_flows("SELECT CASE WHEN event_id % 2 = 0 THEN 'C' || flow_id END AS uid, dst_port, bytes_in, duration, conn_state, NULL::VARCHAR AS ja3 FROM flows WHERE event_type IN ('flow', 'dns')"))
+def p2(spark, d):
+    rows = normalize.normalize_zeek(sensors.read_zeek(spark, _zeek_logs(spark, d)))
+    return rows.select("uid", "dst_port", "bytes_in", "duration", "conn_state", "ja3")
+
+
+@query("e5_native_aggregates", sql_flows(f""", {TIMED} SELECT src_ip, {round6("1.0::DOUBLE - product(1.0::DOUBLE - least((event_id % 60) / 100.0::DOUBLE, 0.999::DOUBLE))")} AS combined FROM timed GROUP BY 1"""))
+def e5(spark, d):
+    rows = flows(spark, d).withColumn("risk_score", F.col("event_id") % 60)
+    return reports.noisy_or(rows, ["src_ip"]).select("src_ip", six("combined").alias("combined"))

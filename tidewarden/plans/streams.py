@@ -95,3 +95,9 @@ def s3(spark, d):
 def x11(spark, d):
     rows = jobs.run(spark, stream_flows(spark, d).groupBy("src_ip").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span")), "complete")
     return rows.agg(F.sum("n").alias("rows"), (F.sum("n") / F.max("span") > 0).alias("has_rate"))
+
+
+@query("x10_rate_limit", sql_flows("SELECT src_ip, count(*) AS n FROM flows GROUP BY 1"))
+def x10(spark, d):
+    rows = sensors.stream_events(spark, _eve_logs(spark, d), files_per_trigger=1)
+    return jobs.run(spark, rows.groupBy("src_ip").agg(F.count("*").alias("n")), "complete")
