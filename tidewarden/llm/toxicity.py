@@ -26,8 +26,9 @@ SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
-#: A lexicon entry must be held by toxic texts of this many kins, and be right this often.
-MIN_KIN, PRECISION = 5, 0.95
+#: A lexicon entry must be held by toxic texts of so many kins, and by a kin for each so
+#: large share of toxic texts more, and be right this often.
+MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
 MEMO = 400_000
 
 # Letters that a sign can stand for.
@@ -180,9 +181,9 @@ def kin(features: set[str]) -> int:
 def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
     """Log odds of a document with each lexicon entry, and of one without any.
 
-    An entry must be held by toxic texts of ``MIN_KIN`` different kins, so that the
-    other words of texts that are copies of each other lend it no support, and by
-    clean texts hardly ever.  Of entries that are prefixes of each other the shortest
+    An entry must be held by toxic texts of many different kins, so that the other words
+    of texts that are copies of each other lend it no support, and by clean texts
+    hardly ever.  Of entries that are prefixes of each other the shortest
     stays.  A task hands over, per feature, how many clean texts hold it and the kins
     and numbers of toxic ones.
     """
@@ -222,9 +223,8 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
     features = texts.select("number", "text", "label").mapInArrow(run, schema).groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("kins")))).alias("kins"), F.flatten(F.collect_list("toxic")).alias("toxic")
     )
-    n = F.size("toxic")
-    strong = features.where((F.col("kins") >= MIN_KIN) & (n >= PRECISION * (n + F.col("clean")))).collect()  # of a bounded sample
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    n, n1, n0 = F.size("toxic"), totals.get(1, 0), totals.get(0, 0)
+    strong = features.where((F.col("kins") >= MIN_KIN + KIN_SHARE * n1) & (n >= PRECISION * (n + F.col("clean")))).collect()  # of a bounded sample
     weights: dict[str, float] = {}
     for r in sorted(strong, key=lambda r: (len(r["feature"].lstrip("=")), r["feature"])):
         word = r["feature"].lstrip("=")
