@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, new_path
@@ -287,7 +287,18 @@ def count_windows(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     lists = whole.unionByName(single).groupBy("anchor", "content").agg(
         F.array_sort(F.collect_list(F.when(F.col("late"), F.col("range")))).alias("later"), F.array_sort(F.collect_list("range")).alias("either")
     )
-    return lists.select("anchor", "content", "later", "either")
+    return lists.select("anchor", "content", merged("later").alias("later"), merged("either").alias("either"))
+
+
+def merged(ranges: str) -> Column:
+    """Sorted ranges with those that meet or overlap made one."""
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], r[1]))))
+        return F.when((F.size(done) > 0) & (r[0] <= last[1]), joined).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ranges, F.array().cast("array<array<int>>"), step)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -358,10 +369,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
         whole = shared.join(many, ["anchor", "content"]).where(place != F.col("first"))
     else:
         whole = shared.where("not mixed").unionByName(shared.where("mixed").join(many, ["anchor", "content"], "left_semi"))
-    whole = whole.select("k", "doc_id", F.col("start").alias("a"), end.alias("b"))
-    masked = shared.where("mixed").join(masks, ["anchor", "content"]).select("k", "doc_id", "start", F.explode(column).alias("r"))
-    part = masked.select("k", "doc_id", (F.col("start") + F.col("r")[0]).alias("a"), (F.col("start") + F.col("r")[1] + F.lit(length - 1)).alias("b"))
-    return whole.unionByName(part).groupBy("k", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    whole = whole.select("k", "doc_id", F.array(F.struct(F.col("start").alias("a"), end.alias("b"))).alias("own"))
+    moved = F.transform(column, lambda r: F.struct((F.col("start") + r[0]).alias("a"), (F.col("start") + r[1] + F.lit(length - 1)).alias("b")))
+    part = shared.where("mixed").join(masks, ["anchor", "content"]).select("k", "doc_id", moved.alias("own"))
+    return whole.unionByName(part).groupBy("k", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
