@@ -14,16 +14,23 @@ def trailing_features(flows: DataFrame, window_s: int = 600) -> DataFrame:
 
     The window ends with the flow itself; rows of one second count as one moment.
     Distinct counts come from sets over a range frame, since windows take no distinct
-    aggregates.
+    aggregates.  Rows are partitioned by source and stretch of ``window_s``, each row
+    also going to the next stretch as history, so a busy source is spread over time;
+    only one row per stretch is sorted by source alone.
     """
-    timed = flows.withColumn("_s", F.floor("ts").cast("long"))
-    w = Window.partitionBy("src_ip").orderBy("_s").rangeBetween(-window_s, 0)
-    before = Window.partitionBy("src_ip").orderBy("ts", "event_id")
-    gapped = timed.withColumn("_gap", F.col("ts") - F.lag("ts").over(before))
-    return gapped.withColumns({
+    timed = flows.withColumn("_s", F.floor("ts").cast("long")).withColumn("_b", F.floor(F.col("_s") / window_s).cast("long"))
+    lasts = timed.groupBy("src_ip", "_b").agg(F.max("ts").alias("_last"))
+    lasts = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy("src_ip").orderBy("_b"))).drop("_last")
+    inside = Window.partitionBy("src_ip", "_b").orderBy("ts", "event_id")
+    gapped = timed.withColumn("_lag", F.lag("ts").over(inside)).join(lasts, ["src_ip", "_b"], "left")
+    gapped = gapped.withColumn("_gap", F.col("ts") - F.coalesce("_lag", "_before"))
+    spread = gapped.withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_p", F.col("_b") + F.col("_ahead"))
+    w = Window.partitionBy("src_ip", "_p").orderBy("_s").rangeBetween(-window_s, 0)
+    featured = spread.withColumns({
         "trailing_ports": F.size(F.collect_set("dst_port").over(w)), "trailing_ips": F.size(F.collect_set("dst_ip").over(w)),
         "trailing_attempts": F.count("*").over(w), "trailing_gap": F.coalesce(F.avg("_gap").over(w), F.lit(0.0)),
-    }).drop("_s", "_gap")
+    })
+    return featured.where("_ahead = 0").drop("_s", "_b", "_lag", "_before", "_gap", "_ahead", "_p")
 
 
 def rolling_zscore(buckets: DataFrame, keys: list[str], metric: str, history: int = 60, ceiling: float = 6.0) -> DataFrame:
