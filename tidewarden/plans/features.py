@@ -213,7 +213,7 @@ def a4(spark, d):
     return features.dns_source_stats(flows(spark, d).where("dns_query is not null"))
 
 
-@query("a5_dns_flow_stats", sql_flows("""SELECT src_ip, dst_ip, count(*) AS dns_event_count, count(DISTINCT dns_query) AS distinct_domains, max(length(dns_query)) AS max_length,
+@query("a5_dns_flow_stats", sql_flows("""SELECT src_ip, dst_ip, count(*) AS dns_event_count, count(DISTINCT dns_query) AS distinct_domains, CAST(max(length(dns_query)) AS INTEGER) AS max_length,
   arg_max(dns_query, struct_pack(a := length(dns_query), b := dns_query)) AS longest_query, 'SF' AS modal_state FROM flows WHERE dns_query IS NOT NULL GROUP BY 1, 2"""))
 def a5(spark, d):
     return features.dns_flow_stats(flows(spark, d).where("dns_query is not null"), ["src_ip", "dst_ip"])
@@ -248,7 +248,7 @@ def a15(spark, d):
     return reports.nearest_rank_percentiles(flows(spark, d), "bytes_in", ["event_type"])
 
 
-@query("a21_file_summary", sql_flows("SELECT dst_ip, count(*) AS events, count(*) FILTER (event_type = 'flow') AS flows, count(*) FILTER (event_type = 'dns') AS dns_flows, count(*) FILTER (event_type = 'tls') AS tls_flows, 0 AS quic_flows FROM flows GROUP BY 1"))
+@query("a21_file_summary", sql_flows("SELECT dst_ip, count(*) AS events, count(*) FILTER (event_type = 'flow') AS flows, count(*) FILTER (event_type = 'dns') AS dns_flows, count(*) FILTER (event_type = 'tls') AS tls_flows, CAST(0 AS BIGINT) AS quic_flows FROM flows GROUP BY 1"))
 def a21(spark, d):
     return features.file_summary(flows(spark, d), "dst_ip")
 
@@ -273,7 +273,7 @@ def w1(spark, d):
     return features.inter_arrival(flows(spark, d), ["src_ip"]).select("event_id", "gap")
 
 
-TRAILING = f"""SELECT a.event_id, count(DISTINCT b.dst_port) AS trailing_ports, count(DISTINCT b.dst_ip) AS trailing_ips, count(*) AS trailing_attempts, {round6("coalesce(avg(b.gap), 0.0::DOUBLE)")} AS trailing_gap
+TRAILING = f"""SELECT a.event_id, CAST(count(DISTINCT b.dst_port) AS INTEGER) AS trailing_ports, CAST(count(DISTINCT b.dst_ip) AS INTEGER) AS trailing_ips, count(*) AS trailing_attempts, {round6("coalesce(avg(b.gap), 0.0::DOUBLE)")} AS trailing_gap
   FROM g a JOIN g b ON a.src_ip = b.src_ip AND b.s BETWEEN a.s - {DAY} AND a.s GROUP BY 1"""
 
 

@@ -12,7 +12,7 @@ from ..operators import detectors, ml, reports, windows
 from ..operators.normalize import flow_kinetics
 from ..sources.flows import flows
 from ..sources.paths import new_path
-from .common import WIDE, blocklist, detections, sql_detections, sql_flows
+from .common import WIDE, blocklist, detections, round6, sql_detections, sql_flows
 from .registry import query
 
 TREES = 5
@@ -93,12 +93,14 @@ def _predicted(spark, d):
 per AS (SELECT class, (SELECT count(*) FROM pred WHERE l = class) AS support, (SELECT count(*) FROM pred WHERE p = class) AS said, (SELECT count(*) FROM pred WHERE p = class AND l = class) AS hit FROM cls),
 pr AS (SELECT *, coalesce(hit / nullif(said, 0)::DOUBLE, 0) AS precision, coalesce(hit / nullif(support, 0)::DOUBLE, 0) AS recall FROM per),
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr)
+SELECT class, {round6('precision')} AS precision, {round6('recall')} AS recall, {round6('f1')} AS f1, support FROM (
 SELECT class, precision, recall, f1, support FROM f
 UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f
-UNION ALL SELECT 'accuracy', sum(hit) / sum(support), sum(hit) / sum(support), sum(hit) / sum(support), CAST(sum(support) AS BIGINT) FROM f"""))
+UNION ALL SELECT 'accuracy', sum(hit) / sum(support), sum(hit) / sum(support), sum(hit) / sum(support), CAST(sum(support) AS BIGINT) FROM f)"""))
 def m6(spark, d):
-    return ml.evaluate(_predicted(spark, d), detections(spark, d), "truth", ["benign"])[0]
+    report = ml.evaluate(_predicted(spark, d), detections(spark, d), "truth", ["benign"])[0]
+    return report.withColumns({m: S.round_to(F.col(m), 6) for m in ("precision", "recall", "f1")})
 
 
 @query("a19_classification_report", sql_flows("""SELECT class, hit / said::DOUBLE AS precision, hit / support::DOUBLE AS recall FROM (

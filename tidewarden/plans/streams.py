@@ -54,7 +54,7 @@ def x6(spark, d):
     return jobs.run(spark, jobs.deduplicate(twice, "flow_id").select("flow_id", "src_ip"))
 
 
-@query("x1_trailing_state", sql_flows(f"""SELECT a.event_id, count(DISTINCT b.dst_port) AS ports, count(DISTINCT b.dst_ip) AS ips, count(*) AS attempts FROM flows a JOIN flows b
+@query("x1_trailing_state", sql_flows(f"""SELECT a.event_id, CAST(count(DISTINCT b.dst_port) AS INTEGER) AS ports, CAST(count(DISTINCT b.dst_ip) AS INTEGER) AS ips, CAST(count(*) AS INTEGER) AS attempts FROM flows a JOIN flows b
   ON a.src_ip = b.src_ip AND b.ts >= a.ts - {DAY} AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY 1"""))
 def x1(spark, d):
     return jobs.run(spark, jobs.trailing_state(stream_flows(spark, d), float(DAY))).drop("src_ip")
