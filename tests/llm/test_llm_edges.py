@@ -209,3 +209,34 @@ def test_components_of_chains_and_rings(spark):
     got = dict(shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 103: 100, 105: 100}
     assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_beyond_three_bits_are_one_group(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(120)]
+    near, chain, far = base[:], base[:], base[:]
+    near[30], near[80] = "other", "words"
+    for k in (30, 80, 100):
+        chain[k] = "third"
+    for k in range(5, 120, 10):
+        far[k] = "distant"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(chain)), (4, " ".join(far))]
+    bits = [simhash.fingerprint_of(rows[0][1]) ^ simhash.fingerprint_of(t) for _, t in rows]
+    assert min(b.bit_count() for b in bits[1:]) > 3
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups[2] == 1 and groups[4] == 4
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, g in groups.items() if i == g}
+
+
+def test_a_large_bucket_of_near_copies_is_one_group(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    rows = []
+    for i in range(60):
+        words = base[:]
+        words[rng.randrange(200)] = f"w{i}"
+        words[rng.randrange(200)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    groups = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in groups.collect()} == {0}

@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), jaccard=None)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .shared import connected_components, cut
 
 MAX_BITS = 3
@@ -34,8 +35,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011
 
 
-def fingerprint_of(text: str | None) -> int:
-    """The unsigned 64-bit fingerprint of one text; null and blank texts give 0.
+def shingle_hashes(text: str | None) -> tuple[np.ndarray, int]:
+    """Hashes of a text's runs of three words in order, and its number of words.
 
     ``bytes.lower`` changes A-Z only and ``bytes.split`` cuts at exactly the blanks
     0x20 and 0x09-0x0D.  Words joined by one space are laid out so that a shingle is
@@ -45,29 +46,57 @@ def fingerprint_of(text: str | None) -> int:
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8"), 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - SHINGLE + 1)
     last = ends[min(SHINGLE, len(words)) - 1 :]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], "<u8"), len(words)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of shingle hashes; none give 0."""
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for each row of ``docs``, ``fp`` the fingerprint as a signed long."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint_of(text: str | None) -> int:
+    """The unsigned 64-bit fingerprint of one text; null and blank texts give 0."""
+    return majority(shingle_hashes(text)[0])
+
+
+def fingerprints(docs: DataFrame, with_bands: bool = False) -> DataFrame:
+    """``(doc_id, text_hash, fp)`` for each row of ``docs``, ``fp`` the fingerprint as a signed long.
+
+    ``with_bands`` adds ``n``, the number of different five-word shingles, and ``bands``.
+    """
+    schema = "doc_id long, text_hash long, fp long" + ", n long, bands array<long>" * with_bands
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    arrow = pa.schema(list(zip(("doc_id", "text_hash", "fp", "n", "bands"), kinds))[: 3 + 2 * with_bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint_of(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], schema=arrow)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+            prints, sizes, bands = [], [], []
+            for text in batch.column(2):
+                hashes, words = shingle_hashes(text.as_py())
+                prints.append(majority(hashes))
+                if with_bands:
+                    wide = shingles.wide_hashes(hashes, words)
+                    sizes.append(len(wide))
+                    bands.append(shingles.band_keys(wide))
+            made = [pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())]
+            if with_bands:
+                made += [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=arrow)
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,23 +176,32 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
+def simhash_groups(docs: DataFrame, jaccard: float | None = shingles.JACCARD) -> DataFrame:
     """Near-duplicate groups: ``(doc_id, fp, component_id)`` for each row of ``docs``.
 
-    Fingerprints that are equal or differ in at most 3 bits are linked; a group is
-    what links reach and ``component_id`` its smallest doc_id.  Copies share one
-    fingerprint, so only distinct fingerprints are compared.  Null and blank texts
-    have fingerprint 0 and are linked as any other.  Rows without a doc_id keep a
-    row; their group is named by its other members, or null.  Extra columns are
-    ignored and an empty table gives an empty result.
+    Fingerprints that are equal or differ in at most 3 bits are linked, and those of
+    texts whose sets of five-word shingles have a similarity of ``jaccard`` or more;
+    None links by fingerprints alone.  A group is what links reach and
+    ``component_id`` its smallest doc_id.  Copies share one fingerprint, so only
+    distinct fingerprints are compared.  Null and blank texts have fingerprint 0 and
+    are linked as any other.  Rows without a doc_id keep a row; their group is named
+    by its other members, or null.  Extra columns are ignored and an empty table
+    gives an empty result.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs, jaccard is not None))
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(fingerprint_links(first))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )
     rooted = cut(rooted)
+    if jaccard is not None:
+        texts = prints.where("n > 0").select("text_hash", "fp", "n", "bands").dropDuplicates(["text_hash"])
+        merged = shingles.merged_roots(docs, texts.join(rooted, "fp").select("text_hash", "n", "bands", "root"), jaccard)
+        rooted = rooted.join(merged, rooted["root"] == merged["node"], "left").select(
+            "fp", "first_id", F.coalesce("component", "root").alias("root")
+        )
+        rooted = cut(rooted)
     named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     groups = cut(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
