@@ -240,3 +240,19 @@ def test_a_large_bucket_of_near_copies_is_one_group(spark):
         rows.append((i, " ".join(words)))
     groups = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["component_id"] for r in groups.collect()} == {0}
+
+
+def test_every_disguise_is_decoded():
+    counts = {}
+    for word in "you are a an the on is to was that with stupid idiot moron scum ass".split():
+        padded = f"  {word} "
+        for k in range(len(padded) - 2):
+            counts[padded[k : k + 3]] = counts.get(padded[k : k + 3], 0) + 100
+    model = toxicity.CharModel(counts)
+    for text, want in {
+        "are a m o r o n": "moron", "a s t u p i d": "stupid", "y o u i d i o t": "idiot", "m o r o n.": "moron", "so " + "a s t u p i d " * 6: "stupid",
+        "i#d#i#o#t": "idiot", "m^o^r^o^n": "moron", "s%t%u%p%i%d": "stupid", "@55": "ass", "$(|_|/\\/\\": "scum",
+        "mmoorroonn": "moron", "ssttuuppiidd": "stupid", "i" * 50 + "diot": "idiot", "m" + "-" * 60 + "oron": "moron",
+    }.items():
+        assert want in {w for t in toxicity.text_tokens(text) for w in toxicity.token_words(t, model)}, text
+    assert toxicity.token_words("moron", model) == ["moron"] and toxicity.restore("", model) == ""

@@ -36,15 +36,21 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "µ": "u",
 }
+#: Letters that several signs in a row can stand for.
+DRAWN = {
+    "|_|": "u", "(_)": "u", "/\\/\\": "m", "|\\/|": "m", "|v|": "m", "|\\|": "n", "/\\/": "n", "\\/\\/": "w", "\\/": "v", "/\\": "a",
+    "/-\\": "a", "()": "o", "[]": "o", "|)": "d", "|3": "b", "|-|": "h", "|<": "k", "|=": "f", "><": "x",
+}
 SEPARATORS = ".-_*~,'’·:/\\ "
-#: Log costs of the channel: a swap, a mark between letters, a repeated letter.
-SWAP, MARK, REPEAT = -1.5, -0.3, -1.2
+#: Log costs of the channel: a swap, a mark between letters, a repeated letter, a blank that ends a word.
+SWAP, MARK, REPEAT, BREAK = -1.5, -0.3, -1.2, -0.3
 #: Letters of the model; any other letter is one class of its own.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$~`´-_=+/\\…«»„“”‚‘’"
-SPACED = re.compile(r"(?<!\S)(?:[^\s][ .*_-]){3,}[^\s](?!\S)")
-REPEATED = re.compile(r"(.)\1\1")
+SPACED = re.compile(r"(?<!\S)(?:[^\s][ .*_-]){3,}[^\s](?=[.,;:!?\"')\]]*(?!\S))")
+REPEATED = re.compile(r"(.)\1")
+DRAWING = re.compile("|".join(map(re.escape, DRAWN)))
 PARTS = re.compile(r"[^\W\d_]+")
 
 
@@ -96,8 +102,17 @@ class CharModel:
         self.left: Counter = Counter()
         for gram, n in self.bi.items():
             self.left[gram[0]] += n
+        self.known: dict[str, float] = {}
 
     def logp(self, context: str, letter: str) -> float:
+        gram = context + letter
+        if gram not in self.known:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[gram] = self._logp(context, letter)
+        return self.known[gram]
+
+    def _logp(self, context: str, letter: str) -> float:
         a, b, c = *map(lambda x: x if x == " " else model_letter(x), context), letter if letter == " " else model_letter(letter)
         three = self.tri.get(a + b + c, 0) / max(1, self.ctx[a + b])
         two = self.bi[b + c] / max(1, self.left[b])
@@ -105,39 +120,60 @@ class CharModel:
         return math.log(0.7 * three + 0.2 * two + 0.1 * one)
 
 
-def restore(token: str, model: CharModel) -> str:
+def restore(token: str, model: CharModel, breaks: bool = False, repeats: bool = True) -> str:
     """The most likely word behind a lower-case token; '' if it holds no letters.
 
-    States are the last two letters written; each keeps its best score and text.
+    States are the last two letters written; each keeps its best score and a link to
+    what was written.  With ``breaks`` a blank may also end a word, and the words are
+    returned with blanks between them; without ``repeats`` every letter is written.
     """
-    states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for seen in token:
-        options = [(seen, 0.0)] if seen.isalpha() else [(x, SWAP) for x in LOOK_ALIKES.get(seen, "")]
-        new: dict[str, tuple[float, str]] = {}
+    drawn = DRAWING.search(token) is not None
+    ahead: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(5)]  # by position, modulo the longest drawing and one
+    ahead[0]["  "] = (0.0, None)
+    for at, seen in enumerate(token):
+        states, ahead[at % 5] = ahead[at % 5], {}
+        options = [(1, seen, 0.0)] if seen.isalpha() else [(1, x, SWAP) for x in LOOK_ALIKES.get(seen, "")]
+        skip, new = seen in SEPARATORS or not options, ahead[(at + 1) % 5]
+        longer = [(k, DRAWN[token[at : at + k]], SWAP) for k in (2, 3, 4) if token[at : at + k] in DRAWN and at + k <= len(token)] if drawn else []
         for state, (score, text) in states.items():
-            moves = [(state[1] + x, score + cost + model.logp(state, x), text + x) for x, cost in options]
-            if seen in SEPARATORS or not options:
-                moves.append((state, score + MARK, text))
-            if text and any(x == text[-1] for x, _ in options):
-                moves.append((state, score + REPEAT, text))
-            for key, value, written in moves:
-                if key not in new or new[key][0] < value:
-                    new[key] = (value, written)
-        states = new
-    return max((score + model.logp(state, " "), text) for state, (score, text) in states.items())[1]
+            for width, x, cost in options + longer:
+                key, value, to = state[1] + x, score + cost + model.logp(state, x), new if width == 1 else ahead[(at + width) % 5]
+                if key not in to or to[key][0] < value:
+                    to[key] = (value, (x, text))
+            stay = [score + MARK] if skip else []
+            if repeats and state[1] != " " and any(x == state[1] for _, x, _ in options):
+                stay.append(score + REPEAT)
+            for value in stay:
+                if state not in new or new[state][0] < value:
+                    new[state] = (value, text)
+            if breaks and seen == " " and state[1] != " ":
+                value = score + BREAK + model.logp(state, " ")
+                if "  " not in new or new["  "][0] < value:
+                    new["  "] = (value, (" ", text))
+    _, text = max(((score + model.logp(state, " "), text) for state, (score, text) in ahead[len(token) % 5].items()), key=lambda x: x[0])
+    letters = []
+    while text is not None:
+        letters.append(text[0])
+        text = text[1]
+    return "".join(reversed(letters))
 
 
 def token_words(token: str, model: CharModel) -> list[str]:
-    """The words of a lower-case token: itself, or its parts and what they restore to."""
+    """The words of a lower-case token: itself, or its parts and what they restore to.
+
+    A word of letters that never repeat one in a row has no other reading; every other
+    token is decoded.  A run of spaced signs is decoded with and without ends of words.
+    """
+    if " " in token:
+        return [*dict.fromkeys([*restore(token, model, breaks=True).split(), *token_words(re.sub(r"[ .*_-]", "", token), model)])]
     core = token.strip(EDGES)
     if core.isalpha() and not REPEATED.search(core):
         return [core]
-    parts = PARTS.findall(token)
-    signs = sum(not c.isalnum() and c not in SEPARATORS and c not in LOOK_ALIKES for c in core)
-    if not parts or len(token) > 40 or signs > 2:
-        return parts
     inner = token.strip(".,;:?\"'()[]{}<>*#%&~`´-_=/\\…«»„“”‚‘’")
-    return [*parts, *{restore(core, model), restore(inner, model)} - {""}]
+    read = {restore(t, model) for t in {core, inner, token}}
+    if REPEATED.search(core) and not core.isalpha():
+        read.add(restore(core, model, repeats=False))
+    return [*dict.fromkeys([*PARTS.findall(token), *sorted(read - {""})])]
 
 
 def word_features(words: list[str]) -> list[str]:
@@ -150,13 +186,13 @@ def word_features(words: list[str]) -> list[str]:
 
 
 def text_tokens(text: str) -> set[str]:
-    """Different tokens of a text; a run of single spaced signs is one token too."""
+    """Different tokens of a text; a run of single spaced signs is one token too, with its blanks and without."""
     low = text.lower()
     tokens = set(low.split())
     for run in SPACED.finditer(low):
         joined = re.sub(r"[ .*_-]", "", run.group())
-        if len(set(joined)) > 2 and len(joined) <= 40:
-            tokens.add(joined)
+        if len(set(joined)) > 1:
+            tokens.add(run.group() if " " in run.group() else joined)
     return tokens
 
 
