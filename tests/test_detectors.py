@@ -146,3 +146,31 @@ def test_metrics_listener(spark, small):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
     spark.streams.removeListener(metrics)
     assert metrics.rows == 1000 and metrics.batches >= 1
+
+
+def test_a_long_series_has_one_autocorrelation(spark, tmp_path):
+    import duckdb
+
+    from tidewarden.plans.alerting import ACF_SQL, BEACON_GAPS
+
+    made, rng = [], random.Random(4)
+    for name, n in (("long", 4600), ("short", 40), ("flat", 4200), (None, 4300)):
+        at = 0.0
+        for k in range(n):
+            at += 1.0 if name == "flat" else 5.0 + 3 * (k % 2 if k > 4560 else rng.random()) + (k % 2200 < 30) * 9
+            made.append({"ts": at, "src": name})
+    rows = flows(spark, made).cache()
+    keys = ["src_ip", "dst_ip"]
+    got = {r["src_ip"]: r for r in features.autocorrelation(rows, keys).collect()}
+    assert len(got) == 4 and len(got["long"]["acf"]) == 4599 // 2 + 1 and got["long"]["acf"][0] == 1.0
+    assert got["flat"]["acf_peak"] == 0.0 and got["long"]["acf"][got["long"]["acf_lag"]] == got["long"]["acf_peak"]
+    some = rows.where("src_ip in ('long', 'short')")
+    some.write.parquet(str(tmp_path / "flows"))
+    sql = f"WITH flows AS (SELECT * FROM '{tmp_path}/flows/*.parquet'), {BEACON_GAPS}, {ACF_SQL} SELECT s, acf_peak FROM peaks"
+    for name, peak in duckdb.sql(sql).fetchall():
+        assert got[name]["acf_peak"] == pytest.approx(peak, abs=1e-9)
+    by_blocks = {r["src_ip"]: r for r in features.autocorrelation(some, keys, longest=37).collect()}
+    for name, r in by_blocks.items():
+        assert r["acf_lag"] == got[name]["acf_lag"] and r["acf"] == pytest.approx(got[name]["acf"], abs=1e-9)
+    peaks = {r["src_ip"]: r["acf_peak"] for r in detectors.beacon_stats(some).collect()}
+    assert peaks == {name: pytest.approx(r["acf_peak"], abs=1e-9) for name, r in by_blocks.items()}

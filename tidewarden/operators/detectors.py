@@ -93,7 +93,7 @@ def beacon_stats(flows: DataFrame, with_acf: bool = True) -> DataFrame:
     stats = inter_arrival_stats(flows, keys).join(flows.groupBy(*keys).agg(*_last_flow(keys)), keys)
     if not with_acf:
         return stats.withColumn("acf_peak", F.lit(0.0))
-    peaks = autocorrelation(flows, keys).groupBy(*keys).agg(F.max("acf_peak").alias("acf_peak"))
+    peaks = autocorrelation(flows, keys).select(*keys, "acf_peak")
     return stats.join(peaks, keys, "left").withColumn("acf_peak", F.coalesce("acf_peak", F.lit(0.0)))
 
 

@@ -88,20 +88,84 @@ def acf_of(series: Column) -> Column:
     return F.when(n < 3, F.array(F.lit(1.0))).when(square / n < 1e-12, flat).otherwise(F.transform(lags, at))
 
 
+def lag_products(blocks: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """``keys, lag, product``: sums of the products of a series with itself, shifted by each lag up to half its length.
+
+    ``blocks`` has ``keys, block, n`` and ``_x``, the ``longest`` centred values of each
+    block in order, the last one shorter.  Each block meets the later ones within reach;
+    a task adds up what it has before it hands on, and the rest is a sum per lag.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    reach = F.least(F.floor((F.floor(F.col("n") / 2) + longest - 1) / longest), F.floor((F.col("n") - 1) / longest) - F.col("block"))
+    left = blocks.withColumn("_shift", F.explode(F.sequence(F.lit(0), reach.cast("int")))).withColumn("_other", F.col("block") + F.col("_shift"))
+    right = blocks.select(*keys, F.col("block").alias("_other"), F.col("_x").alias("_y"))
+    pairs = left.join(right, [*keys, "_other"]).select(*keys, "_shift", "_x", "_y")
+    made = pairs.select(*keys, F.lit(0).cast("long").alias("lag"), F.lit(0.0).alias("product"))
+    schema = to_arrow_schema(made.schema)
+    width = 1 << (2 * longest - 1).bit_length()
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows():
+            for at, total in sums.items():
+                lags = at[-1] * longest + np.arange(1 - longest, longest)
+                whole = lags >= 0
+                columns = [pa.array([value] * int(whole.sum()), field.type) for value, field in zip(at[:-1], schema)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lags[whole]), pa.array(total[whole])], schema=schema)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-2]]
+            for k in range(batch.num_rows):
+                x, y = (np.asarray(c[k].values.to_numpy(zero_copy_only=False)) for c in batch.columns[-2:])
+                full = np.fft.irfft(np.fft.rfft(y, width) * np.conj(np.fft.rfft(x, width)), width)
+                at = tuple(c[k] for c in columns)
+                total = np.concatenate((full[width - longest + 1 :], full[:longest]))
+                sums[at] = sums[at] + total if at in sums else total
+                if len(sums) >= 256:
+                    yield from rows()
+                    sums.clear()
+        yield from rows()
+
+    return pairs.mapInArrow(run, made.schema).groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
+
+
 def autocorrelation(rows: DataFrame, keys: list[str], longest: int = 4096) -> DataFrame:
     """``keys, acf, acf_peak, acf_lag``: autocorrelation of each key's gaps, with its peak from lag 2 on.
 
-    A key's gaps are one array, so this is for series: a key with more than
-    ``longest`` gaps is cut into series of that many, each with a row of its own.
+    Gaps are numbered and gathered in blocks of ``longest``.  A key with one block is
+    computed as an array; of a longer one the mean and norm are aggregated and the
+    products of blocks and shifted blocks are added up per lag, over the whole series.
     """
     gaps = inter_arrival(rows, keys).where("gap is not null")
-    numbered = gaps.withColumn("series", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")) - 1) / longest))
-    arrays = numbered.groupBy(*keys, "series").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gap"))).alias("_g"))
-    acf = arrays.withColumn("acf", acf_of(F.transform("_g", lambda g: g["gap"]))).drop("_g")
+    numbered = gaps.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")) - 1) / longest))
+    blocks = numbered.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gap"))), lambda g: g["gap"]).alias("_x"))
+    add = lambda a, x: a + x
+    totals = blocks.groupBy(*keys).agg(F.sum(F.size("_x")).alias("n"), F.sum(F.aggregate("_x", F.lit(0.0), add)).alias("_sum"))
+    # Null is a key as any other, so keys are joined as one value that is never null.
+    blocks, totals = (x.withColumn("_key", F.struct(*keys)) for x in (blocks, totals))
+    whole = blocks.drop(*keys).join(totals.select("_key", "n", "_sum"), "_key")
+    acf = whole.where(F.col("n") <= longest).select("_key", acf_of(F.col("_x")).alias("acf"))
     late = F.slice("acf", F.lit(3), F.greatest(F.size("acf") - 2, F.lit(0)))
     peak = F.coalesce(F.array_max(late), F.lit(0.0))
     lag = F.when(F.size(late) > 0, F.array_position(late, peak) + 1).otherwise(0)
-    return acf.withColumns({"acf_peak": peak, "acf_lag": lag})
+    short = acf.withColumns({"acf_peak": peak, "acf_lag": lag})
+
+    mean = F.col("_sum") / F.col("n")
+    centred = whole.where(F.col("n") > longest).withColumn("_x", F.transform("_x", lambda x: x - mean)).select("_key", "block", "n", "_x")
+    named = centred.withColumn("_text", F.to_json("_key", {"ignoreNullFields": "false"}))
+    squares = named.groupBy("_text").agg(F.first("_key").alias("_key"), F.first("n").alias("n"), F.sum(F.aggregate(F.transform("_x", lambda x: x * x), F.lit(0.0), add)).alias("_square"))
+    products = lag_products(named.drop("_key"), ["_text"], longest).join(squares, "_text").where(F.col("lag") <= F.floor(F.col("n") / 2))
+    value = F.when(F.col("_square") / F.col("n") < 1e-12, 0.0).when(F.col("lag") == 0, 1.0).otherwise(F.col("product") / F.col("_square"))
+    best = F.max(F.when(F.col("lag") >= 2, F.struct("r", (-F.col("lag")).alias("l"))))
+    long = products.withColumn("r", value).groupBy("_text").agg(
+        F.first("_key").alias("_key"), F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda p: p["r"]).alias("acf"), best.alias("_best")
+    )
+    long = long.select("_key", "acf", F.col("_best.r").alias("acf_peak"), (-F.col("_best.l")).alias("acf_lag"))
+    return short.unionByName(long).select(*[F.col("_key")[k].alias(k) for k in keys], "acf", "acf_peak", "acf_lag")
 
 
 def dominant_frequency(rows: DataFrame, keys: list[str]) -> DataFrame:
