@@ -54,9 +54,9 @@ def detect_scan(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     base = F.least(F.lit(1.0), F.col("unique_ports") / params.scan_full_ports)
     confidence = F.when(failed, F.least(F.lit(1.0), base + 0.10)).otherwise(base)
     text = reason(
-        F.format_string("%d unique destination ports probed (threshold %d)", "unique_ports", F.lit(params.scan_ports)),
-        F.format_string("%d total flows from this source", "attempts"),
-        F.when(failed, F.format_string("connection state '%s' (incomplete handshake)", "conn_state")),
+        F.format_string("ports=%d>=%d", "unique_ports", F.lit(params.scan_ports)),
+        F.format_string("attempts=%d", "attempts"),
+        F.when(failed, F.format_string("last attempt ended in state %s", "conn_state")),
     )
     return _detections(rows, "RECON_PORT_SCAN", confidence, text, "scan")
 
@@ -79,10 +79,10 @@ def detect_ddos(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     base = zscore_confidence(F.col("z"), params.z_ceiling)
     confidence = F.when(diverse & many, F.least(F.lit(1.0), base + 0.15)).otherwise(base)
     text = reason(
-        F.when(fast, F.format_string("flow rate z-score %.1f (threshold %.1f)", "z", F.lit(params.ddos_z))),
-        F.when(diverse, F.format_string("source IP entropy %.2f (high = many distinct sources)", "entropy")),
-        F.when(many, F.format_string("%d unique source IPs in window", "sources")),
-        otherwise="DDoS indicators detected",
+        F.when(fast, F.format_string("rate z=%.1f>%.1f", "z", F.lit(params.ddos_z))),
+        F.when(diverse, F.format_string("sources spread over %.2f bits", "entropy")),
+        F.when(many, F.format_string("sources=%d", "sources")),
+        otherwise="flood",
     )
     return _detections(rows, "DDOS", confidence, text, "ddos")
 
@@ -104,10 +104,10 @@ def detect_beacon(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     base = clip01(F.lit(1.0) - F.col("cv") / params.beacon_cv)
     confidence = F.when(periodic, F.least(F.lit(1.0), base + 0.15)).otherwise(base)
     text = reason(
-        F.format_string("inter-arrival CV %.3f (threshold < %.2f)", "cv", F.lit(params.beacon_cv)),
-        F.format_string("%d periodic flows to same destination", "flows"),
-        F.when(periodic, F.format_string("autocorrelation peak %.2f confirms periodicity", "acf_peak")),
-        F.when(F.col("mean_gap") > 0, F.format_string("estimated beacon interval %.1fs", "mean_gap")),
+        F.format_string("gaps vary by %.3f of their mean, at most %.2f", "cv", F.lit(params.beacon_cv)),
+        F.format_string("flows of the pair=%d", "flows"),
+        F.when(periodic, F.format_string("acf=%.2f", "acf_peak")),
+        F.when(F.col("mean_gap") > 0, F.format_string("every %.1f s", "mean_gap")),
     )
     return _detections(rows, "C2_BEACONING", confidence, text, "beacon")
 
@@ -121,7 +121,7 @@ def detect_beacon_proxy(features: DataFrame, params: Params = DEFAULTS) -> DataF
     few = (F.col("unique_ips") <= 2) & (F.col("source_flow_count") >= 10)
     rows = features.where((F.col("source_flow_count") >= params.beacon_min_flows) & (F.col("mean_gap") > 0))
     rows = rows.withColumn("cv", F.when(few, 0.1).otherwise(1.0)).where(F.col("cv") <= params.beacon_cv).withColumn("event_time", F.col("ts"))
-    text = F.format_string("inter-arrival CV %.3f (threshold < %.2f)", "cv", F.lit(params.beacon_cv))
+    text = F.format_string("gaps taken to vary by %.3f of their mean, at most %.2f", "cv", F.lit(params.beacon_cv))
     return _detections(rows, "C2_BEACONING", clip01(F.lit(1.0) - F.col("cv") / params.beacon_cv), text, "beacon-proxy")
 
 
@@ -134,9 +134,9 @@ def detect_exfil(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     for limit in (100, 1000):
         confidence = F.when(ratio > limit, F.least(F.lit(1.0), confidence + 0.20)).otherwise(confidence)
     text = reason(
-        F.format_string("outbound:inbound ratio %.1f (threshold %.1f)", "upload_download_ratio", F.lit(params.exfil_ratio)),
-        F.format_string("%d KB outbound (min %d KB)", F.floor(F.col("bytes_out") / 1024 + 0.5).cast("long"), F.lit(params.exfil_min_bytes // 1024)),
-        F.when(F.col("z") > params.exfil_z, F.format_string("ratio z-score %.1f (well above normal)", "z")),
+        F.format_string("sent over received=%.1f>=%.1f", "upload_download_ratio", F.lit(params.exfil_ratio)),
+        F.format_string("sent=%d bytes", F.col("bytes_out").cast("long")),
+        F.when(F.col("z") > params.exfil_z, F.format_string("ratio z=%.1f", "z")),
     )
     return _detections(rows, "DATA_EXFILTRATION", confidence, text, "exfil")
 
@@ -151,9 +151,9 @@ def detect_tls(flows: DataFrame, blocklist: DataFrame, params: Params = DEFAULTS
     listed = F.when(F.col("blocklist_hit"), F.lit(params.tls_blocklist_confidence)).otherwise(0.0)
     rows = rows.withColumn("_p", F.greatest(listed, model)).withColumn("_m", model).where(F.col("_p") >= params.tls_probability).withColumn("event_time", F.col("ts"))
     text = reason(
-        F.when(F.col("blocklist_hit"), F.format_string("JA3 %s... matched blocklist", F.substring("ja3", 1, 16))),
-        F.when(F.col("_m") > 0.5, F.format_string("classifier confidence %.2f (suspicious packet/timing pattern)", "_m")),
-        otherwise="TLS malware indicators detected",
+        F.when(F.col("blocklist_hit"), F.format_string("listed fingerprint %s", "ja3")),
+        F.when(F.col("_m") > 0.5, F.format_string("model=%.2f", "_m")),
+        otherwise="fingerprint or model",
     )
     return _detections(rows, "ENCRYPTED_MALWARE", F.col("_p"), text, "tls")
 
@@ -166,10 +166,10 @@ def detect_dns_tunnel(scored: DataFrame, params: Params = DEFAULTS) -> DataFrame
     """
     rows = scored.where("dns_query is not null").where(F.col("probability") >= params.dga_probability).withColumn("event_time", F.col("ts"))
     text = reason(
-        F.format_string("DGA/tunnel probability %.2f", "probability"),
-        F.when(F.col("dns_entropy") > params.dga_entropy, F.format_string("domain entropy %.2f (typical benign < %.1f)", "dns_entropy", F.lit(params.dga_entropy))),
-        F.when(F.col("dns_query_length") > 30, F.format_string("query length %d", F.col("dns_query_length").cast("int"))),
-        F.when(F.col("ngram_score") < -5, F.format_string("n-gram score %.1f (not English-like)", "ngram_score")),
+        F.format_string("model=%.2f for a generated name", "probability"),
+        F.when(F.col("dns_entropy") > params.dga_entropy, F.format_string("letters spread over %.2f bits, above %.1f", "dns_entropy", F.lit(params.dga_entropy))),
+        F.when(F.col("dns_query_length") > 30, F.format_string("letters=%d", F.col("dns_query_length").cast("int"))),
+        F.when(F.col("ngram_score") < -5, F.format_string("letter pairs score %.1f", "ngram_score")),
     )
     return _detections(rows, "DGA_DNS_TUNNELING", F.col("probability"), text, "dns")
 
