@@ -24,7 +24,7 @@ def flows(spark, rows):
 def test_scan(spark):
     probe = flows(spark, [{"ts": 100 + k / 100, "port": k, "state": "S0"} for k in range(200)])
     row = detectors.detect_scan(probe).first()
-    assert row["threat_class"] == "RECON_PORT_SCAN" and row["confidence"] == 1.0 and row["evidence"][0].startswith("200 unique")
+    assert row["threat_class"] == "RECON_PORT_SCAN" and row["confidence"] == 1.0 and row["evidence"][0].startswith("ports=200")
     assert detectors.detect_scan(flows(spark, [{"ts": 100 + k / 100, "port": k} for k in range(19)])).count() == 0
 
 
