@@ -242,17 +242,89 @@ def test_a_large_bucket_of_near_copies_is_one_group(spark):
     assert {r["component_id"] for r in groups.collect()} == {0}
 
 
-def test_every_disguise_is_decoded():
+def char_model(words, weight=100):
     counts = {}
-    for word in "you are a an the on is to was that with stupid idiot moron scum ass".split():
+    for word in words:
         padded = f"  {word} "
         for k in range(len(padded) - 2):
-            counts[padded[k : k + 3]] = counts.get(padded[k : k + 3], 0) + 100
-    model = toxicity.CharModel(counts)
+            counts[padded[k : k + 3]] = counts.get(padded[k : k + 3], 0) + weight
+    return toxicity.CharModel(counts)
+
+
+VOCABULARY = "you are a an the on is to was that with such well he man and stupid idiot moron scum ass clown worthless".split()
+
+
+def test_every_disguise_is_decoded():
+    model = char_model(VOCABULARY)
+    boundaries = toxicity.Boundaries(model)
     for text, want in {
         "are a m o r o n": "moron", "a s t u p i d": "stupid", "y o u i d i o t": "idiot", "m o r o n.": "moron", "so " + "a s t u p i d " * 6: "stupid",
         "i#d#i#o#t": "idiot", "m^o^r^o^n": "moron", "s%t%u%p%i%d": "stupid", "@55": "ass", "$(|_|/\\/\\": "scum",
         "mmoorroonn": "moron", "ssttuuppiidd": "stupid", "i" * 50 + "diot": "idiot", "m" + "-" * 60 + "oron": "moron",
+        "such a i d i o t": "idiot", "well a m o r o n": "moron", "u r a 1 d 1 0 t": "idiot", "i  d  i  o  t": "idiot", "id iot": "idiot", "that is id iot you": "idiot",
+        "iddiot": "idiot", "iidioott": "idiot", "i_d_i_o_t_" * 6: "idiot", "i d i o t " * 8: "idiot", "m0 r0n": "moron", "you_1d10t": "idiot", "w o r t h l e s s": "worthles",
     }.items():
-        assert want in {w for t in toxicity.text_tokens(text) for w in toxicity.token_words(t, model)}, text
-    assert toxicity.token_words("moron", model) == ["moron"] and toxicity.restore("", model) == ""
+        (tokens,) = toxicity.text_tokens([text], boundaries)
+        assert any(w.startswith(want) for t in tokens for w in toxicity.token_words(t, model)), text
+    assert toxicity.token_words("moron", model) == ["moron"] and toxicity.restore("", model) == []
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    model, rng = char_model(VOCABULARY), random.Random(8)
+
+    def best(signs, at, state):
+        if at == len(signs):
+            return 0.0 if state == "  " else model.logp(state, " ")
+        moves = toxicity.steps(signs, at, state, model, True, toxicity.DRAWING.search(signs) is not None)
+        return max(cost + best(signs, place, to) for place, to, cost, _ in moves)
+
+    for _ in range(60):
+        signs = "".join(rng.choices("idoat10@ -_|()ss", k=rng.randint(1, 8)))
+        assert abs(best(signs, 0, "  ") - toxicity._restore(signs, model, True)[0]) < 1e-9, signs
+
+
+def test_boundaries_join_what_the_whole_lattice_joins():
+    model, rng = char_model(VOCABULARY), random.Random(9)
+    boundaries = toxicity.Boundaries(model)
+    for _ in range(80):
+        text = " ".join(rng.choice(("id", "iot", "mo", "ron", "stu", "pid", "you", "are", "clo", "wn", "that")) for _ in range(4))
+        whole = toxicity._restore(text, model, True)[1]
+        (tokens,) = toxicity.text_tokens([text], boundaries)
+        read = {w for t in tokens for w in toxicity.token_words(t, model)}
+        first, at = [], text.replace(" ", "")
+        for w in whole:  # the words of the best path come first and spell the text
+            if not at.startswith(w):
+                break
+            first.append(w)
+            at = at[len(w):]
+        assert set(first) <= read, text
+
+
+def test_long_runs_are_read_to_their_end():
+    model = char_model(VOCABULARY)
+    boundaries = toxicity.Boundaries(model)
+    (tokens,) = toxicity.text_tokens(["y o u a r e " * 2000 + "m o r o n"], boundaries)
+    assert any(w.startswith("moron") for t in tokens for w in toxicity.token_words(t, model))
+
+
+def test_disguised_words_of_held_out_rows_are_found(spark):
+    """Nine in ten of the toxic rows that are found as written are found with their words in disguise."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, weights, base = toxicity.fit(docs, labels)
+    held = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").where(toxicity.in_fold()).collect()]
+    stems = tuple(k.lstrip("=") for k in weights)
+    scorer, rng = toxicity.Scorer(model, weights, base), random.Random(1)
+    swap = {"i": "1", "o": "0", "a": "@", "e": "3", "s": "$"}
+    ways = (
+        lambda w: " ".join(w), lambda w: "_".join(w), lambda w: "".join(swap.get(c, c) for c in w), lambda w: "".join(c * 2 for c in w),
+        lambda w: w[: len(w) // 2] + "." + w[len(w) // 2 :], lambda w: w[0] + w[1] * 3 + w[2:],
+    )
+    found = hidden = 0
+    for text, (score, _) in zip(held, list(scorer(held))):
+        if score >= toxicity.THRESHOLD:
+            way = rng.choice(ways)
+            words = [way(w.lower()) if w.lower().startswith(stems) else w for w in text.split()]
+            hidden += 1
+            found += next(scorer([" ".join(words)]))[0] >= toxicity.THRESHOLD
+    assert not hidden or found >= 0.9 * hidden

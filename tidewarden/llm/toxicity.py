@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ STEMS = (4, 5, 6)
 #: large share of toxic texts more, and be right this often.
 MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
 MEMO = 400_000
+#: A word counts that is on a path this close to the best one, as a difference of logarithms.
+MARGIN = 5.0
+#: Signs that are decoded at once and what windows share; characters of texts whose blanks are looked up at once.
+READ, OVERLAP, GROUP_CHARS = 4096, 128, 1 << 18
+LEAST = -math.inf
 
 # Letters that a sign can stand for.
 LOOK_ALIKES = {
@@ -42,15 +48,19 @@ DRAWN = {
     "/-\\": "a", "()": "o", "[]": "o", "|)": "d", "|3": "b", "|-|": "h", "|<": "k", "|=": "f", "><": "x",
 }
 SEPARATORS = ".-_*~,'’·:/\\ "
-#: Log costs of the channel: a swap, a mark between letters, a repeated letter, a blank that ends a word.
-SWAP, MARK, REPEAT, BREAK = -1.5, -0.3, -1.2, -0.3
+#: Log costs of the channel: a swap, a mark between letters, a repeated letter, a mark that ends a word, a blank inside a word;
+#: a blank between single signs is as a mark.
+SWAP, MARK, REPEAT, BREAK, DROP = -1.5, -0.3, -1.2, -0.3, -2.5
+#: Kinds of pieces: of several letters, of one, with several readings at an end, and read with whatever is around.
+MANY, ONE, SEVERAL, WILD = range(4)
 #: Letters of the model; any other letter is one class of its own.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$~`´-_=+/\\…«»„“”‚‘’"
-SPACED = re.compile(r"(?<!\S)(?:[^\s][ .*_-]){3,}[^\s](?=[.,;:!?\"')\]]*(?!\S))")
-REPEATED = re.compile(r"(.)\1")
+INNER_EDGES = ".,;:?\"'()[]{}<>*#%&~`´-_=/\\…«»„“”‚‘’"
+REPEATED, TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 DRAWING = re.compile("|".join(map(re.escape, DRAWN)))
+MARKED = re.compile(f"[{re.escape(SEPARATORS)}]+")
 PARTS = re.compile(r"[^\W\d_]+")
 
 
@@ -120,60 +130,244 @@ class CharModel:
         return math.log(0.7 * three + 0.2 * two + 0.1 * one)
 
 
-def restore(token: str, model: CharModel, breaks: bool = False, repeats: bool = True) -> str:
-    """The most likely word behind a lower-case token; '' if it holds no letters.
+def moves(signs: str, at: int, drawn: bool) -> list[tuple[int, str, float]]:
+    """Width, letter and cost of what the signs from ``at`` on can write."""
+    seen = signs[at]
+    made = [(1, seen, 0.0)] if seen.isalpha() else [(1, x, SWAP) for x in LOOK_ALIKES.get(seen, "")]
+    if drawn:
+        made += [(k, DRAWN[signs[at : at + k]], SWAP) for k in (2, 3, 4) if signs[at : at + k] in DRAWN and at + k <= len(signs)]
+    return made
 
-    States are the last two letters written; each keeps its best score and a link to
-    what was written.  With ``breaks`` a blank may also end a word, and the words are
-    returned with blanks between them; without ``repeats`` every letter is written.
+
+def blanks(signs: str, at: int, options: list) -> tuple[float, float] | None:
+    """Costs of leaving a sign out and of ending a word with it, or None if it must be read."""
+    if signs[at] == " " and not (signs[at - 2 : at - 1] in ("", " ") and signs[at + 2 : at + 3] in ("", " ")):
+        return DROP, 0.0
+    return (MARK, BREAK) if signs[at] in SEPARATORS or not options else None
+
+
+def steps(signs: str, at: int, state: str, model: CharModel, repeats: bool, drawn: bool) -> list[tuple[int, str, float, str]]:
+    """Where the lattice goes from a state before sign ``at``: place, state, score and what is written.
+
+    A letter is written, by itself or for a look-alike or a drawing; a repeated letter, a
+    mark or a blank is left out; or a mark or a blank ends a word.
+    """
+    options = moves(signs, at, drawn)
+    out = [(at + width, state[1] + x, cost + model.logp(state, x), x) for width, x, cost in options]
+    if repeats and state[1] != " " and any(x == state[1] for width, x, _ in options if width == 1):
+        out.append((at + 1, state, REPEAT, ""))
+    costs = blanks(signs, at, options)
+    if costs:
+        out.append((at + 1, state, costs[1] if state == "  " else costs[0], ""))
+        if state != "  ":
+            out.append((at + 1, "  ", costs[1] + model.logp(state, " "), " "))
+    return out
+
+
+def restore(signs: str, model: CharModel, repeats: bool = True) -> list[str]:
+    """The words on paths through the lattice of lower-case signs that are about as likely as the best.
+
+    States are the last two letters written, two blanks between words.  Viterbi forward
+    gives the best score to each state of each place, and backward the best one from
+    it; a word counts if the best path that starts it is within ``MARGIN`` of the best
+    of all, and so does what it makes with the two words after it, since ends of words
+    are the least certain where every letter is set apart.  The words of the best path
+    come first.  Without ``repeats`` every letter is written.  Long runs are read in
+    windows that overlap by more than a word.
     """
-    drawn = DRAWING.search(token) is not None
-    ahead: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(5)]  # by position, modulo the longest drawing and one
-    ahead[0]["  "] = (0.0, None)
-    for at, seen in enumerate(token):
-        states, ahead[at % 5] = ahead[at % 5], {}
-        options = [(1, seen, 0.0)] if seen.isalpha() else [(1, x, SWAP) for x in LOOK_ALIKES.get(seen, "")]
-        skip, new = seen in SEPARATORS or not options, ahead[(at + 1) % 5]
-        longer = [(k, DRAWN[token[at : at + k]], SWAP) for k in (2, 3, 4) if token[at : at + k] in DRAWN and at + k <= len(token)] if drawn else []
-        for state, (score, text) in states.items():
-            for width, x, cost in options + longer:
-                key, value, to = state[1] + x, score + cost + model.logp(state, x), new if width == 1 else ahead[(at + width) % 5]
-                if key not in to or to[key][0] < value:
-                    to[key] = (value, (x, text))
-            stay = [score + MARK] if skip else []
-            if repeats and state[1] != " " and any(x == state[1] for _, x, _ in options):
-                stay.append(score + REPEAT)
-            for value in stay:
-                if state not in new or new[state][0] < value:
-                    new[state] = (value, text)
-            if breaks and seen == " " and state[1] != " ":
-                value = score + BREAK + model.logp(state, " ")
-                if "  " not in new or new["  "][0] < value:
-                    new["  "] = (value, (" ", text))
-    _, text = max(((score + model.logp(state, " "), text) for state, (score, text) in ahead[len(token) % 5].items()), key=lambda x: x[0])
-    letters = []
-    while text is not None:
-        letters.append(text[0])
-        text = text[1]
-    return "".join(reversed(letters))
+    found: dict[str, None] = {}
+    for at in range(0, max(1, len(signs) - OVERLAP), READ - OVERLAP):
+        found |= dict.fromkeys(_restore(signs[at : at + READ], model, repeats)[1])
+    return [*found]
+
+
+def _restore(signs: str, model: CharModel, repeats: bool) -> tuple[float, list[str]]:
+    drawn, n = DRAWING.search(signs) is not None, len(signs)
+    ahead: list[dict[str, float]] = [{} for _ in range(n + 1)]
+    edges: list[dict[str, list]] = []
+    ahead[0]["  "] = 0.0
+    for at in range(n):
+        edges.append({})
+        for state, score in ahead[at].items():
+            edges[at][state] = made = steps(signs, at, state, model, repeats, drawn)
+            for place, to, cost, _ in made:
+                if ahead[place].get(to, LEAST) < score + cost:
+                    ahead[place][to] = score + cost
+    behind: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
+    behind[n] = {state: (0.0 if state == "  " else model.logp(state, " "), n, "  ", " ") for state in ahead[n]}
+    for at in range(n - 1, -1, -1):
+        for state, made in edges[at].items():
+            behind[at][state] = max((cost + behind[place][to][0], place, to, x) for place, to, cost, x in made)
+    best = behind[0]["  "][0]
+
+    def word(at: int) -> tuple[str, int]:
+        """The word that the best path from a word's start writes, and where it ends."""
+        state, letters = "  ", []
+        while at < n:
+            _, at, state, x = behind[at][state]
+            if x == " " and letters:
+                break
+            letters += x
+        return "".join(letters), at
+
+    words, at = [], 0
+    while at < n:
+        made, at = word(at)
+        words.append(made)
+    for at in range(n):
+        if "  " in ahead[at] and ahead[at]["  "] + behind[at]["  "][0] >= best - MARGIN:
+            one, end = word(at)
+            two, end = word(end)
+            words += [one, one + two, one + two + word(end)[0]]
+    return best, [*dict.fromkeys(w for w in words if w)]
+
+
+def listed(word: str) -> list[str] | None:
+    """All readings of a word of letters with at most two doubled ones; None if there are more."""
+    doubled = REPEATED.findall(word)
+    if len(doubled) > 2 or TRIPLED.search(word):
+        return None
+    made = [word]
+    for letter in doubled:
+        made += [w.replace(letter * 2, letter, 1) for w in made if letter * 2 in w]
+    return made
 
 
 def token_words(token: str, model: CharModel) -> list[str]:
-    """The words of a lower-case token: itself, or its parts and what they restore to.
+    """The words of lower-case signs: themselves, or their parts and what they restore to.
 
-    A word of letters that never repeat one in a row has no other reading; every other
-    token is decoded.  A run of spaced signs is decoded with and without ends of words.
+    A word of letters that never repeat one in a row has no other reading, and the few
+    readings of one with a doubled letter or two are listed; all else is decoded.
     """
     if " " in token:
-        return [*dict.fromkeys([*restore(token, model, breaks=True).split(), *token_words(re.sub(r"[ .*_-]", "", token), model)])]
+        pieces = token.split()
+        plain = all(len(p) > 1 and p.isalpha() and not REPEATED.search(p) for p in pieces)
+        return ["".join(pieces)] if plain else restore(token, model)
     core = token.strip(EDGES)
-    if core.isalpha() and not REPEATED.search(core):
-        return [core]
-    inner = token.strip(".,;:?\"'()[]{}<>*#%&~`´-_=/\\…«»„“”‚‘’")
-    read = {restore(t, model) for t in {core, inner, token}}
+    if core.isalpha() and (read := listed(core)):
+        return read
+    inner = token.strip(INNER_EDGES)
+    read = {w for t in {core, inner, token, *MARKED.split(token)} for w in restore(t, model)}
     if REPEATED.search(core) and not core.isalpha():
-        read.add(restore(core, model, repeats=False))
-    return [*dict.fromkeys([*PARTS.findall(token), *sorted(read - {""})])]
+        read.update(restore(core, model, repeats=False))
+    return [*dict.fromkeys([*PARTS.findall(token), *sorted(read)])]
+
+
+def trimmed(chunk: str) -> str:
+    """A chunk without the marks around it, but for look-alikes that it begins with."""
+    return chunk.lstrip(INNER_EDGES).rstrip(EDGES)
+
+
+class Boundaries:
+    """Which blanks of a text the lattice of the whole text leaves out.
+
+    The best path leaves out the blank between two chunks only if running on scores
+    better than a word end there, and that is a matter of the two letters before and
+    after it: a table of all such letters tells.  Where signs at the ends of chunks have
+    several readings, any that runs on counts; a chunk of one letter is tried with both
+    sides, and several in a row are always read together.  So decoding the runs found
+    here gives every word that is read across blanks, without decoding the rest.
+    """
+
+    def __init__(self, model: CharModel):
+        letters = LETTERS + "?"
+        self.code, self.n, self.shapes, self.many = {c: k for k, c in enumerate(letters)}, len(letters), {}, {}
+        pairs, n = [a + b for a in letters for b in letters], len(letters)
+        self.pairs = {p: k for k, p in enumerate(pairs) if p[0] != p[1] and "?" not in p}
+        self.follow = np.array([[model.logp(p, c) for c in letters] for p in pairs], np.float32)
+        self.ends = np.array([model.logp(p, " ") for p in pairs], np.float32)
+        self.one_end = np.array([model.logp(" " + a, " ") for a in letters], np.float32)
+        self.start = np.array([model.logp("  ", a) for a in letters], np.float32)
+        self.second = np.array([[model.logp(" " + a, b) for b in letters] for a in letters], np.float32)
+        self.start_two = (self.start[:, None] + self.second).ravel()
+        run_on = self.follow.reshape(n, n, n, 1) + self.follow.reshape(1, n, n, n)  # tail letters, then head letters
+        self.joins = run_on.reshape(n * n, n * n) + np.float32(DROP) > self.ends[:, None] + self.start_two
+
+    def shape(self, chunk: str) -> int:
+        """Kind, tails and heads of a chunk in one number; -1 if it holds no letter."""
+        piece = trimmed(chunk)
+        if len(self.shapes) >= MEMO:
+            self.shapes.clear()
+            self.many.clear()
+        head, tail = self.pairs.get(piece[:2]), self.pairs.get(piece[-2:])
+        if head is not None and tail is not None:  # two letters that differ at either end
+            self.shapes[chunk] = made = MANY | tail << 2 | tail << 14 | head << 26 | head << 38
+            return made
+        signs = [self.code[model_letter(c)] if c.isalpha() else [self.code[x] for x in LOOK_ALIKES.get(c, "")] for c in piece]
+        read = [[s] if isinstance(s, int) else s for s in signs if s != []]
+        if not read:
+            made = -1
+        elif DRAWING.search(piece):
+            made = WILD
+        elif len(read) == 1:
+            made = ONE | read[0][0] << 2
+            if len(read[0]) > 1:
+                made = WILD
+        else:
+            heads, tails = ([a * self.n + b if way == 1 else b * self.n + a for a, b in self.ends_of(read[::way])] for way in (1, -1))
+            if len(heads) > 2 or len(tails) > 2:
+                made, self.many[chunk] = SEVERAL | tails[0] << 2 | heads[0] << 26, (tails, heads)
+            else:
+                made = MANY | tails[0] << 2 | tails[-1] << 14 | heads[0] << 26 | heads[-1] << 38
+        self.shapes[chunk] = made
+        return made
+
+    @staticmethod
+    def ends_of(read: list[list[int]]) -> list[tuple[int, int]]:
+        """What the first two letters of ``read`` can be, a letter that repeats counting once or twice."""
+        out = {(a, b) for a in read[0] for b in read[1]}
+        for a in read[0]:
+            at = 1
+            while at < len(read) and a in read[at]:
+                at += 1
+                out.update((a, b) for b in (read[at] if at < len(read) else []))
+        return sorted(out)
+
+    def runs(self, texts: list[str]) -> list[list[str]]:
+        """For each lower-case text the runs of its pieces that are read together, with blanks between them."""
+        known, chunks, ends = self.shapes, [], []
+        for text in texts:
+            chunks += text.split()
+            ends.append(len(chunks))
+        made = np.fromiter((known[p] if p in known else self.shape(p) for p in chunks), np.int64, len(chunks))
+        text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+        place = np.flatnonzero(made >= 0)
+        made, text_of = made[place], text_of[place]
+        out: list[list[str]] = [[] for _ in texts]
+        if len(made) < 2:
+            return out
+        kind, n, mask = made & 3, self.n, (1 << 12) - 1
+        tail, tail2, head, head2 = ((made >> k & mask).astype(np.int32) for k in (2, 14, 26, 38))
+        t, u, h, i = tail[:-1], tail2[:-1], head[1:], head2[1:]
+        many, one, wild, several = (kind == k for k in (MANY, ONE, WILD, SEVERAL))
+        linked = self.joins[t, h]
+        for a, b in ((u, h), (t, i), (u, i)):
+            differ = np.flatnonzero(((a is u) & (u != t)) | ((b is i) & (i != h)))
+            linked[differ] |= self.joins[a[differ], b[differ]]
+        linked &= many[:-1] & many[1:]
+        linked |= one[:-1] & one[1:]
+        at = 1 + np.flatnonzero(one[1:-1] & many[:-2] & many[2:])
+        c, t, h = tail[at], tail[at - 1], head[at + 1]
+        into, out_of = self.follow[t, c] + DROP, self.follow[c * n + h // n, h % n] + DROP
+        neither = self.ends[t] + self.start[c] + self.one_end[c] + self.start_two[h]
+        left = into + self.ends[t % n * n + c] + self.start_two[h]
+        right = self.ends[t] + self.start[c] + self.second[c, h // n] + out_of
+        both = into + self.follow[t % n * n + c, h // n] + out_of
+        linked[at - 1] = np.maximum(left, both) > np.maximum(neither, right)
+        linked[at] = np.maximum(right, both) > np.maximum(neither, left)
+        linked |= wild[:-1] | wild[1:] | (one[:-1] & several[1:]) | (several[:-1] & one[1:])
+        for k in np.flatnonzero(several).tolist():
+            for a, b in ((k - 1, k), (k, k + 1)):
+                if a >= 0 and b < len(made) and kind[a] in (MANY, SEVERAL) and kind[b] in (MANY, SEVERAL):
+                    one_side, other = self.many.get(chunks[place[a]]), self.many.get(chunks[place[b]])
+                    tails = one_side[0] if one_side else [tail[a], tail2[a]]
+                    heads = other[1] if other else [head[b], head2[b]]
+                    linked[a] |= self.joins[np.ix_(tails, heads)].any()
+        linked &= text_of[:-1] == text_of[1:]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], linked.view(np.int8), [0]))))
+        for a, b in edges.reshape(-1, 2).tolist():
+            out[text_of[a]].append(" ".join(trimmed(chunks[k]) for k in place[a : b + 1].tolist()))
+        return out
 
 
 def word_features(words: list[str]) -> list[str]:
@@ -185,15 +379,30 @@ def word_features(words: list[str]) -> list[str]:
     return out
 
 
-def text_tokens(text: str) -> set[str]:
-    """Different tokens of a text; a run of single spaced signs is one token too, with its blanks and without."""
-    low = text.lower()
-    tokens = set(low.split())
-    for run in SPACED.finditer(low):
-        joined = re.sub(r"[ .*_-]", "", run.group())
-        if len(set(joined)) > 1:
-            tokens.add(run.group() if " " in run.group() else joined)
-    return tokens
+def unmarked(text: str) -> str:
+    """A text without the sentence marks that end chunks, which no reading minds."""
+    for mark in ",.;:?":
+        text = text.replace(mark + " ", " ").replace(mark + "\n", "\n")
+    return text
+
+
+def text_tokens(texts: list[str], boundaries: Boundaries) -> list[set[str]]:
+    """Different tokens of each text, and the runs of pieces that are read across blanks."""
+    low = [unmarked(t.lower()) for t in texts]
+    return [{*t.split(), *runs} for t, runs in zip(low, boundaries.runs(low))]
+
+
+def in_groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in their order, in lists of about ``GROUP_CHARS`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def in_fold(doc_id: str = "doc_id", held_out: int = HELD_OUT):
@@ -228,12 +437,15 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
+        boundaries = Boundaries(model)
         toxic: dict[str, tuple[set[int], list[int]]] = {}
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            for number, text, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            numbers, texts, marks = (batch.column(k).to_pylist() for k in range(3))
+            held = (tokens for group in in_groups([t or "" for t in texts]) for tokens in text_tokens(group, boundaries))
+            for number, tokens, label in zip(numbers, held, marks):
                 features = set()
-                for token in text_tokens(text or ""):
+                for token in tokens:
                     if token not in known:
                         if len(known) >= MEMO:
                             known.clear()
@@ -274,7 +486,7 @@ class Scorer:
     """Scores texts with a lexicon; remembers what it found in tokens."""
 
     def __init__(self, model: CharModel, weights: dict[str, float], base: float):
-        self.model, self.weights, self.base, self.memo = model, weights, base, {}
+        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, {}, Boundaries(model)
 
     def entries(self, token: str) -> tuple[str, ...]:
         if len(self.memo) >= MEMO:
@@ -283,12 +495,14 @@ class Scorer:
         self.memo[token] = found
         return found
 
-    def __call__(self, text: str | None) -> tuple[float, int]:
-        """The probability that a text is toxic, and the lexicon entries it holds."""
-        tokens, memo = text_tokens(text or ""), self.memo
-        found = {f for t in tokens for f in (memo[t] if t in memo else self.entries(t))}
-        total = max(self.weights[f] for f in found) + math.log(len(found)) if found else self.base
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
+        """The probability that each text is toxic, and the number of lexicon entries it holds."""
+        memo = self.memo
+        for group in in_groups([t or "" for t in texts]):
+            for tokens in text_tokens(group, self.boundaries):
+                found = {f for t in tokens for f in (memo[t] if t in memo else self.entries(t))}
+                total = max(self.weights[f] for f in found) + math.log(len(found)) if found else self.base
+                yield 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
 
 
 def score(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) -> DataFrame:
@@ -298,7 +512,7 @@ def score(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*fitted)
         for batch in batches:
-            made = [scorer(t.as_py()) for t in batch.column(1)]
+            made = [*scorer(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int64())], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_hits long")
@@ -312,7 +526,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*fitted)
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py())[0] < THRESHOLD for t in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array([x < THRESHOLD for x, _ in scorer(batch.column(place).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
