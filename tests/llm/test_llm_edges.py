@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,40 @@ def test_pii_network_adds_written_out_forms():
     assert base == [] and {"email", "card"} <= {s[0] for s in spans}
 
 
+def test_pii_network_finds_nine_in_ten_of_each_kind():
+    made = [pii.training_sentence(rng) for rng in [np.random.default_rng(4711)] for _ in range(1500)]
+    seen, hit = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    for (text, labelled), (base, spans) in zip(made, pii.find_all([t for t, _ in made], pii.trained())):
+        for kind, a, b in labelled:
+            if a >= 2 and b <= len(text) - 2 and not any(s[0] == kind and s[1] <= a and s[2] >= b for s in base):
+                seen[kind] += 1
+                hit[kind] += any(s[0] == kind and min(b, s[2]) - max(a, s[1]) >= 0.8 * (max(b, s[2]) - min(a, s[1])) for s in spans)
+    assert all(hit[k] >= 0.9 * seen[k] and seen[k] > 50 for k in pii.KINDS), (hit, seen)
+
+
+def test_pii_reads_the_same_spans_in_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8)
+    spoken = spark.createDataFrame([(-k, f"{'word and word ' * k} write to jo at mail.com now please, 4111_1111_1111_1111 or 10 dot 0 dot 0 dot 7 {'end ' * k}") for k in range(1, 60)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(spoken)
+    part, whole = ({r["doc_id"]: r["spans"] for r in pii.find_pii(docs, whole=w).collect()} for w in (False, True))
+    assert part == whole and sum(part[-k].count(":") // 2 for k in range(1, 60)) >= 0.9 * 3 * 59
+
+
+def test_pii_gradients_of_the_field():
+    rng = np.random.default_rng(3)
+    scores, trans, tags = rng.standard_normal((5, 2, pii.TAGS)), rng.standard_normal((pii.TAGS, pii.TAGS)), rng.integers(0, pii.TAGS, (5, 2))
+    d_scores, d_trans, _ = pii.crf_gradients(scores, tags, trans)
+    for array, gradient in ((scores, d_scores), (trans, d_trans)):
+        for _ in range(10):
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            array[at] += 1e-5
+            above = pii.crf_gradients(scores, tags, trans)[2]
+            array[at] -= 2e-5
+            below = pii.crf_gradients(scores, tags, trans)[2]
+            array[at] += 1e-5
+            assert abs((above - below) / 2e-5 - gradient[at]) < 1e-4
+
+
 def test_scores(odd, none, labels):
     for score in (toxicity.toxicity, quality.quality):
         got = score(odd, labels)

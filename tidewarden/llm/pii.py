@@ -2,19 +2,27 @@
 
 Base spans follow four patterns, found in time linear in the text.  The network adds
 spans that are written otherwise, such as ``name (at) host (dot) org``.  It is trained
-from labelled spans in sentences that a fixed seed makes.  A text's windows overlap;
-where they do, their scores are averaged, and one Viterbi pass over the joined
-scores gives spans, so no window's edge decides.
-
-All kinds need a digit, an at-sign or a written-out dot, so stretches of text far
-from any of these are known to hold nothing and are not read by the network.
+from labelled spans in sentences that a fixed seed makes; ``python -m
+tidewarden.llm.pii`` trains it again and writes ``pii_weights.npz`` beside this
+module, so no query trains.  Windows start at fixed places of a text and overlap;
+where they do, their scores are averaged, and one Viterbi pass over the joined scores
+gives spans, so no window's edge decides.  A decoded span takes the edges of the
+written form that it lies on.
+
+A span of any kind has one of four written forms (``FORMS``), and each form holds an
+at-sign with a host and a dot after it, nine digits, or four groups of digits, with
+nothing but marks and dots between.  Text farther than ``MARGIN`` from all of these
+can hold no span and is not read by the network.
 """
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +32,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP, MARGIN = 96, 48, 48
 HIDDEN, TAGS = 16, 1 + 2 * len(KINDS)
-TRAIN_BATCHES, BATCH, RATE, SEED = 400, 48, 0.02, 11
-#: Windows that the network reads at once.
-GROUP = 1024
+TRAIN_BATCHES, BATCH, RATE, SEED = 1800, 64, 0.02, 11
+#: Windows that the network reads at once, and characters of texts, and of one stretch, that it has in memory.
+GROUP, GROUP_CHARS, STRETCH_CHARS = 1024, 1 << 19, 1 << 18
+WEIGHTS_FILE = "pii_weights.npz"
 
 Span = tuple[str, int, int]
 
@@ -36,7 +45,19 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?(?:at|dot) ?[)\]}>]|\bdot\b", re.IGNORECASE)
+
+_DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\s?\.\s?)"
+_HOST = r"[\w-]+(?:(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\s\.\s|\.)[\w-]+)+"
+#: What spans of each kind look like, however they are written out.
+FORMS = {
+    "email": re.compile(rf"\w[\w.%+-]*(?:\s?@\s?|\s?[(\[{{<]\s?(?:at|@)\s?[)\]}}>]\s?|\sat\s){_HOST}", re.IGNORECASE),
+    "ip": re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE),
+    "card": re.compile(r"[0-9](?:[\W_]{0,3}[0-9])+"),
+    "phone": re.compile(r"[+(]{0,2}[0-9](?:[\W_]{0,3}[0-9])+"),
+}
+AT_HOST = re.compile(rf"(?:@|[(\[{{<]\s?(?:at|@)\s?[)\]}}>]|\bat\s)\s?{_HOST}", re.IGNORECASE)
+NUMBER = re.compile(r"[0-9](?:(?:[\W_]|dot)*[0-9])+", re.IGNORECASE)
+GROUPS = re.compile(r"[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -121,8 +142,9 @@ def training_sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
         if kind == "ip":
             return kind, pick((".", ".", "[.]", "(.)", " . ", " dot ", "[dot]")).join(octets())
         if kind == "card":
-            sep = pick(("", " ", "-", ".", "/", "_", "  ", " - "))
-            return kind, sep.join(digits(4) for _ in range(4))
+            sep, number = pick(("", " ", "-", ".", "/", "_", "  ", " - ")), digits(15)
+            number += next(d for d in "0123456789" if luhn(number + d))
+            return kind, sep.join(number[k : k + 4] for k in range(0, 16, 4))
         plus = pick(("+", "+", "00", "tel: ", ""))
         form = pick(("{a} ({b}) {c}-{d}", "{a} {b} {c} {d}", "{a}-{b}-{c}-{d}", "{a}.{b}.{c}.{d}", "{a} {b}/{c}{d}"))
         made = form.format(a=digits(int(rng.integers(1, 3))), b=digits(3), c=digits(3), d=digits(4))
@@ -258,9 +280,15 @@ def crf_gradients(scores: np.ndarray, tags: np.ndarray, trans: np.ndarray) -> tu
     return d_scores / batch, d_trans / batch, float((total - gold).mean())
 
 
-@lru_cache(2)
-def trained(batches: int = TRAIN_BATCHES) -> Weights:
-    """Weights fitted with Adam on sentences of a fixed seed; kept for the process."""
+@lru_cache(1)
+def trained() -> Weights:
+    """The weights that :func:`train` made, from the file beside this module."""
+    with np.load(io.BytesIO(pkgutil.get_data(__package__, WEIGHTS_FILE))) as kept:
+        return {k: kept[k] for k in kept.files}
+
+
+def train(batches: int = TRAIN_BATCHES) -> Weights:
+    """Weights fitted with Adam on sentences of a fixed seed."""
     rng = np.random.default_rng(SEED)
     w, fixed = initial(rng), allowed()
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
@@ -290,44 +318,59 @@ def trained(batches: int = TRAIN_BATCHES) -> Weights:
 # -- decoding ------------------------------------------------------------------------
 
 
+def triggers(text: str) -> Iterator[tuple[int, int]]:
+    """Places that every span of a written form holds one of."""
+    low = text.lower()
+    if "@" in low or "at" in low:
+        for m in AT_HOST.finditer(text):
+            yield m.span()
+    for m in NUMBER.finditer(text):
+        parts = GROUPS.findall(m.group())
+        if len(parts) >= 4 or sum(map(len, parts)) >= 9:
+            yield m.span()
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within ``MARGIN`` of a trigger, merged where they meet."""
+    """Stretches of text within ``MARGIN`` of a trigger, merged where they meet.
+
+    One of more than ``STRETCH_CHARS`` is cut into parts that share twice the margin.
+    """
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for a, b in sorted(triggers(text)):
+        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return [(x, min(b, x + STRETCH_CHARS)) for a, b in out for x in range(a, max(a + 1, b - 2 * MARGIN), STRETCH_CHARS - 2 * MARGIN)]
 
 
 #: Weight of a window's score by its distance from the window's edges.
 WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of overlapping windows that cover ``n`` characters."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
+def joined_scores(texts: list[np.ndarray], parts: list[tuple[int, int, int]], w: Weights) -> list[np.ndarray]:
+    """The scores of each part ``(text, start, end)``: those of the windows over it, averaged.
 
-
-def joined_scores(parts: list[np.ndarray], w: Weights) -> list[np.ndarray]:
-    """For each stretch of classes, the scores of its overlapping windows, averaged."""
-    places = [(k, s) for k, part in enumerate(parts) for s in window_starts(len(part))]
-    totals = [np.zeros((len(p), TAGS), np.float32) for p in parts]
-    weights = [np.zeros((len(p), 1), np.float32) for p in parts]
+    Windows start at multiples of ``STEP`` and at minus ``STEP``, so what a place scores
+    does not depend on the parts asked for.
+    """
+    places = [(k, s) for k, (_, a, b) in enumerate(parts) for s in range(a // STEP * STEP - STEP, b, STEP)]
+    totals = [np.zeros((b - a, TAGS), np.float32) for _, a, b in parts]
+    weights = [np.zeros((b - a, 1), np.float32) for _, a, b in parts]
     blank = ALPHABET.index(" ")
     for at in range(0, len(places), GROUP):
         group = places[at : at + GROUP]
         x = np.full((WINDOW, len(group)), blank, np.int16)
         for j, (k, s) in enumerate(group):
-            piece = parts[k][s : s + WINDOW]
-            x[: len(piece), j] = piece
+            piece = texts[parts[k][0]][max(0, s) : s + WINDOW]
+            x[max(0, -s) : max(0, -s) + len(piece), j] = piece
         scores = emissions(x, w)
         for j, (k, s) in enumerate(group):
-            n = min(WINDOW, len(parts[k]) - s)
-            totals[k][s : s + n] += scores[:n, j] * WEIGHT[:n, None]
-            weights[k][s : s + n] += WEIGHT[:n, None]
+            _, a, b = parts[k]
+            lo, hi = max(a, s), min(b, s + WINDOW)
+            totals[k][lo - a : hi - a] += scores[lo - s : hi - s, j] * WEIGHT[lo - s : hi - s, None]
+            weights[k][lo - a : hi - a] += WEIGHT[lo - s : hi - s, None]
     return [t / n for t, n in zip(totals, weights)]
 
 
@@ -344,54 +387,84 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
-AT, DOT = re.compile(r"@|\bat\b", re.IGNORECASE), re.compile(r"\.|\bdot\b", re.IGNORECASE)
-
-
 def plausible(kind: str, text: str) -> bool:
-    """Whether a span that the network found can be what it says."""
+    """Whether a text of a kind's form can be what it says."""
     digits = digits_of(text)
     if kind == "email":
-        at = AT.search(text)
-        return bool(at and at.start() > 0 and DOT.search(text, at.end()) and text[-1].isalnum() and len(text) <= 120)
+        return any(c.isalpha() for c in text)
     if kind == "ip":
-        parts = re.findall(r"[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(DOT.findall(text)) >= 3
+        return all(int(p) <= 255 for p in GROUPS.findall(text))
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits) and not any(c.isalpha() for c in text)
-    return 9 <= len(digits) <= 15 and len(re.findall(r"[0-9]+", text)) >= 3 and not any(c.isalpha() for c in text)
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and len(GROUPS.findall(text)) >= 3
 
 
 def added_spans(text: str, at: int, tags: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Plausible spans of a decoded stretch that touch no span taken before."""
+    """Plausible spans of a decoded stretch that touch no span taken before.
+
+    A decoded span takes the edges of a text of its kind's form: for numbers those of the
+    groups of digits that it touches, else those of a form that it covers half of or that
+    covers half of it.
+    """
     out: list[Span] = []
-    starts = np.flatnonzero(tags % 2 == 1)
-    for s in starts:
+    for s in np.flatnonzero(tags % 2 == 1).tolist():
         end = s + 1
         while end < len(tags) and tags[end] == tags[s] + 1:
             end += 1
-        a, b = at + int(s), at + int(end)
-        piece = text[a:b]
-        a, b = a + len(piece) - len(piece.lstrip()), b - (len(piece) - len(piece.rstrip(" .,;:!?|\n")))
-        kind = KINDS[(int(tags[s]) - 1) // 2]
-        if a < b and plausible(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in taken):
-            out.append((kind, a, b))
+        kind, a, b = KINDS[(int(tags[s]) - 1) // 2], at + s, at + end
+        for x, y in written(kind, text, a, b):
+            both = min(b, y) - max(a, x)
+            if both > 0 and 2 * both >= min(b - a, y - x) and plausible(kind, text[x:y]) and all(y <= p or x >= q for _, p, q in [*taken, *out]):
+                out.append((kind, x, y))
+                break
     return out
 
 
-def find_all(texts: list[str], w: Weights) -> Iterator[tuple[list[Span], list[Span]]]:
-    """Base spans and all spans of each text."""
+def written(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Edges of the forms of a kind at a decoded span."""
+    if kind in ("email", "ip"):
+        for m in FORMS[kind].finditer(text, max(0, a - MARGIN), b + MARGIN):
+            yield m.span()
+        return
+    groups = [m.span() for m in GROUPS.finditer(text, max(0, a - MARGIN), b + MARGIN)]
+    groups = [(x, y) for x, y in groups if min(b, y) - max(a, x) > 0]
+    if groups:
+        x, y = groups[0][0], groups[-1][1]
+        while x > a and text[x - 1] in "+(":
+            x -= 1
+        if FORMS[kind].fullmatch(text, x, y):
+            yield x, y
+
+
+def find_all(texts: list[str], w: Weights, whole: bool = False) -> Iterator[tuple[list[Span], list[Span]]]:
+    """Base spans and all spans of each text; ``whole`` has the network read all of it."""
     trans = w["trans"] + allowed()
-    places, parts = [], []
-    base = [base_spans(t) for t in texts]
-    for k, text in enumerate(texts):
-        for a, b in stretches(text):
-            places.append((k, a))
-            parts.append(classes(text[a:b]))
-    found: dict[int, list[Span]] = {}
-    for (k, a), scores in zip(places, joined_scores(parts, w)):
-        found.setdefault(k, []).extend(added_spans(texts[k], a, viterbi(scores, trans), base[k]))
-    for k, spans in enumerate(base):
-        yield spans, sorted(spans + found.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))
+    for held in _in_groups(texts):
+        base = [base_spans(t) for t in held]
+        parts = [(k, a, b) for k, t in enumerate(held) for a, b in ([(0, len(t))] if whole and t else stretches(t))]
+        wanted = {k for k, _, _ in parts}
+        coded = [classes(t) if k in wanted else None for k, t in enumerate(held)]
+        found: dict[int, list[Span]] = {}
+        for lo in range(0, len(parts), 256):
+            some = parts[lo : lo + 256]
+            for (k, a, _), scores in zip(some, joined_scores(coded, some, w)):
+                spans = found.setdefault(k, [])
+                spans.extend(added_spans(held[k], a, viterbi(scores, trans), base[k] + spans))
+        for k, spans in enumerate(base):
+            yield spans, sorted(spans + found.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def _in_groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about ``GROUP_CHARS`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def told(spans: list[Span]) -> str:
@@ -401,11 +474,12 @@ def told(spans: list[Span]) -> str:
 FOUND = "doc_id long, base string, spans string, n_email long, n_ip long, n_card long, n_phone long"
 
 
-def find_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, weights: Weights | None = None, whole: bool = False) -> DataFrame:
     """``(doc_id, base, spans, n_email, n_ip, n_card, n_phone)`` for each row of ``docs``.
 
     ``base`` and ``spans`` list kind:start:end in code points, comma-joined; counts are
-    those of the base spans.  Null and empty texts have none.
+    those of the base spans.  Null and empty texts have none.  ``whole`` has the network
+    read all text, also where no span can be.
     """
     w = weights or trained()
     names = [c.split()[0] for c in FOUND.split(", ")]
@@ -414,11 +488,10 @@ def find_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for at in range(0, batch.num_rows, 1000):
-                texts = [t or "" for t in batch.column(1)[at : at + 1000].to_pylist()]
-                for doc_id, (base, spans) in zip(batch.column(0)[at : at + 1000].to_pylist(), find_all(texts, w)):
-                    counts = [sum(s[0] == kind for s in base) for kind in KINDS]
-                    out.append((doc_id, told(base), told(spans), *counts))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, (base, spans) in zip(batch.column(0).to_pylist(), find_all(texts, w, whole)):
+                counts = [sum(s[0] == kind for s in base) for kind in KINDS]
+                out.append((doc_id, told(base), told(spans), *counts))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -443,13 +516,14 @@ def mask_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            masked = []
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
-                spans = find_all([t or "" for t in part], w)
-                masked += [None if t is None else mask_text(t, all_) for t, (_, all_) in zip(part, spans)]
+            spans = find_all([t or "" for t in texts], w)
+            masked = [None if t is None else mask_text(t, all_) for t, (_, all_) in zip(texts, spans)]
             columns = list(batch.columns)
             columns[place] = pa.array(masked, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(Path(__file__).with_name(WEIGHTS_FILE), **train())
