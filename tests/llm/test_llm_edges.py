@@ -171,6 +171,17 @@ def test_simhash(odd, none):
     assert simhash.simhash_groups(none).count() == 0
     kept = simhash.keep_one_per_group(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id in (4, 5)").count() == 0
+    assert kept.where("doc_id is null").count() == 0  # their groups have members with a doc_id
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    one, two, three = ("".join(f" {c}{k}" for k in range(60)) for c in "abc")
+    rows = [(3, one, 1), (5, one, 2), (5, two, 3), (None, three, 4), (None, three, 5), (7, None, 6), (8, "", 7), (9, two, 8), (9, two, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one_per_group(docs.withColumnRenamed("_n", "mark")).collect())
+    assert kept == [(0, three), (3, one), (5, two), (7, None)]
+    same = spark.createDataFrame([(1, one, k) for k in (4, 2, 9)], "doc_id long, text string, mark int")
+    assert len({r["mark"] for _ in range(2) for r in simhash.keep_one_per_group(same).collect()}) == 1
 
 
 def test_packing(odd, none):

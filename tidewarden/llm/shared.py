@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, as in
-    tests on one machine, a temporary folder is made once per session.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a folder of the warehouse
+    serves, which is shared as well; only a session of one machine, as in tests, makes a
+    temporary one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
+    if not named and re.fullmatch(r"local(\[.*\])?", sc.master):
         named = tempfile.mkdtemp(prefix="spark-")
+    elif not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -168,7 +168,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([keys, own[rows]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], side, np.int8)), pa.array(pairs[0]), pa.array(pairs[1])], schema=arrow)
 
-    keys = prints.select("fp").distinct().mapInArrow(run, "side byte, key long, fp long")
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes 84, which no later step can tell beforehand
+    keys = prints.select("fp").distinct().repartition(spread).mapInArrow(run, "side byte, key long, fp long")
     left = keys.where("side = 0").select("key", F.col("fp").alias("a"))
     right = keys.where("side = 1").select("key", F.col("fp").alias("b"))
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -188,6 +189,11 @@ def simhash_groups(docs: DataFrame, jaccard: float | None = shingles.JACCARD) ->
     by its other members, or null.  Extra columns are ignored and an empty table
     gives an empty result.
     """
+    return _members(docs, jaccard).select("doc_id", "fp", "component_id")
+
+
+def _members(docs: DataFrame, jaccard: float | None) -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` for each row, ``root`` a number of its group."""
     prints = cut(fingerprints(docs, jaccard is not None))
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(fingerprint_links(first))
@@ -203,17 +209,25 @@ def simhash_groups(docs: DataFrame, jaccard: float | None = shingles.JACCARD) ->
         )
         rooted = cut(rooted)
     named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    groups = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return prints.join(groups, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their near-duplicate group.
+    """One row of each near-duplicate group of ``docs``, with all its columns.
 
-    Where rows share a doc_id, one of them stays; rows without a doc_id all stay.
+    The row with the smallest doc_id stays, one without a doc_id only where no member has
+    any; of rows that share it, the one with the smallest hash of its text, and of rows
+    equal in both the one with the smallest hash of all columns.  Only members of a group
+    replace each other: different texts that share a doc_id and are no near copies stay.
     """
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.join(cut(kept), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    members = _members(docs, shingles.JACCARD).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash", "n")).alias("first")
+    kept = cut(members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.n").alias("_n")))
+    hashed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    found = hashed.join(kept, (hashed["_text"] == kept["_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(kept["_id"]))
+    if kept.where("_n > 1").isEmpty():
+        return found.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    again = found.where("_n > 1").groupBy("_id", "_hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return found.where("_n = 1").select(*docs.columns).unionByName(again.select("_row.*"))
