@@ -205,6 +205,57 @@ def test_repeats(odd, none, keep_first):
     assert all(n == removed for n, removed in by[1]) or keep_first
 
 
+def test_longest_previous_factors():
+    rng = random.Random(6)
+
+    def common(a, b, length):
+        return next((k for k in range(min(length, len(a), len(b))) if a[k] != b[k]), min(length, len(a), len(b)))
+
+    for turn in range(40):
+        length = rng.choice((10, 12, 40))
+        raw = bytes(rng.choices(b"ab", k=rng.randint(length + 5, 140))) * (1 + turn % 2)
+        array, starts = np.frombuffer(raw, np.uint8), np.arange(len(raw) - length + 1)
+        levels = repeats.suffix_ranks(array, length)
+        want = [max((common(raw[i:], raw[j:], length) for j in range(i)), default=0) for i in starts.tolist()]
+        assert repeats.longest_factors(array, levels, starts, length).tolist() == want
+        earlier, later = repeats.factor_masks(array, starts, length)
+        assert earlier.tolist() == [x == length for x in want]
+        assert later.tolist() == [any(raw[i : i + length] == raw[j : j + length] for j in starts.tolist() if j > i) for i in starts.tolist()]
+
+
+@pytest.mark.parametrize("bucket", [1, 1000])
+def test_repeats_keep_the_first_copy(spark, bucket):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = text(450)
+    rows = [(i, text(rng.randint(0, 250)) + passage[rng.randint(0, 60) : rng.randint(250, 450)] + text(rng.randint(0, 250))) for i in range(30)]
+    rows += [(40, "x" * 900), (41, rows[3][1])]
+    seen, want = set(), {}
+    for i, t in rows:  # in the order of ids; the first place of a string keeps it
+        covered = set()
+        for p in range(len(t) - 199):
+            if t[p : p + 200] in seen:
+                covered.update(range(p, p + 200))
+            seen.add(t[p : p + 200])
+        want[i] = len(covered)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict.fromkeys(want, 0)
+    for r in repeats.repeated_ranges(docs, keep_first=True, bucket=bucket).collect():
+        got[r["doc_id"]] = len({x for s in r["ranges"] for x in range(s["a"], s["b"])})
+    assert got == want
+
+
+def test_equal_rows_share_one_list_of_ranges(spark):
+    rng = random.Random(14)
+    text = "".join(rng.choices("abcdefghijklmnop ", k=2400))
+    for n in (20, 200):
+        docs = spark.createDataFrame([(1, text)] * n + [(2, "short")], "doc_id long, text string").repartition(8)
+        (row,) = repeats.repeated_ranges(docs).collect()
+        assert len(row["ranges"]) < 100
+    got = {(r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {(1, 2400), (2, 0)}
+
+
 @pytest.mark.parametrize("bucket", [1, 3, 1000])
 def test_repeats_of_hot_passages(spark, bucket):
     rng = random.Random(9)

@@ -7,11 +7,20 @@ wherever the window's bytes are the same.  Runs of windows with one such anchor
 a segment, and only segments whose anchor hash occurs again are looked at.
 
 If all segments of an anchor hash are equal, all their windows repeat.  Else their
-texts are sorted as suffixes: for each window, the previous smaller position in
-suffix order with the same ``length`` first bytes is an earlier match (its longest
-previous factor reaches ``length``), and a next one a later match.  Anchor hashes
-with more different segments than a task should hold go to an exact count of
-hashes, which is aggregated before it is shuffled.
+texts are sorted as suffixes, to a depth of ``length`` bytes with ties by place.  The
+previous and next smaller positions of a window in that order are the earlier places
+most like it, so the longer of the common prefixes with them is its longest previous
+factor, and one of ``length`` says that the window is a later copy.  Greater positions
+give the longest later factor in the same way.
+
+A bucket with more different segments than a task should sort is split on further
+bytes, as a radix sort of suffixes would do: first on those that all windows at about
+one distance from the anchor share, at last on all bytes of a window.  The strings of
+such a part are all equal, so their order is that of their places, the least place
+has no earlier match and every other one a previous factor of ``length``.  Parts are
+told by 64-bit hashes; two of one anchor would have to agree in the hash of other bytes
+as well to be taken for equal, so what counts is the number of different strings of
+one anchor, not that of the corpus.
 """
 
 from __future__ import annotations
@@ -126,19 +135,21 @@ def find_segments(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     return keyed.select("k", "doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
-def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position among all by its first ``length`` bytes, by prefix doubling."""
+def suffix_ranks(raw: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all positions by their first 8, 16, ... and ``length`` bytes, by prefix doubling."""
     padded = np.concatenate([raw, np.zeros(length, np.uint8)]).astype(np.uint64)
     key = np.zeros(len(raw), np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + len(raw)]
     rank, reach = _dense(key), 8
+    levels = [(reach, rank)]
     while reach < length:
         step = min(reach, length - reach)
         other = np.zeros(len(raw), np.int64)
         other[: len(raw) - step] = rank[step:] + 1
         rank, reach = _dense(rank * (len(raw) + 2) + other), reach + step
-    return rank
+        levels.append((reach, rank))
+    return levels
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -149,17 +160,55 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def previous_factors(ranks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each window has an equal one before it, and whether it has one after it.
-
-    ``ranks`` are suffix ranks by the first ``length`` bytes, ``order`` the windows'
-    places in the corpus.  Among equal ranks, sorted by place, the previous smaller
-    position is the neighbour before: the longest previous factor reaches ``length``.
+def common_prefixes(raw: np.ndarray, levels: list[tuple[int, np.ndarray]], one: np.ndarray, two: np.ndarray, length: int, least: int = 0) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of positions, ``length`` at most; shorter ones than ``least`` are 0."""
+    whole = levels[-1][1][one] == levels[-1][1][two]
+    out = np.where(whole, length, 0)
+    if least >= length:
+        return out
+    rest, last = np.flatnonzero(~whole), len(raw) - 1
+    for reach, rank in [*reversed(levels[:-1]), *[(1, raw)] * 7]:
+        a, b, n = one[rest], two[rest], out[rest]
+        # a step of one byte counts only while all before it were equal
+        same = (rank[np.minimum(a + n, last)] == rank[np.minimum(b + n, last)]) & (np.maximum(a, b) + n <= last)
+        out[rest[same]] += reach
+        if reach == 1:
+            rest = rest[same]
+    return np.where(out < least, 0, np.minimum(out, length))
+
+
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each index the nearest one before it with a smaller value, or -1, by jumping along such links."""
+    before = np.arange(-1, len(values) - 1)
+    todo = np.arange(1, len(values))
+    while len(todo):
+        todo = todo[before[todo] >= 0]
+        todo = todo[values[before[todo]] > values[todo]]
+        before[todo] = before[before[todo]]
+    return before
+
+
+def longest_factors(raw: np.ndarray, levels: list[tuple[int, np.ndarray]], starts: np.ndarray, length: int, least: int = 0) -> np.ndarray:
+    """The longest previous factor of each of ``starts``, which are in the order of places: 0 to ``length``.
+
+    Factors shorter than ``least`` count as 0.
     """
-    by = np.lexsort((order, ranks))
-    same = ranks[by][1:] == ranks[by][:-1]
-    earlier, later = np.zeros(len(ranks), bool), np.zeros(len(ranks), bool)
-    earlier[by[1:]], later[by[:-1]] = same, same
+    order = np.lexsort((np.arange(len(starts)), levels[-1][1][starts]))
+    best = np.zeros(len(starts), np.int64)
+    for way in (1, -1):
+        line = order[::way]
+        near = smaller_before(line)
+        has = np.flatnonzero(near >= 0)
+        here = line[has]
+        best[here] = np.maximum(best[here], common_prefixes(raw, levels, starts[here], starts[line[near[has]]], length, least))
+    return best
+
+
+def factor_masks(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window has a previous factor of ``length``, and whether it has a later one."""
+    levels = suffix_ranks(raw, length)
+    earlier = longest_factors(raw, levels, starts, length, length) > 0
+    later = longest_factors(raw, levels, starts[::-1], length, length)[::-1] > 0
     return earlier, later
 
 
@@ -182,11 +231,10 @@ def sort_buckets(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["body"].str.len().to_numpy()
         raw = np.frombuffer(b"".join(rows["body"]), np.uint8)
-        ranks = suffix_ranks(raw, length)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         n = rows["n"].to_numpy()
         starts = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        earlier, later = previous_factors(ranks[starts], np.arange(len(starts)))
+        earlier, later = factor_masks(raw, starts, length)
         ends = np.cumsum(n)
         out = [(a, c, runs(earlier[e - k : e]), runs((earlier | later)[e - k : e])) for a, c, k, e in zip(rows["anchor"], rows["content"], n, ends)]
         return pd.DataFrame([x for x in out if x[3]], columns=names)
@@ -372,7 +420,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     whole = whole.select("k", "doc_id", F.array(F.struct(F.col("start").alias("a"), end.alias("b"))).alias("own"))
     moved = F.transform(column, lambda r: F.struct((F.col("start") + r[0]).alias("a"), (F.col("start") + r[1] + F.lit(length - 1)).alias("b")))
     part = shared.where("mixed").join(masks, ["anchor", "content"]).select("k", "doc_id", moved.alias("own"))
-    return whole.unionByName(part).groupBy("k", "doc_id").agg(F.flatten(F.collect_list("own")).alias("ranges"))
+    return whole.unionByName(part).groupBy("k", "doc_id").agg(F.flatten(F.collect_set("own")).alias("ranges"))  # rows that repeat a text bring the same ranges
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
