@@ -204,6 +204,23 @@ def test_lower_bound_never_exceeds_a_packing():
     assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.array([34, 34, 34, 34]), 100) == 2
 
 
+def test_partitions_with_gaps_exchange_documents(spark):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(30, 71, 1200)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    tasks = packing._pack_tasks(pieces, 100, 40, 0)
+    first = tasks.select("bin").distinct().count()
+    got = packing.pack(pieces, 100, task_pieces=30).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in got) == list(range(1200)) and all(r["length"] == lengths[r["doc_id"]] for r in got)
+    for members in bins.values():
+        members.sort()
+        assert [o for o, _ in members] == [0, *np.cumsum([n for _, n in members])[:-1]] and sum(n for _, n in members) <= 100
+    assert packing.lower_bound(lengths, 100) <= len(bins) < first
+
+
 def test_tokenizer_memo_gives_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 

@@ -1,11 +1,12 @@
 """Best-fit packing with certified bin counts.
 
 Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt to
-partitions of a bounded size; each partition packs its pieces best-fit decreasing
-and computes a lower bound of its bin count with dual feasible functions.  Bins
-that are not full, of partitions that hold more bins than the certificate of the
-whole pool allows, are pooled, dealt anew and packed again, as long as that saves
-bins.
+partitions of a bounded size; each packs its pieces best-fit decreasing and certifies
+its bin count by a lower bound from dual feasible functions.  A partition without a
+gap between the two can not be packed better by itself, so it keeps its bins, but for
+the emptiest one; partitions with a gap give up every bin that is not full.  What was
+given up is dealt anew, so that partitions exchange documents, and packed again.
+Rounds go on until the bound of all pieces is met or a round saves no bin.
 """
 
 from __future__ import annotations
@@ -138,7 +139,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memo makes no cycles, and passes over it cost a third of the time
+        try:
+            yield from made(batches)
+        finally:
+            gc.enable()
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = memo_of(tokenizer_path)
         size = 4 * capacity
         for batch in batches:
@@ -188,15 +194,18 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound that a family of dual feasible functions gives.
+    """The best bound that a family of dual feasible functions gives for these lengths."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """The same for ``count`` pieces of each length from 0 to ``capacity``.
 
     For a threshold k, lengths above capacity - k count as a whole bin, lengths
     below k as nothing and the others as they are; k = 0 is the bound by volume.
     A second family rounds each length down to parts of capacity / k.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    count = count.astype(np.int64)
     n_to, sum_to = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     k = np.arange(0, capacity // 2 + 1)
     whole = n_to[capacity] - n_to[capacity - k]
@@ -234,15 +243,24 @@ def _pack_tasks(pool: DataFrame, capacity: int, tasks: int, salt: int) -> DataFr
     return pool.repartition(tasks, key).mapInPandas(run, PLACED)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES, rounds: int = 3) -> DataFrame:
+def whole_bound(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """The lower bound of all pieces together; the driver gets one count per length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():  # as many rows as there are lengths, 2048 here
+        count[length] = n
+    return bound_of(count, capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES) -> DataFrame:
     """Place pieces into as few sequences of ``capacity`` as it can.
 
     Returns the columns of ``pieces`` with ``sequence_id``, ``offset`` (gapless from
     0), and the certificate of the task that placed the piece: ``task_bins`` bins
     used and ``task_bound``, below which no packing of that task's pieces can go.
-    Pieces as long as a sequence fill one each.  A round pools the pieces of bins
-    with room left and packs them again in tasks of ``task_pieces``; it counts only
-    if it saves bins.  Empty input gives an empty result.
+    Pieces as long as a sequence fill one each.  Which bins a round packs again, in
+    tasks of ``task_pieces``, is told at the top; a round counts only if it saves bins,
+    and saves at least one, so there are no more rounds than bins above the bound.
+    Empty input gives an empty result.
     """
     columns = [c.split()[0] for c in PIECES.split(", ")]
     full = (
@@ -253,24 +271,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PI
         .withColumns({"task_bins": F.lit(1).cast("long"), "task_bound": F.lit(1).cast("long")})
     )
     pool = pieces.where(F.col("length") < capacity).select(*columns)
-    done, placed, used = [], None, 0
-    for salt in range(rounds):
+    least, kept, used, salt = whole_bound(pool, capacity), 0, None, 0
+    out, packed = full, None
+    while True:
         tasks = max(1, -(-pool.count() // task_pieces))
         again = cut(_pack_tasks(pool, capacity, tasks, salt))
-        by_task = again.where("offset = 0").groupBy("task").agg(F.first("task_bins").alias("n"), F.first("task_bound").alias("least"))
-        bins, gap, n = by_task.agg(F.sum("n"), F.sum(F.col("n") - F.col("least")), F.count("*")).first()
-        if placed is not None:
-            if bins is None or bins >= used:
-                break
-            done.append(placed.where("waste = 0"))
-        placed, pool = again, again.where("waste > 0").select(*columns)
-        used = again.where("offset = 0 and waste > 0").count()
-        if not used or (gap == 0 and n == 1):
-            break
-    out = full
-    for part in [*done, placed]:
-        out = out.unionByName(part)
-    return out.select(*columns, F.col("bin").alias("sequence_id"), "offset", "task_bins", "task_bound")
+        bins = again.where("offset = 0").count()
+        if used is not None and kept + bins >= used:
+            return _told(out.unionByName(packed), columns)
+        used = kept + bins
+        if used <= least or tasks == 1:
+            return _told(out.unionByName(again), columns)
+        loose = F.max(F.when(F.col("offset") == 0, F.struct("waste", "bin"))).alias("loose")
+        by_task = cut(again.groupBy("task").agg(loose, (F.max("task_bins") > F.max("task_bound")).alias("gap")).select("task", F.col("loose.bin").alias("loose"), "gap"))
+        marked = again.join(by_task, "task")
+        given = (F.col("waste") > 0) & (F.col("gap") | (F.col("bin") == F.col("loose")))
+        stays = marked.where(~given).select(*again.columns)
+        kept += stays.where("offset = 0").count()
+        out, packed, pool, salt = out.unionByName(stays), marked.where(given).select(*again.columns), marked.where(given).select(*columns), salt + 1
+
+
+def _told(placed: DataFrame, columns: list[str]) -> DataFrame:
+    return placed.select(*columns, F.col("bin").alias("sequence_id"), "offset", "task_bins", "task_bound")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
