@@ -45,16 +45,18 @@ def incident_cluster(alerts: DataFrame) -> DataFrame:
 def alert_stats(alerts: DataFrame) -> DataFrame:
     """One row: total, counts by level and by class as maps, distinct sources and targets, first and last time.
 
-    One pass: counts by level and class are added up from their pairs.
+    One pass over ``alerts``: every key is a grouping set of one aggregation.
     """
-    pairs = alerts.groupBy("severity", "threat_class").agg(F.count("*").alias("n"))
-    by = lambda key: pairs.groupBy(key).agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(f"by_{key}"))
-    totals = alerts.agg(
-        F.count("*").alias("total_alerts"), F.countDistinct("src_ip").alias("unique_source_ips"), F.countDistinct("dst_ip").alias("unique_dest_ips"),
-        F.min("event_time").alias("start_time"), F.max("event_time").alias("end_time"),
+    keys = ("severity", "threat_class", "src_ip", "dst_ip")
+    each = alerts.groupingSets([*[[k] for k in keys], []], *keys).agg(
+        F.count("*").alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.grouping_id().alias("set")
+    )
+    of = {k: (F.col("set") == 15 - (8 >> i)) & F.col(k).isNotNull() for i, k in enumerate(keys)}
+    by = lambda key: F.map_from_entries(F.array_sort(F.collect_list(F.when(of[key], F.struct(key, "n"))))).alias(f"by_{key}")
+    return each.agg(
+        F.coalesce(F.max(F.when(F.col("set") == 15, F.col("n"))), F.lit(0)).alias("total_alerts"), F.count_if(of["src_ip"]).alias("unique_source_ips"),
+        F.count_if(of["dst_ip"]).alias("unique_dest_ips"), F.min("first").alias("start_time"), F.max("last").alias("end_time"), by("severity"), by("threat_class"),
     )
-    one = F.lit(True)
-    return totals.join(by("severity"), one).join(by("threat_class"), one)
 
 
 def risk_histogram(alerts: DataFrame, bins: int = 20) -> DataFrame:
@@ -162,11 +164,17 @@ def classification_report(rows: DataFrame, label: str, prediction: str) -> DataF
 def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row ``auc``: the rank sum of positives, ties averaged; 0 with a single class.
 
-    Counts per score come first, so the running sum is over distinct scores.
+    Counts per score come first.  Distinct scores are cut at 63 approximate quantiles; each
+    range is added up by itself and starts at the sum of the ranges before it, so no task
+    holds all scores.
     """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = per.withColumn("rank", upto - (F.col("n") - 1) / 2.0)
+    cuts = per.agg(F.percentile_approx("s", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000)).alias("cuts"))  # one row
+    per = per.join(F.broadcast(cuts), F.lit(True)).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("s")))).drop("cuts")
+    ranges = per.groupBy("range").agg(F.sum("n").alias("m"))
+    before = ranges.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"))  # 64 rows at most
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("s"))
+    ranked = per.join(F.broadcast(before), "range").withColumn("rank", upto - (F.col("n") - 1) / 2.0)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * F.col("q"), F.lit(0))
     return sums.select(F.coalesce(auc, F.lit(0.0)).alias("auc"))

@@ -10,7 +10,7 @@ from ..operators import alerts as A
 from ..operators import checks, detectors, joins, reports, sinks, windows
 from ..sources.flows import flows
 from .common import (
-    DAY, DETECTIONS_SQL, EXFIL_SQL, PRIORS, SCAN_SQL, SEVERITY, TLS_SQL, WEIGHTS, WIDE, anomaly, blocklist, detections, round4, round6, scored,
+    BEACON_SQL, DAY, DDOS_SQL, DETECTIONS_SQL, EXFIL_SQL, PRIORS, SCAN_SQL, SEVERITY, TLS_SQL, WEIGHTS, WIDE, anomaly, blocklist, by_digits, detections, round4, round6, scored,
     sql_alerts, sql_detections, sql_flows, sql_kept,
 )
 from .registry import query
@@ -41,46 +41,11 @@ def d6(spark, d):
     return _det(detectors.detect_tls(flows(spark, d), blocklist(spark), WIDE))
 
 
-DDOS_SQL = f"""
-pairs AS (SELECT dst_ip AS d, CAST(floor(ts / {DAY}) AS BIGINT) AS bucket, src_ip AS s, count(*) AS c FROM flows GROUP BY 1, 2, 3),
-ddos_w AS (SELECT d, bucket, sum(c) AS flow_count, count(*) AS sources, greatest(0.0::DOUBLE, log2(sum(c)::DOUBLE) - sum(c * log2(c::DOUBLE)) / sum(c)) AS entropy FROM pairs GROUP BY 1, 2),
-ddos_l AS (SELECT dst_ip AS d, CAST(floor(ts / {DAY}) AS BIGINT) AS bucket,
-    max(struct_pack(ts := ts, event_id := event_id, flow_id := flow_id, src_ip := src_ip, dst_ip := dst_ip)) AS l FROM flows GROUP BY 1, 2),
-ddos_z AS (SELECT *, (greatest(flow_count, sources)::DOUBLE - 10.0::DOUBLE) / 5.0::DOUBLE AS z FROM ddos_w JOIN ddos_l USING (d, bucket)),
-ddos AS (
-  SELECT 'DDOS' AS threat_class, {round4("CASE WHEN entropy > 4.5 AND sources > 50 THEN least(1.0::DOUBLE, least(1.0::DOUBLE, abs(z) / 6.0::DOUBLE) + 0.15::DOUBLE) ELSE least(1.0::DOUBLE, abs(z) / 6.0::DOUBLE) END")} AS confidence,
-    l.flow_id AS flow_id, l.src_ip AS src_ip, l.dst_ip AS dst_ip, 'ddos' AS detector, l.ts AS event_time
-  FROM ddos_z WHERE (entropy > 4.5 OR sources > 50) AND (z > 3 OR sources > 50)
-)"""
-
-
 @query("d1_detect_ddos", _det_sql(DDOS_SQL, "ddos"))
 def d1(spark, d):
     return _det(detectors.detect_ddos(flows(spark, d), WIDE))
 
 
-BEACON_GAPS = """
-g AS (SELECT src_ip AS s, dst_ip AS d, ts, event_id, flow_id, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, event_id) AS gap FROM flows),
-stats AS (SELECT s, d, count(*) AS n_flows, count(gap) AS n, coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_samp(gap), 0) AS std_gap FROM g GROUP BY 1, 2),
-cvs AS (SELECT *, CASE WHEN n < 2 THEN 0.0::DOUBLE WHEN mean_gap < 1e-9 THEN 'inf'::DOUBLE ELSE std_gap / mean_gap END AS cv FROM stats)"""
-ACF_SQL = """
-series AS (SELECT s, d, list(gap ORDER BY ts, event_id) AS x FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
-centred AS (SELECT s, d, len(x) AS n, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS x FROM series),
-squares AS (SELECT *, list_sum(list_transform(x, lambda v: v * v)) AS sq FROM centred),
-acfs AS (
-  SELECT s, d, n, lag, CASE WHEN n < 3 THEN 1.0::DOUBLE WHEN sq / n < 1e-12 THEN 0.0::DOUBLE
-    ELSE list_sum(list_transform(range(1, n - lag + 1), lambda i: x[i] * x[i + lag])) / sq END AS r
-  FROM (SELECT *, unnest(range(0, CASE WHEN n < 3 THEN 1 ELSE n // 2 + 1 END)) AS lag FROM squares)
-), peaks AS (SELECT s, d, coalesce(max(CASE WHEN lag >= 2 THEN r END), 0) AS acf_peak FROM acfs GROUP BY 1, 2)"""
-BEACON_SQL = f"""{BEACON_GAPS}, {ACF_SQL},
-beacon_l AS (SELECT s, d, max(struct_pack(ts := ts, event_id := event_id, flow_id := flow_id)) AS l FROM g GROUP BY 1, 2),
-beacon AS (
-  SELECT 'C2_BEACONING' AS threat_class, {round4("CASE WHEN coalesce(acf_peak, 0) > 0.7 AND n_flows >= 8 THEN least(1.0::DOUBLE, least(greatest(1.0::DOUBLE - cv / 0.95::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) + 0.15::DOUBLE) ELSE least(greatest(1.0::DOUBLE - cv / 0.95::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END")} AS confidence,
-    l.flow_id AS flow_id, s AS src_ip, d AS dst_ip, 'beacon' AS detector, l.ts AS event_time
-  FROM cvs JOIN beacon_l USING (s, d) LEFT JOIN peaks USING (s, d) WHERE n_flows >= 5 AND cv <= 0.95
-)"""
-
-
 @query("d2_detect_beacon", _det_sql(BEACON_SQL, "beacon"))
 def d2(spark, d):
     return _det(detectors.detect_beacon(flows(spark, d), WIDE))
@@ -376,8 +341,9 @@ def e4(spark, d):
 
 @query("e1_detector_registry", sql_detections("SELECT threat_class, count(*) AS n FROM dets WHERE threat_class <> 'ENCRYPTED_MALWARE' GROUP BY 1"))
 def e1(spark, d):
-    rules = detectors.Registry(scan=detectors.detect_scan)
+    rules = detectors.Registry(scan=detectors.detect_scan, ddos=detectors.detect_ddos, beacon=detectors.detect_beacon)
     rules.add("exfil", detectors.detect_exfil)
+    rules.add("dns", by_digits)
     return rules.run(flows(spark, d), WIDE).groupBy("threat_class").agg(F.count("*").alias("n"))
 
 

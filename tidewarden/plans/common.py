@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.alerts import score_alerts
-from ..operators.detectors import detect_exfil, detect_scan, detect_tls, union_detections
-from ..params import DEFAULTS
+from ..operators.checks import check_detection
+from ..operators.detectors import RULES, detect_dns_tunnel, detect_tls, union_detections
+from ..operators.ml import with_dns_features
+from ..params import DEFAULTS, Params
 from ..sources.flows import FLOWS, flows
+from ..sources.paths import new_path
 
 DAY = 86400
 WIDE = replace(
@@ -29,12 +32,29 @@ def blocklist(spark: SparkSession) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flows(spark, sf_dir)
-    return union_detections(detect_exfil(rows, WIDE), detect_tls(rows, blocklist(spark), WIDE), detect_scan(rows, WIDE))
+    """What all six detectors find; names are scored by a rule instead of a trained model.
+
+    Detections are few against flows and the engine goes over them more than once, so
+    they are written and read again.
+    """
+    rows, path = flows(spark, sf_dir), new_path(spark, "found")
+    found = union_detections(RULES.run(rows, WIDE), detect_tls(rows, blocklist(spark), WIDE), by_digits(rows, WIDE))
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def by_digits(rows: DataFrame, params: Params) -> DataFrame:
+    """The detector of generated names with twice the share of digits as their probability."""
+    named = with_dns_features(rows).withColumn("probability", F.least(F.lit(1.0), 2 * F.col("dns_digit_ratio")))
+    return detect_dns_tunnel(named, params)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_alerts(detections(spark, sf_dir), WIDE)
+    """Alerts of the checked detections."""
+    found = detections(spark, sf_dir).withColumns({
+        "event_flow_id": F.col("flow_id"), "event_src_ip": F.col("src_ip"), "event_dst_ip": F.col("dst_ip"), "event_ts": F.col("event_time"),
+    })
+    return score_alerts(check_detection(found)[0], WIDE)
 
 
 PRIORS = "CASE {c} WHEN 'DDOS' THEN 0.75 WHEN 'C2_BEACONING' THEN 0.85 WHEN 'DGA_DNS_TUNNELING' THEN 0.65 WHEN 'ENCRYPTED_MALWARE' THEN 0.70 WHEN 'RECON_PORT_SCAN' THEN 0.30 WHEN 'DATA_EXFILTRATION' THEN 0.90 ELSE 0.5 END::DOUBLE"
@@ -81,15 +101,49 @@ tls AS (
   SELECT 'ENCRYPTED_MALWARE' AS threat_class, {round4("0.95::DOUBLE")} AS confidence, flow_id, src_ip, dst_ip, 'tls' AS detector, ts AS event_time
   FROM flows WHERE ja3 IN (md5('ja3-3'), md5('ja3-7'))
 )"""
-DETECTIONS_SQL = f"""{SCAN_SQL}, {EXFIL_SQL}, {TLS_SQL},
-dets0 AS (SELECT * FROM exfil UNION ALL SELECT * FROM tls UNION ALL SELECT * FROM scan),
+DDOS_SQL = f"""
+pairs AS (SELECT dst_ip AS d, CAST(floor(ts / {DAY}) AS BIGINT) AS bucket, src_ip AS s, count(*) AS c FROM flows GROUP BY 1, 2, 3),
+ddos_w AS (SELECT d, bucket, sum(c) AS flow_count, count(*) AS sources, greatest(0.0::DOUBLE, log2(sum(c)::DOUBLE) - sum(c * log2(c::DOUBLE)) / sum(c)) AS entropy FROM pairs GROUP BY 1, 2),
+ddos_l AS (SELECT dst_ip AS d, CAST(floor(ts / {DAY}) AS BIGINT) AS bucket,
+    max(struct_pack(ts := ts, event_id := event_id, flow_id := flow_id, src_ip := src_ip, dst_ip := dst_ip)) AS l FROM flows GROUP BY 1, 2),
+ddos_z AS (SELECT *, (greatest(flow_count, sources)::DOUBLE - 10.0::DOUBLE) / 5.0::DOUBLE AS z FROM ddos_w JOIN ddos_l USING (d, bucket)),
+ddos AS (
+  SELECT 'DDOS' AS threat_class, {round4("CASE WHEN entropy > 4.5 AND sources > 50 THEN least(1.0::DOUBLE, least(1.0::DOUBLE, abs(z) / 6.0::DOUBLE) + 0.15::DOUBLE) ELSE least(1.0::DOUBLE, abs(z) / 6.0::DOUBLE) END")} AS confidence,
+    l.flow_id AS flow_id, l.src_ip AS src_ip, l.dst_ip AS dst_ip, 'ddos' AS detector, l.ts AS event_time
+  FROM ddos_z WHERE (entropy > 4.5 OR sources > 50) AND (z > 3 OR sources > 50)
+)"""
+BEACON_GAPS = """
+g AS (SELECT src_ip AS s, dst_ip AS d, ts, event_id, flow_id, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, event_id) AS gap FROM flows),
+stats AS (SELECT s, d, count(*) AS n_flows, count(gap) AS n, coalesce(avg(gap), 0) AS mean_gap, coalesce(stddev_samp(gap), 0) AS std_gap FROM g GROUP BY 1, 2),
+cvs AS (SELECT *, CASE WHEN n < 2 THEN 0.0::DOUBLE WHEN mean_gap < 1e-9 THEN 'inf'::DOUBLE ELSE std_gap / mean_gap END AS cv FROM stats)"""
+ACF_SQL = """
+series AS (SELECT s, d, list(gap ORDER BY ts, event_id) AS x FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
+centred AS (SELECT s, d, len(x) AS n, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS x FROM series),
+squares AS (SELECT *, list_sum(list_transform(x, lambda v: v * v)) AS sq FROM centred),
+acfs AS (
+  SELECT s, d, n, lag, CASE WHEN n < 3 THEN 1.0::DOUBLE WHEN sq / n < 1e-12 THEN 0.0::DOUBLE
+    ELSE list_sum(list_transform(range(1, n - lag + 1), lambda i: x[i] * x[i + lag])) / sq END AS r
+  FROM (SELECT *, unnest(range(0, CASE WHEN n < 3 THEN 1 ELSE n // 2 + 1 END)) AS lag FROM squares)
+), peaks AS (SELECT s, d, coalesce(max(CASE WHEN lag >= 2 THEN r END), 0) AS acf_peak FROM acfs GROUP BY 1, 2)"""
+BEACON_SQL = f"""{BEACON_GAPS}, {ACF_SQL},
+beacon_l AS (SELECT s, d, max(struct_pack(ts := ts, event_id := event_id, flow_id := flow_id)) AS l FROM g GROUP BY 1, 2),
+beacon AS (
+  SELECT 'C2_BEACONING' AS threat_class, {round4("CASE WHEN coalesce(acf_peak, 0) > 0.7 AND n_flows >= 8 THEN least(1.0::DOUBLE, least(greatest(1.0::DOUBLE - cv / 0.95::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) + 0.15::DOUBLE) ELSE least(greatest(1.0::DOUBLE - cv / 0.95::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) END")} AS confidence,
+    l.flow_id AS flow_id, s AS src_ip, d AS dst_ip, 'beacon' AS detector, l.ts AS event_time
+  FROM cvs JOIN beacon_l USING (s, d) LEFT JOIN peaks USING (s, d) WHERE n_flows >= 5 AND cv <= 0.95
+)"""
+DNS_SQL = f"""
+dns_p AS (SELECT *, least(1.0::DOUBLE, 2 * (length(regexp_replace(dns_query, '[^0-9]', '', 'g')) / length(dns_query)::DOUBLE)) AS p FROM flows WHERE dns_query IS NOT NULL),
+dns AS (SELECT 'DGA_DNS_TUNNELING' AS threat_class, {round4("p")} AS confidence, flow_id, src_ip, dst_ip, 'dns' AS detector, ts AS event_time FROM dns_p WHERE p >= 0.5)"""
+DETECTIONS_SQL = f"""{SCAN_SQL}, {EXFIL_SQL}, {TLS_SQL}, {DDOS_SQL}, {BEACON_SQL}, {DNS_SQL},
+dets0 AS MATERIALIZED (SELECT * FROM exfil UNION ALL SELECT * FROM tls UNION ALL SELECT * FROM scan UNION ALL SELECT * FROM ddos UNION ALL SELECT * FROM beacon UNION ALL SELECT * FROM dns),
 dets AS (SELECT *, {anomaly("confidence", "threat_class")} AS anomaly FROM dets0)"""
 KEPT_SQL = f"""{DETECTIONS_SQL},
 ids AS (
   SELECT DISTINCT ON (alert_id) * FROM (
     SELECT *, substr(sha1(flow_id || '|' || threat_class || '|' || detector), 1, 32) AS alert_id,
       CASE WHEN threat_class = 'DDOS' THEN coalesce(dst_ip, src_ip) ELSE src_ip END AS entity FROM dets)
-), seq AS (SELECT *, row_number() OVER (PARTITION BY entity, threat_class ORDER BY event_time, alert_id) AS rn FROM ids),
+), seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity, threat_class ORDER BY event_time, alert_id) AS rn FROM ids),
 rec AS (
   SELECT entity, threat_class, rn, event_time AS last_kept, true AS keep FROM seq WHERE rn = 1
   UNION ALL

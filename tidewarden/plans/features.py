@@ -10,8 +10,7 @@ from ..functions import scalars as S
 from ..operators import features, joins, normalize, reports, windows
 from ..sources import sensors
 from ..sources.flows import flows
-from .alerting import ACF_SQL, BEACON_GAPS
-from .common import DAY, PRIORS, SEVERITY, WEIGHTS, anomaly, round6, sql_flows
+from .common import ACF_SQL, BEACON_GAPS, DAY, PRIORS, SEVERITY, WEIGHTS, anomaly, round6, sql_flows
 from .registry import query
 
 six = lambda c: S.round_to(F.col(c) if isinstance(c, str) else c, 6)

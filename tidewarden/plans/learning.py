@@ -110,10 +110,11 @@ def a19(spark, d):
     return reports.classification_report(rows, "l", "p").where("class in ('0', '1', '2')").select("class", "precision", "recall")
 
 
-@query("a18_confusion_matrix", sql_detections(f""", {BEST} SELECT l AS truth, count(*) FILTER (p = 'benign') AS benign, count(*) FILTER (p = 'ENCRYPTED_MALWARE') AS "ENCRYPTED_MALWARE", count(*) FILTER (p = 'DATA_EXFILTRATION') AS "DATA_EXFILTRATION", count(*) FILTER (p = 'RECON_PORT_SCAN') AS "RECON_PORT_SCAN" FROM pred GROUP BY 1"""))
+@query("a18_confusion_matrix", sql_detections(f""", {BEST} SELECT l AS truth, count(*) FILTER (p = 'benign') AS benign, count(*) FILTER (p = 'ENCRYPTED_MALWARE') AS "ENCRYPTED_MALWARE", count(*) FILTER (p = 'DATA_EXFILTRATION') AS "DATA_EXFILTRATION", count(*) FILTER (p = 'RECON_PORT_SCAN') AS "RECON_PORT_SCAN",
+  count(*) FILTER (p = 'DDOS') AS "DDOS", count(*) FILTER (p = 'C2_BEACONING') AS "C2_BEACONING", count(*) FILTER (p = 'DGA_DNS_TUNNELING') AS "DGA_DNS_TUNNELING" FROM pred GROUP BY 1"""))
 def a18(spark, d):
     rows = ml.predicted_classes(_predicted(spark, d), detections(spark, d))
-    return reports.confusion_matrix(rows, "truth", "predicted", ["benign", "ENCRYPTED_MALWARE", "DATA_EXFILTRATION", "RECON_PORT_SCAN"])
+    return reports.confusion_matrix(rows, "truth", "predicted", ["benign", "ENCRYPTED_MALWARE", "DATA_EXFILTRATION", "RECON_PORT_SCAN", "DDOS", "C2_BEACONING", "DGA_DNS_TUNNELING"])
 
 
 @query("a20_roc_auc", sql_flows("""SELECT floor((sum(r * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS auc FROM (
