@@ -109,14 +109,23 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     members = cut(members.join(buckets.select("key", "size"), "key"))
     few = members.where(F.col("size") <= ALL_PAIRS).select(*columns)
     many = members.where(F.col("size") > ALL_PAIRS).select(*columns)
-    pairs, buckets, links, turn = _sides(few, few), buckets.where(F.col("size") > ALL_PAIRS), None, 0
+    pairs, buckets, merged, turn = _sides(few, few), buckets.where(F.col("size") > ALL_PAIRS), None, 0
     while True:
         leaders = buckets.select("key", F.explode("leaders").alias("x")).select("key", "x.text_hash", "x.n", "x.root")
         found = cut(similar_roots(docs, pairs.union(_sides(leaders, many)) if pairs else _sides(leaders, many), jaccard))
-        links = found if links is None else cut(links.union(found).distinct())
-        merged = cut(connected_components(links))
-        if found.isEmpty() or many.isEmpty():
+        if merged is not None and found.isEmpty():
             return merged
-        moved = many.join(merged, many["root"] == merged["node"], "left").select("key", "text_hash", "n", F.coalesce("component", "root").alias("root"))
+        step = cut(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
+        merged = step if merged is None else cut(_carried(merged, step))
+        if many.isEmpty():
+            return merged
+        moved = many.join(step, many["root"] == step["node"], "left").select("key", "text_hash", "n", F.coalesce("component", "root").alias("root"))
         many, pairs, turn = cut(moved), None, turn + 1
         buckets = cut(_mixed(many, turn))
+
+
+def _carried(merged: DataFrame, step: DataFrame) -> DataFrame:
+    """Roots by what ``step`` made of their components, and the roots that only ``step`` has."""
+    to = step.toDF("from", "to")
+    moved = merged.join(to, merged["component"] == to["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.union(step.join(merged, "node", "left_anti").select("node", "component"))
