@@ -16,7 +16,6 @@ import itertools
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, kept
 
 CAPACITY = 2048
 #: Pieces that one packing task holds.
@@ -116,12 +115,11 @@ class Memo:
                 yield tokens[a:b]
 
 
-@lru_cache(1)
 def memo_of(tokenizer_path: str) -> Memo:
-    """The memo of a Python worker, which goes on from task to task."""
+    """The memo of a Python worker, which goes on from task to task until another operator's tasks run there."""
     from tokenizers import Tokenizer
 
-    return Memo(Tokenizer.from_file(tokenizer_path))
+    return kept(("tokenizer", tokenizer_path), lambda: Memo(Tokenizer.from_file(tokenizer_path)))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

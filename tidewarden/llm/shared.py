@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -43,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, made: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under ``key``, the only thing it keeps."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = made()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Forget what a task of another operator has kept in this worker."""
+    _KEPT.clear()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 

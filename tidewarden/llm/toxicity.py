@@ -13,14 +13,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 #: Labelled rows that the lexicon is learned from, at most; chosen by the hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -31,6 +31,8 @@ STEMS = (4, 5, 6)
 #: large share of toxic texts more, and be right this often.
 MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
 MEMO = 400_000
+#: Latest tokens whose words a task that learns keeps, and features that it counts before it hands them over.
+RECENT = 100_000
 #: A word counts that is on a path this close to the best one, as a difference of logarithms.
 MARGIN = 5.0
 #: Signs that are decoded at once and what windows share; characters of texts whose blanks are looked up at once.
@@ -77,6 +79,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         grams: Counter = Counter()
 
         def spend(words: Counter) -> None:
@@ -430,27 +433,28 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
     of texts that are copies of each other lend it no support, and by clean texts
     hardly ever.  Of entries that are prefixes of each other the shortest
     stays.  A task hands over, per feature, how many clean texts hold it and the kins
-    and numbers of toxic ones.
+    and numbers of toxic ones, in parts of about ``RECENT`` features that add up.
     """
     schema = "feature string, clean long, kins array<long>, toxic array<long>"
     arrow = pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("kins", pa.list_(pa.int64())), ("toxic", pa.list_(pa.int64()))])
 
+    def counted(clean: Counter, toxic: dict[str, tuple[set[int], list[int]]]) -> pa.RecordBatch:
+        names, none = list(clean.keys() | toxic.keys()), ((), ())
+        found = [toxic.get(f, none) for f in names]
+        lists = [pa.array([list(x[k]) for x in found], pa.list_(pa.int64())) for k in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([clean[f] for f in names], pa.int64()), *lists], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         clean: Counter = Counter()
         boundaries = Boundaries(model)
         toxic: dict[str, tuple[set[int], list[int]]] = {}
-        known: dict[str, tuple[str, ...]] = {}
+        known = Recent(lambda token: tuple(word_features(token_words(token, model))))
         for batch in batches:
             numbers, texts, marks = (batch.column(k).to_pylist() for k in range(3))
             held = (tokens for group in in_groups([t or "" for t in texts]) for tokens in text_tokens(group, boundaries))
             for number, tokens, label in zip(numbers, held, marks):
-                features = set()
-                for token in tokens:
-                    if token not in known:
-                        if len(known) >= MEMO:
-                            known.clear()
-                        known[token] = tuple(word_features(token_words(token, model)))
-                    features.update(known[token])
+                features = {f for token in tokens for f in known[token]}
                 if label:
                     own = kin(features)
                     for f in features:
@@ -459,12 +463,10 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
                         numbers.append(number)
                 else:
                     clean.update(features)
-        names, none = list(clean.keys() | toxic.keys()), ((), ())
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            found = [toxic.get(f, none) for f in part]
-            lists = [pa.array([list(x[k]) for x in found], pa.list_(pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([clean[f] for f in part], pa.int64()), *lists], schema=arrow)
+                if len(clean) + len(toxic) > RECENT:
+                    yield counted(clean, toxic)
+                    clean, toxic = Counter(), {}
+        yield counted(clean, toxic)
 
     texts = cut(sample.groupBy("text").agg(F.max("label").alias("label")).withColumn("number", F.monotonically_increasing_id()))
     totals = dict(texts.groupBy("label").count().collect())
@@ -482,25 +484,36 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
     return weights, math.log((n1 - len(seen) + 0.5) / (n0 + 1))
 
 
+class Recent(dict):
+    """A memo of a function that keeps the ``size`` keys asked for last, or up to twice as many."""
+
+    def __init__(self, made: Callable, size: int = RECENT):
+        super().__init__()
+        self.made, self.size, self.older = made, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found = self.older[key] if key in self.older else self.made(key)
+        return found
+
+
 class Scorer:
     """Scores texts with a lexicon; remembers what it found in tokens."""
 
     def __init__(self, model: CharModel, weights: dict[str, float], base: float):
-        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, {}, Boundaries(model)
+        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries, MEMO // 2), Boundaries(model)
 
     def entries(self, token: str) -> tuple[str, ...]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        found = tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
-        self.memo[token] = found
-        return found
+        return tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
         """The probability that each text is toxic, and the number of lexicon entries it holds."""
         memo = self.memo
         for group in in_groups([t or "" for t in texts]):
             for tokens in text_tokens(group, self.boundaries):
-                found = {f for t in tokens for f in (memo[t] if t in memo else self.entries(t))}
+                found = {f for t in tokens for f in memo[t]}
                 total = max(self.weights[f] for f in found) + math.log(len(found)) if found else self.base
                 yield 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
 
@@ -510,6 +523,7 @@ def score(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) ->
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(*fitted)
         for batch in batches:
             made = [*scorer(batch.column(1).to_pylist())]
@@ -524,6 +538,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(*fitted)
         for batch in batches:
             yield batch.filter(pa.array([x < THRESHOLD for x, _ in scorer(batch.column(place).to_pylist())], pa.bool_()))
