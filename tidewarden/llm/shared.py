@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,10 @@ def kept(key: tuple, made: Callable[[], T]) -> T:
 
 
 def release() -> None:
-    """Forget what a task of another operator has kept in this worker."""
+    """Forget what a task of another operator has kept in this worker, and give its memory back."""
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

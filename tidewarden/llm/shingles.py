@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut
+from .shared import connected_components, cut, release
 
 JACCARD = 0.8
 WIDTH, BANDS, ROWS = 5, 30, 5
@@ -59,6 +59,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     arrow = pa.schema([("text_hash", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sets = [wide_hashes(*shingle_hashes(t.as_py())).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=arrow)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .shared import connected_components, cut
+from .shared import connected_components, cut, release
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, with_bands: bool = False) -> DataFrame:
     arrow = pa.schema(list(zip(("doc_id", "text_hash", "fp", "n", "bands"), kinds))[: 3 + 2 * with_bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             prints, sizes, bands = [], [], []
             for text in batch.column(2):
@@ -161,6 +162,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     arrow = pa.schema([("side", pa.int8()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tables = golay_tables()
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
