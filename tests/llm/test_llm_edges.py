@@ -425,3 +425,33 @@ def test_disguised_words_of_held_out_rows_are_found(spark):
             hidden += 1
             found += next(scorer([" ".join(words)]))[0] >= toxicity.THRESHOLD
     assert not hidden or found >= 0.9 * hidden
+
+
+def test_memo_of_recent_keys_asks_again_only_for_old_ones():
+    asked = []
+    memo = toxicity.Recent(lambda k: asked.append(k) or k * k, 3)
+    assert [memo[k] for k in (1, 2, 3, 4, 1, 5)] == [1, 4, 9, 16, 1, 25]
+    assert asked == [1, 2, 3, 4, 5] and len(memo) + len(memo.older) <= 6
+    assert [memo[k] for k in (6, 7, 2)] == [36, 49, 4] and asked == [1, 2, 3, 4, 5, 6, 7, 2]
+
+
+def test_worker_keeps_one_thing_only():
+    first = shared.kept(("a", 1), list)
+    assert shared.kept(("a", 1), list) is first
+    shared.kept(("b", 1), list)
+    assert shared.kept(("a", 1), list) is not first
+    shared.release()
+    assert not shared._KEPT
+
+
+def test_lexicon_is_the_same_from_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdeilnorstu") for _ in range(7))
+    rows = [(" ".join([word(), "moron" if k % 2 else "friend", *(word() for _ in range(8))]), k % 2) for k in range(80)]
+    sample = spark.createDataFrame(rows, "text string, label int")
+    docs = sample.select("text")
+    model = toxicity.CharModel({r["gram"]: r["n"] for r in toxicity.trigram_counts(docs).collect()})
+    whole = toxicity.learn_lexicon(sample, model)
+    monkeypatch.setattr(toxicity, "RECENT", 5)
+    assert toxicity.learn_lexicon(sample, model) == whole
+    assert whole[0]

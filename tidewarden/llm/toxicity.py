@@ -31,7 +31,8 @@ STEMS = (4, 5, 6)
 #: large share of toxic texts more, and be right this often.
 MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
 MEMO = 400_000
-#: Latest tokens whose words a task that learns keeps, and features that it counts before it hands them over.
+#: Latest tokens whose words a task that learns keeps, features that it counts before it hands them over,
+#: and words that are counted before their trigrams are.
 RECENT = 100_000
 #: A word counts that is on a path this close to the best one, as a difference of logarithms.
 MARGIN = 5.0
@@ -93,7 +94,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 words.update([w.strip(EDGES) for w in (text.as_py() or "").lower().split()])
-                if len(words) > MEMO:
+                if len(words) > RECENT:
                     spend(words)
                     words = Counter()
         spend(words)
