@@ -151,7 +151,7 @@ def test_metrics_listener(spark, small):
 def test_a_long_series_has_one_autocorrelation(spark, tmp_path):
     import duckdb
 
-    from tidewarden.plans.alerting import ACF_SQL, BEACON_GAPS
+    from tidewarden.plans.common import ACF_SQL, BEACON_GAPS
 
     made, rng = [], random.Random(4)
     for name, n in (("long", 4600), ("short", 40), ("flat", 4200), (None, 4300)):
