@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and the SQL that some can be held against."""
+"""The registered queries of the thirteen operators and the SQL that some can be held against."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, packing, pii, quality, repeats, simhash, toxicity, warc
+from . import alignment, chat, decontaminate, embeddings, packing, pii, quality, repeats, secrets, simhash, spelling, toxicity, warc
 from .shared import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +70,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"), new_path(spark, "ledger"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,6 +152,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_embeddings": op10_embeddings,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline,
 }
 
