@@ -103,11 +103,12 @@ class Pieces(Encoder):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
+        self.blank = self.model.piece_to_id("▁")
         #: Whether no piece goes over from a text to a blank, so that texts can be cut there.
         self.stops_at_blanks = not any(re.search("[^▁]▁", p) for p in names)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+        return np.array(self.model.encode(text, num_threads=1) if text else [self.blank], np.int64)
 
 
 def encoders(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
@@ -118,21 +119,26 @@ def encoders(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
 class Chunks:
     """Distinct texts with the ids of both tokenizers, cut into groups and links.
 
-    Texts are joined for encoding, and the ids cut apart again where the bytes of a text
-    end; where that gives other bytes than the texts have, each is encoded alone.
+    The first ``joinable`` texts are joined for encoding, and the ids cut apart again
+    where the bytes of a text end; where that gives other bytes than the texts have, and
+    behind ``joinable``, each is encoded alone.
     """
 
-    def __init__(self, texts: list[str], a: Encoder, b: Encoder):
+    def __init__(self, texts: list[str], joinable: int, a: Encoder, b: Encoder):
         raw = [b" " + t.encode() for t in texts]
         self.sound = np.ones(len(texts), bool)
-        joined = b"".join(raw)
-        ids_a, ids_b = a.ids(joined[1:].decode()), b.ids(joined[1:].decode())
-        if not (joined and a.spells(ids_a, joined) and b.spells(ids_b, joined)):
-            apart = [(a.ids(t), b.ids(t)) for t in texts]
-            self.sound = np.array([a.spells(x, r) and b.spells(y, r) for (x, y), r in zip(apart, raw)], bool).reshape(-1)
-            apart = [p for p, good in zip(apart, self.sound) if good]
-            raw = [r if good else b"" for r, good in zip(raw, self.sound)]
-            ids_a, ids_b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*apart) if apart else ((), ())))
+        joined = " ".join(texts[:joinable])
+        parts = [(a.ids(joined), b.ids(joined))] if joinable else []
+        whole = b"".join(raw[:joinable])
+        if joinable and not (a.spells(parts[0][0], whole) and b.spells(parts[0][1], whole)):
+            parts, joinable = [], 0
+        for k in range(joinable, len(texts)):
+            own_a, own_b = a.ids(texts[k]), b.ids(texts[k])
+            if a.spells(own_a, raw[k]) and b.spells(own_b, raw[k]):
+                parts.append((own_a, own_b))
+            else:
+                self.sound[k], raw[k] = False, b""
+        ids_a, ids_b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*parts) if parts else ((), ())))
         stops = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -162,11 +168,12 @@ class Chunks:
         return ["".join(parts[x:y]) for x, y in zip(at, at[1:])]
 
 
-def chunked(texts: list[str], b: Pieces) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct chunks, the chunks of all texts in order, and where each text's end.
+def chunked(texts: list[str], b: Pieces) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+    """Distinct chunks, how many of them can be joined, the chunks of all texts in order, and where each text's end.
 
-    A text is cut at blanks between other characters, where tokens of both vocabularies
-    end; one that has white space before a blank, or none to cut at, is one chunk.
+    A text is cut at blanks behind other characters than white space, where tokens of
+    both vocabularies end; one that has white space before a blank is one chunk.  Chunks
+    that end in white space, or have it before a blank, come last and are not joined.
     """
     if b.stops_at_blanks:
         lists = [t.split(" ") if t and not UNEVEN.search(" " + t) else [t] if t else [] for t in texts]
@@ -174,7 +181,12 @@ def chunked(texts: list[str], b: Pieces) -> tuple[list[str], np.ndarray, np.ndar
         lists = [[t] if t else [] for t in texts]
     ends = np.cumsum([len(x) for x in lists]).astype(np.int64)
     coded = pa.array([c for x in lists for c in x], pa.string()).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
+    distinct = coded.dictionary.to_pylist()
+    alone = np.array([not (b.stops_at_blanks and t) or t[-1].isspace() or bool(UNEVEN.search(" " + t)) for t in distinct], bool)
+    order = np.argsort(alone, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [distinct[k] for k in order], int((~alone).sum()), place[coded.indices.to_numpy(zero_copy_only=False)], ends
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -246,8 +258,8 @@ def opened(bitmap: pa.Array, dense: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 def index_block(doc_ids: list, texts: list[str], block: int, a: ByteLevel, b: Pieces) -> Iterator[pa.RecordBatch]:
     """The rows of a block: its documents, then the bitmaps of its pairs."""
-    distinct, chunks, ends = chunked(texts, b)
-    made = Chunks(distinct, a, b)
+    distinct, joinable, chunks, ends = chunked(texts, b)
+    made = Chunks(distinct, joinable, a, b)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     size = ends - starts
     doc = np.repeat(np.arange(len(texts)), size)
@@ -316,7 +328,7 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
 def link_counts(postings: DataFrame) -> DataFrame:
     """``(a, b, links)``: how many links a pair has, from its planes."""
-    weight = F.when(F.col("plane") == PRESENT, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.greatest("plane", F.lit(0))))
+    weight = F.when(F.col("plane") == PRESENT, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2), "plane").cast("long"))
     return postings.groupBy("a", "b").agg(F.sum(F.col("n") * weight).alias("links"))
 
 
