@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.operators import detectors, features, ml, normalize
 from tidewarden.sources import sensors
+from tidewarden.sources.paths import new_path
 from tidewarden.streaming import jobs
 
 FLOW = "event_id long, flow_id string, ts double, us long, event_type string, src_ip string, dst_ip string, dst_port int, bytes_out long, bytes_in long, pkts_out long, pkts_in long, duration double, conn_state string, dns_query string, ja3 string"
@@ -137,15 +138,15 @@ def test_blocklist_files(spark, tmp_path):
     assert {"aa", "bb", "cc"} < got and len(got) == 11
 
 
-def test_metrics_listener(spark, small):
+def test_metrics_listener_counts_each_run_from_nothing(spark, small):
     from tidewarden.plans.streams import stream_flows
 
     metrics = jobs.Metrics()
     spark.streams.addListener(metrics)
-    jobs.run(spark, stream_flows(spark, small).groupBy("src_ip").count(), "complete")
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    rows = stream_flows(spark, small).groupBy("src_ip").count()
+    runs = [metrics.wait(jobs.drain(rows, "complete", new_path(spark, "stream"), new_path(spark, "state"))) for _ in range(2)]
     spark.streams.removeListener(metrics)
-    assert metrics.rows == 1000 and metrics.batches >= 1
+    assert [r["rows"] for r in runs] == [1000, 1000] and all(r["batches"] == len(r["millis"]) >= 1 for r in runs)
 
 
 def test_a_long_series_has_one_autocorrelation(spark, tmp_path):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..params import DEFAULTS, Params
 from ..schemas import ALERT_COLUMNS, SCHEMA_VERSION
+from .checks import alert_rules, failed_rules, judge_detections, split_failed
+from .sinks import quarantine
 from .windows import cooldown, repeat_recency, running_incident, split_incidents
 
 Fusion = Callable[[Column, Column, Column, Column], Column]
@@ -63,6 +65,31 @@ def as_alerts(scored: DataFrame, written_at: Column | None = None) -> DataFrame:
     }).select(*ALERT_COLUMNS)
 
 
+def guarded_alerts(found: DataFrame, root: str, params: Params = DEFAULTS, fusion: Fusion = S.fuse, correlator: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The alert engine with its checks on both sides: alerts, rejected detections, rejected alerts.
+
+    ``found`` has the detection columns and the event's, as ``judge_detections`` takes
+    them.  Detections and alerts are each judged once and written below ``root`` with
+    what they failed; the parts are read from there, and rejects of both sides are added
+    to the quarantine in ``root``.  Alerts keep their incident's state in further columns.
+    """
+    spark = found.sparkSession
+    judged = judge_detections(found)
+    judged.write.parquet(f"{root}/detections")
+    good, before = split_failed(spark.read.schema(judged.schema).parquet(f"{root}/detections"))
+    scored = score_alerts(good, params, fusion, correlator)
+    iso = S.to_iso(F.col("event_time"))
+    strict = scored.withColumns({
+        "event_epoch": F.col("event_time"), "timestamp": iso, "event_time": iso, "confidence": S.round_to(F.col("confidence"), 4), "schema_version": F.lit(SCHEMA_VERSION),
+    }).withColumn("failed", failed_rules(alert_rules(list(ALERT_COLUMNS))))
+    strict.write.parquet(f"{root}/alerts")
+    alerts, after = split_failed(spark.read.schema(strict.schema).parquet(f"{root}/alerts"))
+    why, now = F.concat_ws(", ", "failed"), F.current_timestamp().cast("double")
+    parked = quarantine(before, "detection", why, now).unionByName(quarantine(after, "alert", why, now))
+    parked.write.mode("append").parquet(f"{root}/quarantine")
+    return alerts, before, after
+
+
 def incidents_of(scored: DataFrame) -> DataFrame:
     """One row per incident with its final state, derived from the deduplicated alerts."""
     last = F.max_by(F.struct("threat_classes", "incident_risk"), F.struct("event_time", "alert_id"))

@@ -18,12 +18,21 @@ def failed_rules(rules: dict[str, Column]) -> Column:
 
 
 def split_by(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    marked = rows.withColumn("failed", failed_rules(rules))
+    return split_failed(rows.withColumn("failed", failed_rules(rules)))
+
+
+def split_failed(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``failed`` is empty, without it, and the others."""
     return marked.where(F.size("failed") == 0).drop("failed"), marked.where(F.size("failed") > 0)
 
 
 def check_detection(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Canonical, complete detections, and rejects with the rules that failed.
+    """Canonical, complete detections, and rejects with the rules that failed; see ``judge_detections``."""
+    return split_failed(judge_detections(rows))
+
+
+def judge_detections(rows: DataFrame) -> DataFrame:
+    """Detections made canonical and complete where that can be done, with ``failed``, the rules that do not hold.
 
     ``rows`` has the detection columns with evidence as an array, plus the event's
     ``event_flow_id``, ``event_src_ip``, ``event_dst_ip`` and ``event_ts``, which fill
@@ -38,11 +47,11 @@ def check_detection(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "dst_ip": either("dst_ip", "event_dst_ip"), "event_time": finite(F.coalesce("event_time", "event_ts")),
         "anomaly": clip01(F.coalesce(finite(F.col("anomaly")), default_anomaly(confidence, class_value(name, None)))),
     }).drop("event_flow_id", "event_src_ip", "event_dst_ip", "event_ts")
-    return split_by(coerced, {
+    return coerced.withColumn("failed", failed_rules({
         "threat_class": F.col("threat_class").isNotNull(), "confidence": F.col("confidence").isNotNull(),
         "evidence": (F.size("evidence") > 0) & F.forall("evidence", lambda x: x != ""), "flow_id": F.col("flow_id").isNotNull(),
         "src_ip": F.col("src_ip").isNotNull(), "event_time": F.col("event_time").isNotNull(), "anomaly": F.col("anomaly").isNotNull(),
-    })
+    }))
 
 
 def alert_rules(columns: list[str]) -> dict[str, Column]:

@@ -168,23 +168,76 @@ def autocorrelation(rows: DataFrame, keys: list[str], longest: int = 4096) -> Da
     return short.unionByName(long).select(*[F.col("_key")[k].alias(k) for k in keys], "acf", "acf_peak", "acf_lag")
 
 
-def dominant_frequency(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, frequency, magnitude`` of the strongest non-constant component of each key's gaps; under 4 gaps 0."""
+def numbered_gaps(rows: DataFrame, keys: list[str], stretch_s: float = 3600.0) -> DataFrame:
+    """Rows with ``gap`` to the one before of their keys, null for the first, and ``place``, how many gaps come before it.
+
+    Rows are sorted within stretches of time; of a key's whole history only one row per
+    stretch meets in one task, so a busy key is spread over time.  Null is a key as any other.
+    """
+    timed = rows.withColumns({"_key": F.struct(*keys), "_s": F.floor(F.col("ts") / stretch_s)})
+    whole = Window.partitionBy("_key").orderBy("_s")
+    ends = timed.groupBy("_key", "_s").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"))
+    ends = ends.select("_key", "_s", F.lag("_last").over(whole).alias("_before"), F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("_key", "_s").orderBy("ts", "event_id")
+    placed = timed.withColumns({"_lag": F.lag("ts").over(inside), "_row": F.row_number().over(inside)}).join(ends, ["_key", "_s"])
+    return placed.withColumns({"gap": F.col("ts") - F.coalesce("_lag", "_before"), "place": F.col("_from") + F.col("_row") - 2}).drop("_key", "_s", "_lag", "_row", "_before", "_from")
+
+
+SPECTRUM = "_text string, n long, k long, re double, im double"
+
+
+def partial_spectra(blocks: DataFrame) -> DataFrame:
+    """Fourier sums of blocks of a series, turned to the phase that the block's place has in the whole.
+
+    ``blocks`` has ``_text, n, _at`` and the centred values ``_x`` from place ``_at`` on.
+    A task adds up what it has of a key before it hands on its components from 1 to n / 2.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    schema = pa.schema([("_text", pa.string()), ("n", pa.int64()), ("k", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])
 
-    gaps = inter_arrival(rows, keys).where("gap is not null").select(*keys, "ts", "event_id", "gap")
-    kinds = [f"{k} {gaps.schema[k].dataType.simpleString()}" for k in keys]
+    def run(batches):
+        text, n, total = None, 0, None
+
+        def rows():
+            k = np.arange(1, len(total))
+            return pa.RecordBatch.from_arrays([pa.array([text] * len(k), pa.string()), pa.array(np.full(len(k), n)), pa.array(k), pa.array(total.real[1:]), pa.array(total.imag[1:])], schema=schema)
+
+        for batch in batches:
+            for own, size, at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if own != text:
+                    if text is not None:
+                        yield rows()
+                    text, n, total = own, size, np.zeros(size // 2 + 1, complex)
+                turn = np.exp(-2j * np.pi * (np.arange(size // 2 + 1) * at % size) / size)
+                total += np.fft.rfft(x.values.to_numpy(), size) * turn
+        if text is not None:
+            yield rows()
 
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["ts", "event_id"])["gap"].to_numpy()
-        frequency = magnitude = 0.0
-        if len(x) >= 4:
-            power = np.abs(np.fft.rfft(x - x.mean()))[1:]
-            frequency, magnitude = float(np.fft.rfftfreq(len(x))[1:][power.argmax()]), float(power.max())
-        return pdf[keys].head(1).assign(frequency=frequency, magnitude=magnitude)
+    return blocks.select("_text", "n", "_at", "_x").sortWithinPartitions("_text").mapInArrow(run, SPECTRUM)
 
-    return gaps.groupBy(*keys).applyInPandas(spectrum, ", ".join([*kinds, "frequency double", "magnitude double"]))
+
+def dominant_frequency(rows: DataFrame, keys: list[str], longest: int = 4096) -> DataFrame:
+    """``keys, frequency, magnitude`` of the strongest component but the constant one of each key's gaps.
+
+    A component is a sum over blocks of at most ``longest`` gaps, so no task holds a
+    key's gaps, only sums for its frequencies.  Of equal components the slowest counts;
+    under 4 gaps both are 0.
+    """
+    gaps = numbered_gaps(rows, keys).where("gap is not null").withColumn("_text", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    block = F.floor(F.col("place") / longest)
+    blocks = gaps.groupBy("_text", block.alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gap"))), lambda g: g["gap"]).alias("_x"))
+    add = lambda a, x: a + x
+    totals = blocks.groupBy("_text").agg(F.sum(F.size("_x")).alias("n"), F.sum(F.aggregate("_x", F.lit(0.0), add)).alias("_sum"))
+    mean = F.col("_sum") / F.col("n")
+    centred = blocks.join(totals, "_text").where("n >= 4").select("_text", "n", (F.col("_b") * longest).alias("_at"), F.transform("_x", lambda x: x - mean).alias("_x"))
+    summed = partial_spectra(centred).groupBy("_text", "n", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    power = F.struct(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("m"), (-F.col("k")).alias("k"))
+    best = summed.groupBy("_text", "n").agg(F.max(power).alias("b")).select("_text", (-F.col("b.k") / F.col("n")).alias("frequency"), F.col("b.m").alias("magnitude"))
+    named = gaps.groupBy("_text").agg(*[F.first(k).alias(k) for k in keys])
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("frequency", "magnitude")]
+    return named.join(best, "_text", "left").select(*keys, *zero)
 
 
 def lexical_totals(dns: DataFrame, keys: list[str]) -> DataFrame:

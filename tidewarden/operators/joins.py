@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import DEFAULT_PRIOR, DEFAULT_WEIGHTS
@@ -44,20 +44,29 @@ def attach_features(events: DataFrame, features: DataFrame, keys: list[str]) ->
     return events.join(features, keys, "left")
 
 
-def prior_alerts(alerts: DataFrame, window_s: float = 600.0) -> DataFrame:
-    """Pairs of an alert and an earlier one of its entity at most ``window_s`` before.
+def prior_alerts(alerts: DataFrame, window_s: float = 600.0, nearest: int = 3) -> DataFrame:
+    """``alert_id, n_prior, nearest``: how many earlier alerts the entity has at most ``window_s`` before, and the ids of the last of them.
 
-    The interval join is an equi-join on entity and time bucket, each later alert
-    looking into its own bucket and the one before, so a busy entity is spread over
-    its buckets.
+    One row per alert, whatever its entity's alerts are: counts are differences of
+    running counts in buckets of ``window_s``, and the nearest are the ones before it in
+    its bucket, then the last of the bucket before.  Ties go by alert id, which is unique.
     """
-    earlier = alerts.select("entity", F.col("alert_id").alias("prior_id"), F.col("event_time").alias("prior_time"))
-    earlier = earlier.withColumn("bucket", F.floor(F.col("prior_time") / window_s))
-    later = alerts.select("entity", "alert_id", "event_time", F.explode(
-        F.array(F.floor(F.col("event_time") / window_s), F.floor(F.col("event_time") / window_s) - 1)).alias("bucket"))
-    before = (F.col("prior_time") < F.col("event_time")) | ((F.col("prior_time") == F.col("event_time")) & (F.col("prior_id") < F.col("alert_id")))
-    close = F.col("prior_time") >= F.col("event_time") - window_s
-    return later.join(earlier, ["entity", "bucket"]).where(before & close).drop("bucket")
+    at, q = F.col("event_time"), F.floor(F.col("event_time") / window_s)
+    side = lambda own, q, at: F.struct(F.lit(own).alias("own"), q.alias("q"), at.alias("at"))
+    sides = alerts.select("alert_id", "entity", "event_time", F.inline(F.array(side(1, q, at), side(0, q - 1, at - window_s))))
+    w = Window.partitionBy("entity", "q").orderBy("at", "own", "alert_id")  # an edge comes before alerts of its moment
+    before = F.coalesce(F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = F.coalesce(F.sum("own").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0))
+    counted = sides.select("alert_id", F.when(F.col("own") == 1, before).otherwise(behind).alias("n")).groupBy("alert_id").agg(F.sum("n").alias("n_prior"))
+
+    own = alerts.select("alert_id", "entity", at.alias("at"), q.alias("q"))
+    inside = Window.partitionBy("entity", "q").orderBy("at", "alert_id")
+    tails = own.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "q").orderBy(F.desc("at"), F.desc("alert_id")))).where(F.col("_r") <= nearest)
+    tails = tails.groupBy("entity", (F.col("q") + 1).alias("q")).agg(F.collect_list(F.struct("at", "alert_id")).alias("_tail"))
+    close = own.withColumn("_near", F.collect_list(F.struct("at", "alert_id")).over(inside.rowsBetween(-nearest, -1))).join(tails, ["entity", "q"], "left")
+    both = F.concat("_near", F.filter(F.coalesce("_tail", F.array()), lambda x: x["at"] >= F.col("at") - window_s))
+    latest = F.slice(F.sort_array(both, asc=False), 1, nearest)
+    return counted.join(close.select("alert_id", F.transform(latest, lambda x: x["alert_id"]).alias("nearest")), "alert_id")
 
 
 def alerts_with_incidents(alerts: DataFrame, incidents: DataFrame) -> DataFrame:

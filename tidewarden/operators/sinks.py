@@ -17,11 +17,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_alerts(batch: DataFrame, path: str) -> None:
-    """Append the alerts of a batch that the table at ``path`` does not hold, once each."""
+#: Parts of a table up to which a batch names the ones it touches; beyond, they are found by a join.
+NAMED_PARTS = 1000
+
+
+def alert_part(columns: list[str]) -> Column:
+    """The part of a table that an alert lies in: the day of its event, or the beginning of its id where times are not kept."""
+    return F.floor(F.col("event_time") / 86400).cast("string") if "event_time" in columns else F.substring("alert_id", 1, 2)
+
+
+def touched_alerts(batch: DataFrame, path: str) -> DataFrame:
+    """Ids of the table at ``path`` in those parts that the batch's alerts lie in; no other part is read.
+
+    An alert that comes again has its time and id again, so it lies where it lay.
+    """
     spark = batch.sparkSession
-    existing = spark.read.schema(batch.schema).parquet(path) if exists(spark, path) else batch.limit(0)
-    new_alerts(batch, existing).write.mode("append").parquet(path)
+    table = spark.read.schema("alert_id string, part string").parquet(path)
+    parts = batch.select("part").distinct()
+    named = [r[0] for r in parts.limit(NAMED_PARTS + 1).collect()]
+    return table.where(F.col("part").isin(named)) if len(named) <= NAMED_PARTS else table.join(parts, "part", "left_semi")
+
+
+def append_alerts(batch: DataFrame, path: str) -> None:
+    """Append the alerts of a batch that the table at ``path`` does not hold, once each.
+
+    The table is laid out in parts (column ``part``); what a batch costs grows with the
+    parts it touches, not with the table.
+    """
+    placed = batch.withColumn("part", F.coalesce(alert_part(batch.columns), F.lit("none")))
+    held = touched_alerts(placed, path) if exists(batch.sparkSession, path) else placed.select("alert_id").limit(0)
+    new_alerts(placed, held).write.mode("append").partitionBy("part").parquet(path)
 
 
 def latest_incidents(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,7 +112,7 @@ def session_summary(alerts: DataFrame, incidents: DataFrame, session_id: Column,
 def archive_session(alerts: DataFrame, incidents: DataFrame, session: str, root: str, reason: str = "manual") -> DataFrame | None:
     """Copy both tables below ``root`` under the session and return its summary; None if there are no alerts.
 
-    The caller empties the active tables after the copy, which it can read back.
+    ``archive_and_clear`` empties the active tables as well.
     """
     if alerts.isEmpty():
         return None
@@ -98,6 +123,49 @@ def archive_session(alerts: DataFrame, incidents: DataFrame, session: str, root:
     return summary
 
 
+def archive_and_clear(spark: SparkSession, active: str, root: str, session: str, reason: str = "manual") -> DataFrame | None:
+    """Move the tables ``alerts`` and ``incidents`` below ``active`` into the archive and leave empty ones; the summary, or None if there was no alert.
+
+    The tables are first set aside by a rename, with empty ones in their place, so alerts
+    that come meanwhile belong to the next session.  What was set aside is copied, counted
+    against the copy, summed up, and only then deleted.  A run that was stopped at any step
+    is finished by running it again with the same session; one that had ended changes nothing.
+    """
+    aside = {name: f"{active}/{name}.session={session}" for name in ("alerts", "incidents")}
+    done = f"{root}/sessions/session_id={session}"
+    if not exists(spark, f"{done}/_SUCCESS"):
+        for name, place in aside.items():
+            if not exists(spark, place):
+                schema = spark.read.parquet(f"{active}/{name}").schema
+                _rename(spark, f"{active}/{name}", place)
+                spark.createDataFrame([], schema).write.parquet(f"{active}/{name}")
+        alerts, incidents = (spark.read.parquet(place) for place in aside.values())
+        if alerts.isEmpty():
+            return None
+        archive_session(alerts, incidents, session, root, reason)
+    for name, place in aside.items():  # a stop after the rename leaves no table: put an empty one there
+        if exists(spark, place):
+            held, copy = spark.read.parquet(place), spark.read.parquet(f"{root}/{name}/session_id={session}")
+            if held.count() != copy.count():
+                raise RuntimeError(f"the archive of {name} does not hold all rows; nothing was deleted")
+            if not exists(spark, f"{active}/{name}"):
+                spark.createDataFrame([], held.schema).write.parquet(f"{active}/{name}")
+            _delete(spark, place)
+    return spark.read.parquet(done).withColumn("session_id", F.lit(session))
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.rename(path(old), path(new)):
+        raise OSError(f"{old} cannot be renamed")
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def list_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Session summaries, the newest first."""
     return sessions_latest_first(spark.read.parquet(f"{root}/sessions").withColumn("session_id", F.col("session_id").cast("string")))
@@ -113,10 +181,8 @@ def load_session(spark: SparkSession, root: str, session: str) -> tuple[DataFram
 
 
 def delete_session(spark: SparkSession, root: str, session: str) -> None:
-    jvm = spark.sparkContext._jvm
     for name in ("alerts", "incidents", "sessions"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/session_id={session}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, f"{root}/{name}/session_id={session}")
 
 
 def flat_map(column: str) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import CLASS_PARAMS
-from ..functions.scalars import recency_of, round_half_up, severity
+from ..functions.scalars import clip01, round_half_up, severity
 
 
 def trailing_features(flows: DataFrame, window_s: int = 600) -> DataFrame:
@@ -41,38 +47,109 @@ def rolling_zscore(buckets: DataFrame, keys: list[str], metric: str, history: in
     return buckets.withColumn("z", z).withColumn("z_confidence", F.least(F.lit(1.0), F.abs("z") / ceiling))
 
 
-def cooldown(detections: DataFrame, cooldown_s: float = 30.0) -> DataFrame:
+#: Cooldowns that a block of an entity's history spans: at most one detection more than that is kept in it.
+BLOCK_COOLDOWNS = 16
+
+
+def cooldown(detections: DataFrame, cooldown_s: float = 30.0, block: int = BLOCK_COOLDOWNS) -> DataFrame:
     """Detections that are kept: per entity and class the first, then the first at least ``cooldown_s`` after the last kept.
 
-    A recurrence, folded over each entity's times in order.  A stretch without a gap
-    of ``cooldown_s`` is folded alone: after such a gap the next detection is always
-    kept, so histories are cut where nothing is carried over, and the array that is
-    folded is one unbroken burst.  Repeats of an alert id are one detection.
+    A recurrence, cut into blocks of time so that a long burst is spread over tasks.
+    What a block does to those behind it is a table: from where its first kept detection
+    can be to its last one, found by doubling the pointers to the next kept one.  The
+    tables of a burst are followed from block to block, which gives the last detection
+    kept before each; then every block is folded alone.  A block that begins
+    ``cooldown_s`` after all before it needs no table.  Repeats of an alert id are one
+    detection; ties go by alert id; without a positive cooldown all are kept.  Detections
+    without an entity or a class are dropped.
     """
+    if cooldown_s <= 0:
+        return detections.where("entity is not null and threat_class is not null").dropDuplicates(["alert_id"])
     keys = ["entity", "threat_class"]
-    w = Window.partitionBy(*keys).orderBy("event_time", "alert_id")
-    gap = F.col("event_time") - F.lag("event_time").over(w)
-    cut = detections.withColumn("_new", F.when(gap.isNull() | (gap >= cooldown_s), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<string>").alias("kept"))
+    at = F.floor(F.col("event_time") / (block * cooldown_s)).alias("_block")
+    listed = detections.groupBy(*keys, at).agg(F.array_sort(F.collect_set(F.struct("event_time", "alert_id"))).alias("_l"))
+    w = Window.partitionBy(*keys).orderBy("_block")  # one row per block
+    ends = listed.select(*keys, "_block", F.element_at("_l", 1)["event_time"].alias("_first"), F.element_at("_l", -1)["event_time"].alias("_last"))
+    tied = F.coalesce(F.col("_first") - F.lag("_last").over(w) < cooldown_s, F.lit(False))
+    marked = ends.select(*keys, "_block", tied.alias("_tied"))
+    begins = F.last(F.when(~F.col("_tied"), F.col("_block")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.select(*keys, "_block", "_tied", begins.alias("_burst"), F.coalesce(F.lead("_tied").over(w), F.lit(False)).alias("_more"))
+    tables = listed.join(marked.where("_tied or _more"), [*keys, "_block"]).select(*keys, "_block", "_burst", "_tied", F.transform("_l", lambda x: x["event_time"]).alias("_t"))
+    before = _last_before(tables, cooldown_s)
+    start = F.struct(F.col("_before").alias("last"), F.array().cast("array<string>").alias("kept"))
 
     def step(state, x):
         keep = state["last"].isNull() | (x["event_time"] >= state["last"] + cooldown_s)
         kept = F.when(keep, F.concat(state["kept"], F.array(x["alert_id"]))).otherwise(state["kept"])
         return F.struct(F.when(keep, x["event_time"]).otherwise(state["last"]).alias("last"), kept.alias("kept"))
 
-    listed = cut.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("event_time", "alert_id"))).alias("_l"))
-    kept = listed.select(*keys, F.explode(F.aggregate("_l", start, step)["kept"]).alias("alert_id"))
-    return detections.join(kept, [*keys, "alert_id"], "left_semi").dropDuplicates(["alert_id"])
+    folded = listed.join(before, [*keys, "_block"], "left").select(*keys, F.explode(F.aggregate("_l", start, step)["kept"]).alias("alert_id"))
+    return detections.join(folded, [*keys, "alert_id"], "left_semi").dropDuplicates(["alert_id"])
+
+
+def _last_before(tables: DataFrame, cooldown_s: float) -> DataFrame:
+    """``(entity, threat_class, _block, _before)``: the time of the last detection kept before each block of a burst.
+
+    A task holds the tables of one burst, not its detections: an entry for each place
+    within one cooldown of a block's start that leads to a different end.
+    """
+    arrow = pa.schema([("entity", pa.string()), ("threat_class", pa.string()), ("_block", pa.int64()), ("_burst", pa.int64()), ("entry", pa.list_(pa.float64())), ("exit", pa.list_(pa.float64()))])
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [block_table(t.values.to_numpy(), tied, cooldown_s) for t, tied in zip(batch.column(5), batch.column(4).to_pylist())]
+            entry, end = (pa.array([x[k] for x in made], pa.list_(pa.float64())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], entry, end], schema=arrow)
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last, before = rows.sort_values("_block"), math.nan, []
+        for entry, end in zip(rows["entry"], rows["exit"]):
+            before.append(last)
+            k = 0 if math.isnan(last) else int(np.searchsorted(entry, last + cooldown_s))
+            last = end[k] if k < len(end) else last
+        return rows.assign(_before=before)[["entity", "threat_class", "_block", "_before"]]
+
+    steps = tables.mapInArrow(tabled, "entity string, threat_class string, _block long, _burst long, entry array<double>, exit array<double>")
+    followed = steps.groupBy("entity", "threat_class", "_burst").applyInPandas(follow, "entity string, threat_class string, _block long, _before double")
+    return followed.withColumn("_before", F.nanvl("_before", F.lit(None).cast("double")))
+
+
+def block_table(times: np.ndarray, tied: bool, cooldown_s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a block can be entered, and the time of its last kept detection for each entry.
+
+    ``times`` is in order.  A block is entered at its first time that is a cooldown
+    behind the last kept one, so past the first cooldown only the next time can be.
+    """
+    far = np.searchsorted(times, times + cooldown_s)
+    end = np.minimum(far, len(times) - 1)
+    end[far == len(times)] = np.flatnonzero(far == len(times))
+    while (end != end[end]).any():
+        end = end[end]
+    most = min(len(times), int(far[0]) + 1) if tied else 1
+    entry, last = times[:most], times[end[:most]]
+    keep = np.append(last[1:] != last[:-1], True)  # of entries with one end the latest stands for all
+    return entry[keep], last[keep]
 
 
 def repeat_recency(alerts: DataFrame, window_s: int = 600, half_life_s: float = 120.0) -> DataFrame:
-    """Alerts with ``recency`` from the entity's earlier alerts within ``window_s``; ties go by alert id."""
-    micro = (F.col("event_time") * 1e6).cast("long")
-    w = Window.partitionBy("entity").orderBy("_us").rangeBetween(-window_s * 1_000_000, 0)
-    timed = alerts.withColumn("_us", micro).withColumn("_l", F.collect_list(F.struct("event_time", "alert_id")).over(w))
-    me = F.struct("event_time", "alert_id")
-    times = F.transform(F.array_sort(F.filter("_l", lambda x: x < me)), lambda x: x["event_time"])
-    return timed.withColumn("recency", recency_of(times, F.col("event_time"), half_life_s)).drop("_l", "_us")
+    """Alerts with ``recency`` from the entity's earlier alerts within ``window_s``; ties go by alert id, which is unique.
+
+    The decayed sum of a window is read off running sums of buckets of ``window_s``: what
+    the alert's own bucket holds before it, and what the bucket before holds from the
+    window's edge on.  Weights are relative to their bucket's start, so no power grows
+    with the time, and a busy entity is spread over its buckets.
+    """
+    at, q = F.col("event_time"), F.floor(F.col("event_time") / window_s)
+    side = lambda own, q, at: F.struct(F.lit(own).alias("own"), q.alias("q"), at.alias("at"))
+    sides = alerts.select("alert_id", "entity", "event_time", F.inline(F.array(side(1, q, at), side(0, q - 1, at - window_s))))
+    decay = F.pow(F.lit(2.0), (F.col("event_time") - F.col("q") * F.lit(float(window_s))) / half_life_s)
+    weighed = sides.withColumn("_w", F.when(F.col("own") == 1, decay).otherwise(0.0))
+    w = Window.partitionBy("entity", "q").orderBy("at", "own", "alert_id")  # an edge comes before alerts of its moment
+    before = F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    part = F.when(F.col("own") == 1, before).otherwise(F.greatest(whole - before, F.lit(0.0))) / decay
+    sums = weighed.select("alert_id", part.alias("_m")).groupBy("alert_id").agg(F.sum("_m").alias("_m"))
+    return alerts.join(sums, "alert_id").withColumn("recency", clip01(F.lit(1.0) - F.exp(-F.col("_m")))).drop("_m")
 
 
 def split_incidents(alerts: DataFrame, gap_s: float = 600.0) -> DataFrame:

@@ -10,8 +10,8 @@ from ..operators import alerts as A
 from ..operators import checks, detectors, joins, reports, sinks, windows
 from ..sources.flows import flows
 from .common import (
-    BEACON_SQL, DAY, DDOS_SQL, DETECTIONS_SQL, EXFIL_SQL, PRIORS, SCAN_SQL, SEVERITY, TLS_SQL, WEIGHTS, WIDE, anomaly, blocklist, by_digits, detections, round4, round6, scored,
-    sql_alerts, sql_detections, sql_flows, sql_kept,
+    BAD_ALERT_CLASS, BAD_DETECTION_SQL, BEACON_SQL, DAY, DDOS_SQL, DETECTIONS_SQL, EXFIL_SQL, PRIORS, SCAN_SQL, SEVERITY, TLS_SQL, WEIGHTS, WIDE, anomaly, blocklist, by_digits, detections, guarded, round4, round6, scored,
+    sql_alerts, sql_detections, sql_flows, sql_guarded, sql_kept,
 )
 from .registry import query
 
@@ -118,10 +118,11 @@ def j1(spark, d):
     return joins.match_blocklist(flows(spark, d), blocklist(spark)).select("event_id", "blocklist_hit")
 
 
-@query("j5_prior_alerts", sql_alerts(f"""SELECT a.alert_id, b.alert_id AS prior_id FROM alerts a JOIN alerts b ON a.entity = b.entity AND b.event_time >= a.event_time - {DAY}
-  AND (b.event_time < a.event_time OR (b.event_time = a.event_time AND b.alert_id < a.alert_id))"""))
+@query("j5_prior_alerts", sql_alerts(f"""SELECT a.alert_id, count(b.alert_id) AS n_prior, coalesce(array_to_string(list(b.alert_id ORDER BY b.event_time DESC, b.alert_id DESC)[1:3], ','), '') AS nearest
+  FROM alerts a LEFT JOIN alerts b ON a.entity = b.entity AND b.event_time >= a.event_time - {DAY}
+  AND (b.event_time < a.event_time OR (b.event_time = a.event_time AND b.alert_id < a.alert_id)) GROUP BY 1"""))
 def j5(spark, d):
-    return joins.prior_alerts(scored(spark, d), float(DAY)).select("alert_id", "prior_id")
+    return joins.prior_alerts(scored(spark, d), float(DAY)).select("alert_id", "n_prior", F.array_join("nearest", ",").alias("nearest"))
 
 
 @query("j6_alerts_with_incidents", sql_alerts("""SELECT a.alert_id, a.incident_id, i.n AS incident_alerts FROM alerts a
@@ -233,11 +234,31 @@ def l4(spark, d):
     return reports.alerts_chronological(scored(spark, d)).select("alert_id", "event_time", "severity")
 
 
-@query("a17_pipeline_counters", sql_alerts("""SELECT 'events' AS counter, count(*) AS value FROM flows UNION ALL SELECT 'detections', count(*) FROM dets
-  UNION ALL SELECT 'emitted', count(*) FROM alerts UNION ALL SELECT 'suppressed', (SELECT count(*) FROM ids) - (SELECT count(*) FROM alerts)"""))
+@query("a17_pipeline_counters", sql_guarded(f"""SELECT 'events' AS counter, count(*) AS value FROM flows UNION ALL SELECT 'detections', count(*) FROM dets_all
+  UNION ALL SELECT 'invalid', count(*) FROM dets_all WHERE {BAD_DETECTION_SQL} UNION ALL SELECT 'emitted', count(*) FROM alerts WHERE threat_class <> '{BAD_ALERT_CLASS}'
+  UNION ALL SELECT 'violations', count(*) FROM alerts WHERE threat_class = '{BAD_ALERT_CLASS}' UNION ALL SELECT 'suppressed', (SELECT count(*) FROM ids) - (SELECT count(*) FROM alerts)"""))
 def a17(spark, d):
-    ids, alerts = _identified(spark, d), scored(spark, d)
-    return reports.pipeline_counters(events=flows(spark, d), detections=ids, emitted=alerts, suppressed=ids.dropDuplicates(["alert_id"]).join(alerts, "alert_id", "left_anti"))
+    """Counters of the guarded engine, with planted detections and alerts that it rejects."""
+    root, alerts, before, after = guarded(spark, d)
+    found = spark.read.parquet(f"{root}/detections")
+    sound = found.where(F.size("failed") == 0).select(S.alert_id(F.col("flow_id"), F.col("threat_class"), F.col("detector")).alias("alert_id")).distinct()
+    suppressed = sound.join(alerts.select("alert_id").union(after.select("alert_id")), "alert_id", "left_anti")
+    return reports.pipeline_counters(events=flows(spark, d), detections=found, invalid=before, emitted=alerts, violations=after, suppressed=suppressed)
+
+
+@query("d7_guarded_alerts", sql_guarded(f"""SELECT 'alert' AS kind, alert_id AS id, '' AS error, risk_score FROM alerts WHERE threat_class <> '{BAD_ALERT_CLASS}'
+  UNION ALL SELECT 'rejected alert', alert_id, 'risk_score', 1000 FROM alerts WHERE threat_class = '{BAD_ALERT_CLASS}'
+  UNION ALL SELECT 'rejected detection', flow_id, 'threat_class', NULL FROM dets_all WHERE {BAD_DETECTION_SQL}"""))
+def d7_guarded(spark, d):
+    """Alerts of the guarded engine, and what its quarantine holds of planted rejects."""
+    root, alerts, *_ = guarded(spark, d)
+    parked = spark.read.parquet(f"{root}/quarantine")
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    rejected = parked.select(
+        F.concat(F.lit("rejected "), "kind").alias("kind"), F.when(F.col("kind") == "alert", field("alert_id")).otherwise(field("flow_id")).alias("id"), "error",
+        F.when(F.col("kind") == "alert", field("risk_score").cast("long")).alias("risk_score"),
+    )
+    return alerts.select(F.lit("alert").alias("kind"), F.col("alert_id").alias("id"), F.lit("").alias("error"), "risk_score").union(rejected)
 
 
 @query("k1_append_alerts", sql_alerts("SELECT alert_id, risk_score FROM alerts"))
@@ -288,9 +309,17 @@ def k5(spark, d):
     return alerts.select("alert_id", "risk_score").join(rest.agg(F.count("*").cast("int").alias("remaining")), F.lit(True))
 
 
-@query("k6_archive_session", sql_alerts(f"SELECT * EXCLUDE (start_time, end_time), (SELECT count(DISTINCT incident_id) FROM alerts) AS total_incidents, 's1' AS session_id, 'manual' AS reason FROM ({STATS})"))
+@query("k6_archive_session", sql_alerts(f"SELECT * EXCLUDE (start_time, end_time), (SELECT count(DISTINCT incident_id) FROM alerts) AS total_incidents, 's1' AS session_id, 'manual' AS reason, 0 AS still_active FROM ({STATS})"))
 def k6(spark, d):
-    return _sessions(spark, d, ["s1"])[1]
+    """The summary of a session that was archived, and how many alerts are active after it."""
+    from ..sources.paths import new_path
+
+    root, active = new_path(spark, "sessions"), new_path(spark, "active")
+    scored(spark, d).write.parquet(f"{active}/alerts")
+    A.incidents_of(spark.read.parquet(f"{active}/alerts")).write.parquet(f"{active}/incidents")
+    sinks.archive_and_clear(spark, active, root, "s1")
+    left = spark.read.parquet(f"{active}/alerts").agg(F.count("*").cast("int").alias("still_active"))
+    return sinks.export_rows(sinks.list_sessions(spark, root)).join(left, F.lit(True))
 
 
 def _sessions(spark, d, names):

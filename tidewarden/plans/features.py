@@ -229,9 +229,15 @@ def a7(spark, d):
     return features.autocorrelation(flows(spark, d), ["src_ip", "dst_ip"]).select("src_ip", "dst_ip", six("acf_peak").alias("acf_peak"))
 
 
-@query("a8_dominant_frequency")
+@query("a8_dominant_frequency", sql_flows(f""", g AS (SELECT src_ip, ts, event_id, ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS gap FROM flows),
+x AS (SELECT src_ip, gap - avg(gap) OVER (PARTITION BY src_ip) AS x, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) - 1 AS j, count(*) OVER (PARTITION BY src_ip) AS n FROM g WHERE gap IS NOT NULL),
+f AS (SELECT src_ip, x, j, n, unnest(range(1, n // 2 + 1)) AS k FROM x WHERE n >= 4),
+m AS (SELECT src_ip, n, k, sqrt(sum(x * cos(2 * pi() * j * k / n)) ** 2 + sum(x * sin(2 * pi() * j * k / n)) ** 2) AS m FROM f GROUP BY 1, 2, 3),
+best AS (SELECT src_ip, n, max(struct_pack(m := m, k := -k)) AS b FROM m GROUP BY 1, 2)
+SELECT src_ip, {round6('coalesce(-b.k / n::DOUBLE, 0)')} AS frequency, {round6('coalesce(b.m, 0) / 1e3')} AS magnitude_thousands FROM (SELECT DISTINCT src_ip FROM x) LEFT JOIN best USING (src_ip)"""))
 def a8(spark, d):
-    return features.dominant_frequency(flows(spark, d), ["src_ip"])
+    found = features.dominant_frequency(flows(spark, d), ["src_ip"])
+    return found.select("src_ip", six("frequency").alias("frequency"), six(F.col("magnitude") / 1e3).alias("magnitude_thousands"))
 
 
 @query("a16_throughput", sql_flows("SELECT CAST(floor(ts / 3600) AS BIGINT) AS bucket, count(*) AS events, count(*) / 3600.0::DOUBLE AS per_second FROM flows GROUP BY 1"))
@@ -330,10 +336,15 @@ def s6(spark, d):
 
 
 def _envelopes(spark, d):
+    return sensors.parse_envelope(envelopes(flows(spark, d)))
+
+
+def envelopes(rows):
+    """Flows as JSON envelopes, a quarter of them broken in three ways."""
     body = F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), "flow_id", "src_ip", "event_type"))
     kind = F.col("event_id") % 12
     data = F.when(kind == 3, F.lit("not json")).when(kind == 7, F.regexp_replace(body, '"ts":"[^"]*"', '"ts":"nan"')).when(kind == 11, F.regexp_replace(body, '"event_type":"[^"]*",?', '"x":"y"')).otherwise(body)
-    return sensors.parse_envelope(flows(spark, d).select(data.alias("data")))
+    return rows.select(data.alias("data"))
 
 
 @query("x8_envelope_rejects", sql_flows("SELECT CASE event_id % 12 WHEN 3 THEN 'not a JSON object' WHEN 7 THEN 'ts is not a finite number' ELSE 'missing event_type' END AS error, count(*) AS n FROM flows WHERE event_id % 4 = 3 GROUP BY 1"))

@@ -1,4 +1,4 @@
-"""Streaming forms: windows, sessions, keyed state, the alert engine, delivery and metrics.
+"""Streaming forms: windows, sessions, delivery, quarantine and metrics; keyed state is in ``keyed``.
 
 Every job reads what is there with the available-now trigger and stops, or runs on
 with another trigger; the same functions serve both.
@@ -7,18 +7,16 @@ with another trigger; the same functions serve both.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import threading
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..dims import CLASS_PARAMS
-from ..operators.sinks import append_alerts
-from ..params import DEFAULTS, Params
+from ..operators.sinks import append_alerts, quarantine
 from ..sources.paths import new_path
+from ..sources.sensors import parse_envelope
 
 
 def timed(flows: DataFrame) -> DataFrame:
@@ -58,7 +56,7 @@ def window_features(flows: DataFrame, window: str, slide: str | None = None, del
     With ``delay`` rows later than that behind the newest are dropped, and windows are
     final once it has passed; a batch run over all rows is the way to repair them.
     """
-    rows = timed(flows)
+    rows = flows if "event_time" in flows.columns else timed(flows)
     rows = rows.withWatermark("event_time", delay) if delay else rows
     grouped = rows.groupBy("src_ip", F.window("event_time", window, slide) if slide else F.window("event_time", window))
     stats = grouped.agg(F.approx_count_distinct("dst_port").alias("ports"), F.approx_count_distinct("dst_ip").alias("ips"), F.count("*").alias("attempts"))
@@ -77,108 +75,90 @@ def deduplicate(rows: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
     return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([key])
 
 
-TRAILING = "event_id long, src_ip string, ports int, ips int, attempts int"
+def deliver(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Deliver alerts at least once with the effect of once: what the table holds is not written again."""
+    return drain(alerts, "append", path, checkpoint, each=lambda batch, _: append_alerts(batch, path))
 
 
-def trailing_state(flows: DataFrame, window_s: float = 600.0) -> DataFrame:
-    """Each flow with its source's distinct ports, addresses and attempts so far in the trailing window.
+def in_turns(spark: SparkSession, parts: Iterable[DataFrame], job: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[StreamingQuery]]:
+    """A stream that is fed part by part and started anew for each, from the checkpoint of the last.
 
-    State is the window's events per source, pruned as time goes on and dropped when
-    a source has been silent for a window in event time.
+    Parts are written one after the other to a folder that the stream follows; what the
+    query of one part has seen, state and watermark, is what the next goes on from.
+    Returns all it has written, and the queries.
     """
+    source, path, checkpoint, queries = new_path(spark, "fed"), new_path(spark, "stream"), new_path(spark, "stream-state"), []
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        made = job(spark.readStream.schema(part.schema).parquet(source))
+        queries.append(drain(made, "append", path, checkpoint))
+    return spark.read.schema(made.schema).parquet(path), queries
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, ports, ips = map(list, state.get) if state.exists else ([], [], [])
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out, first = [], 0
-        for event_id, ts, port, ip in zip(rows["event_id"], rows["ts"], rows["dst_port"], rows["dst_ip"]):
-            times.append(ts)
-            ports.append(int(port))
-            ips.append(ip)
-            while times[first] < ts - window_s:
-                first += 1
-            out.append((event_id, key[0], len(set(ports[first:])), len(set(ips[first:])), len(times) - first))
-        state.update((times[first:], ports[first:], ips[first:]))
-        until = int((times[-1] + window_s) * 1000)
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRAILING.split(", ")])
-
-    kept = timed(flows).withWatermark("event_time", "10 minutes").select("event_id", "src_ip", "ts", "dst_port", "dst_ip", "event_time")
-    return kept.groupBy("src_ip").applyInPandasWithState(step, TRAILING, "times array<double>, ports array<int>, ips array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-SCORED = "alert_id string, entity string, threat_class string, event_time double, recency double, risk_score long, alert_count long, incident_risk long, incident_start double"
-ENGINE_STATE = "ids array<string>, times array<double>, classes array<string>, kept array<double>, first double, last double, count long, risk_classes array<string>, risks array<long>"
-
-
-def alert_engine(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """The alert engine over a stream of identified detections, one keyed state per entity.
-
-    Rows of a batch are taken in event-time order; cooldown, recency history and the
-    open incident are carried from batch to batch.  A detection that arrives again is
-    dropped.  Rows that come late across batches may join an incident that a batch
-    run would have bridged.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            ids, times, classes, kept, first, last, count, names, risks = state.get
-            history, cool, worst = list(zip(times, ids)), dict(zip(classes, kept)), dict(zip(names, risks))
-        else:
-            history, cool, worst, first, last, count = [], {}, {}, 0.0, -math.inf, 0
-        rows = pd.concat(list(frames)).drop_duplicates("alert_id").sort_values(["event_time", "alert_id"])
-        out = []
-        for alert_id, name, t, p, a in zip(rows["alert_id"], rows["threat_class"], rows["event_time"], rows["confidence"], rows["anomaly"]):
-            if any(i == alert_id for _, i in history) or (name in cool and t < cool[name] + params.cooldown_s):
-                continue
-            history = [(h, i) for h, i in history if h >= t - params.recency_window_s]
-            recency = min(1.0, max(0.0, 1 - math.exp(-sum(2.0 ** (-(t - h) / params.recency_half_life_s) for h, _ in history if h <= t))))
-            (w_p, w_a, w_s, w_r), prior = CLASS_PARAMS[name]
-            risk = math.floor(100.0 * min(1.0, max(0.0, 0.0 + w_p * p + w_a * a + w_s * prior + w_r * recency)) + 0.5)
-            if t - last > params.incident_gap_s:
-                worst, first, count = {}, t, 0
-            count, last = count + 1, max(last, t)
-            worst[name] = max(worst.get(name, 0), risk)
-            survive = 1.0
-            for c in CLASS_PARAMS:
-                survive *= 1.0 - min(1.0, worst.get(c, 0) / 100.0)
-            out.append((alert_id, key[0], name, t, recency, risk, count, min(100, math.floor(100.0 * (1.0 - survive) + 0.5)), first))
-            history.append((t, alert_id))
-            cool[name] = t
-        state.update(([i for _, i in history], [h for h, _ in history], list(cool), list(cool.values()), first, last, count, list(worst), list(worst.values())))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
-
-    kept = detections.select("entity", "alert_id", "threat_class", "event_time", "confidence", "anomaly")
-    return kept.groupBy("entity").applyInPandasWithState(step, SCORED, ENGINE_STATE, "append", GroupStateTimeout.NoTimeout)
+def rows_dropped(queries: Iterable[StreamingQuery], operator: str) -> int:
+    """Rows that the watermark kept from an operator, as the queries' progress tells."""
+    return sum(s.numRowsDroppedByWatermark for q in queries for p in q.recentProgress for s in p.stateOperators if s.operatorName == operator)
 
 
-def deliver(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Deliver alerts at least once with the effect of once: what the table holds is not written again."""
-    return drain(alerts, "append", path, checkpoint, each=lambda batch, _: append_alerts(batch, path))
+def quarantined(entries: DataFrame, events: str, rejects: str, checkpoint: str) -> StreamingQuery:
+    """Take a stream of envelopes apart: sound events go to one table, poisoned entries with their error to another.
+
+    A batch that is tried again writes its parts again, each below its own number, so the
+    effect is that of once; no entry stops the stream.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        good, bad = parse_envelope(batch)
+        good.write.mode("overwrite").parquet(f"{events}/batch={number}")
+        parked = quarantine(bad, "event", F.col("error"), F.current_timestamp().cast("double"))
+        parked.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+
+    return drain(entries, "append", events, checkpoint, each=split)
 
 
 class Metrics(StreamingQueryListener):
-    """Rows, batches and rates of the queries of a session since it was added."""
+    """What the runs of a session's queries did, each run counted from nothing.
+
+    Of a run it keeps rows, batches, how long each batch took, the rate of the last
+    hundred batches, rows that watermarks dropped, and the last figures of every
+    ``Dataset.observe``.  ``wait`` returns once the run's end has been told, which
+    comes after all of its batches.
+    """
 
     def __init__(self):
-        self.rows, self.batches, self.rates, self.dropped = 0, 0, [], 0
+        self.runs: dict[str, dict] = {}
+        self.ended: dict[str, threading.Event] = {}
 
     def onQueryStarted(self, event) -> None:
-        pass
+        run = str(event.runId)
+        self.runs[run] = {"rows": 0, "batches": 0, "millis": [], "rates": [], "dropped": 0, "observed": {}}
+        self.ended.setdefault(run, threading.Event())
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows += p.numInputRows
-        self.batches += 1
-        self.rates = [*self.rates[-99:], p.processedRowsPerSecond]
-        self.dropped += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        run = self.runs[str(p.runId)]
+        run["rows"] += p.numInputRows
+        if p.numInputRows:
+            run["batches"] += 1
+            run["millis"].append(p.durationMs.get("triggerExecution", 0))
+            run["rates"] = [*run["rates"][-99:], p.processedRowsPerSecond]
+        run["dropped"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        for name, row in p.observedMetrics.items():
+            run["observed"].setdefault(name, []).append(row.asDict())
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60.0) -> dict:
+        """The figures of a run that has ended."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError("the end of the run was not told")
+        return self.runs[str(query.runId)]
+
+
+def nearest_rank(values: list[float], q: float) -> float:
+    """The smallest value that at least ``q`` percent of all do not exceed; 0 for none."""
+    return sorted(values)[math.ceil(q / 100 * len(values)) - 1] if values else 0.0
