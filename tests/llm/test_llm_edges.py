@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarden.llm import chat, decontaminate, embeddings, packing, pii, quality, queries, repeats, shared, simhash, toxicity, warc
+from tidewarden.llm import chat, decontaminate, embeddings, packing, pii, quality, queries, repeats, shared, shingles, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, fp long, hash string, rep int"
 LABELS = "doc_id long, quality int, toxic int"
@@ -339,6 +339,39 @@ def test_a_large_bucket_of_near_copies_is_one_group(spark):
     assert {r["component_id"] for r in groups.collect()} == {0}
 
 
+@pytest.mark.parametrize("pages", [300, 3000])
+def test_a_pair_among_pages_of_one_template_is_grouped(spark, pages):
+    """Pages share three quarters of their words; two of them differ from the template, and each other, by far less."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    template = [word() for _ in range(160)]
+    rows = [(k, " ".join([*template, *(word() for _ in range(60))])) for k in range(pages)]
+    rows += [(pages + k, " ".join([*template, *(word() for _ in range(13))])) for k in range(2)]
+    sets = [set(shingles.wide_hashes(*simhash.shingle_hashes(t)).tolist()) for _, t in rows[-3:]]
+    assert len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2]) and len(sets[0] & sets[1]) < 0.75 * len(sets[0] | sets[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = shared.cut(simhash.fingerprints(docs, with_bands=True))
+    merged = shingles.merged_roots(docs, prints.select("text_hash", "n", "bands", F.col("doc_id").alias("root")))
+    assert {(r["node"], r["component"]) for r in merged.collect()} == {(pages, pages), (pages + 1, pages)}
+
+
+def test_rare_shingles_bring_all_similar_texts_together(spark):
+    rng = random.Random(14)
+    sets = {}
+    for k in range(60):
+        base = set(range(100 * (k // 10), 100 * (k // 10) + 50))
+        sets[k] = {x for x in base if rng.random() > 0.08} | {1000 + 10 * k + j for j in range(rng.randint(0, 6))}
+    hot = spark.createDataFrame([(k, len(x), k) for k, x in sets.items()], "text_hash long, n long, root long")
+    held = spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "text_hash long, shingles array<long>")
+    rows = shingles.rare_shingles(hot, held, 0.8).collect()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(r["key"], set()).add(r["text_hash"])
+    met = {(a, b) for x in buckets.values() for a in x for b in x}
+    similar = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(similar) > 50 and similar <= met and len(rows) < 0.5 * sum(map(len, sets.values()))
+
+
 def char_model(words, weight=100):
     counts = {}
     for word in words:
@@ -406,12 +439,12 @@ def test_long_runs_are_read_to_their_end():
 
 def test_disguised_words_of_held_out_rows_are_found(spark):
     """Nine in ten of the toxic rows that are found as written are found with their words in disguise."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model, weights, base = toxicity.fit(docs, labels)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model, boundaries, weights, base = toxicity.fit(docs, labels)
     held = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").where(toxicity.in_fold()).collect()]
     stems = tuple(k.lstrip("=") for k in weights)
-    scorer, rng = toxicity.Scorer(model, weights, base), random.Random(1)
+    scorer, rng = toxicity.Scorer(model, boundaries, weights, base), random.Random(1)
     swap = {"i": "1", "o": "0", "a": "@", "e": "3", "s": "$"}
     ways = (
         lambda w: " ".join(w), lambda w: "_".join(w), lambda w: "".join(swap.get(c, c) for c in w), lambda w: "".join(c * 2 for c in w),
@@ -424,7 +457,7 @@ def test_disguised_words_of_held_out_rows_are_found(spark):
             words = [way(w.lower()) if w.lower().startswith(stems) else w for w in text.split()]
             hidden += 1
             found += next(scorer([" ".join(words)]))[0] >= toxicity.THRESHOLD
-    assert not hidden or found >= 0.9 * hidden
+    assert hidden >= 0.85 * len(held) > 50 and found >= 0.9 * hidden
 
 
 def test_memo_of_recent_keys_asks_again_only_for_old_ones():

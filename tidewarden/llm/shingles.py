@@ -3,8 +3,15 @@
 A text's set is sketched by 150 minima of hashes, in 30 bands of five.  Two texts
 of similarity 0.8 agree in no band with a probability of (1 - 0.8**5)**30, seven in
 a million.  Texts that share a band and are not in one group yet are compared by
-their whole sets.  A bucket of up to 16 texts is compared in all pairs; a larger one
-with two leaders, which change from round to round until a round links nothing.
+their whole sets, all of them where at most 16 texts of a bucket are outside its
+largest group.  In larger buckets two leaders, which change from round to round, first
+merge what is alike as a whole.  The texts of buckets that are still mixed then, such as
+pages of one template, meet anew by their rarest shingles: two sets of similarity s
+share one among the first n - s n + 1 of n shingles in the order of their frequency.
+Shingles that only one text has come first there and bring nobody together, so pages
+that have a fifth or more for themselves are no candidates, however many there are, and
+no link is lost.  Only buckets of one rare shingle that are themselves that large and
+mixed are left to leaders.
 """
 
 from __future__ import annotations
@@ -13,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, cut, release
 
 JACCARD = 0.8
 WIDTH, BANDS, ROWS = 5, 30, 5
-#: Texts of a bucket up to which all of its pairs are compared.
+#: Texts outside its largest group up to which a bucket is compared in full.
 ALL_PAIRS = 16
+#: Texts whose sets are handed over at once.
+TOGETHER = 500
 
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,20 +70,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            sets = [wide_hashes(*shingle_hashes(t.as_py())).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=arrow)
+            for at in range(0, len(batch), TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                sets = [wide_hashes(*shingle_hashes(t.as_py())).view(np.int64) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=arrow)
 
     text = F.col("text").cast("string")
     held = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi")
     return held.dropDuplicates(["text_hash"]).mapInArrow(run, "text_hash long, shingles array<long>")
 
 
-def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float) -> DataFrame:
+def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float, sets: DataFrame | None = None) -> DataFrame:
     """``(root_a, root_b)`` of the ``pairs`` of texts whose whole sets are similar."""
     near = F.least("n_a", "n_b") >= jaccard * F.greatest("n_a", "n_b") - 1e-9
     pairs = cut(pairs.where((F.col("root_a") != F.col("root_b")) & near).dropDuplicates(["a", "b"]))
-    wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
-    sets = cut(shingle_sets(docs, wanted))
+    if sets is None:
+        sets = cut(shingle_sets(docs, pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()))
     whole = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(both >= jaccard * (F.col("n_a") + F.col("n_b") - both) - 1e-9).select("root_a", "root_b").distinct()
@@ -91,11 +102,33 @@ def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(members: DataFrame, turn: int) -> DataFrame:
-    """``(key, size, leaders)`` of the buckets that hold more than one group."""
+MEMBER = ("key", "text_hash", "n", "root")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one group, with ``rest``, how many are outside the largest, and ``major``, that group."""
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy("key").agg((F.sum("c") - F.max("c")).alias("rest"), F.max(F.struct("c", "root"))["root"].alias("major"))
+    return members.select(*MEMBER).join(sizes.where("rest > 0"), "key")
+
+
+def _in_full(few: DataFrame) -> DataFrame:
+    """Pairs of each text outside its bucket's largest group with all that are in another group."""
+    return _sides(few.where("root != major").select(*MEMBER), few.select(*MEMBER))
+
+
+def _with_leaders(many: DataFrame, turn: int) -> DataFrame:
+    """Pairs of two texts of each bucket, others in each turn, with all of it."""
     by = F.struct(F.xxhash64("text_hash", F.lit(turn)), "text_hash", "n", "root")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(by).alias("first"), F.max(by).alias("last"))
-    return sizes.where("lo < hi").select("key", "size", F.array("first", "last").alias("leaders"))
+    chosen = many.groupBy("key").agg(F.array(F.min(by), F.max(by)).alias("leaders"))
+    leaders = chosen.select("key", F.explode("leaders").alias("x")).select("key", "x.text_hash", "x.n", "x.root")
+    return _sides(leaders, many.select(*MEMBER))
+
+
+def _moved(members: DataFrame, step: DataFrame) -> DataFrame:
+    """Members with the roots that ``step`` made of theirs."""
+    to = members.join(step, members["root"] == step["node"], "left")
+    return to.select("key", "text_hash", "n", F.coalesce("component", "root").alias("root"))
 
 
 def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -104,25 +137,50 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     ``texts`` has ``text_hash``, its ``n`` different shingles, ``bands`` and the
     ``root`` of the group that it is in.
     """
-    columns = ["key", "text_hash", "n", "root"]
-    members = texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")
-    buckets = cut(_mixed(members, 0))
-    members = cut(members.join(buckets.select("key", "size"), "key"))
-    few = members.where(F.col("size") <= ALL_PAIRS).select(*columns)
-    many = members.where(F.col("size") > ALL_PAIRS).select(*columns)
-    pairs, buckets, merged, turn = _sides(few, few), buckets.where(F.col("size") > ALL_PAIRS), None, 0
+    members = cut(_mixed(texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")))
+    merged, left = _merge(docs, members, None, jaccard, None)
+    hot = cut(left.select("text_hash", "n", "root").distinct())
+    if hot.isEmpty():
+        return merged
+    sets = cut(shingle_sets(docs, hot.select("text_hash")))
+    rare = cut(_mixed(rare_shingles(hot, sets, jaccard)))
+    return _merge(docs, rare, merged, jaccard, sets)[0]
+
+
+def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What buckets add to ``merged``: in full where few are outside the largest group, else by leaders until a turn links nothing.
+
+    Also the members, by their roots now, of the buckets that leaders have left mixed.
+    """
+    many = members.where(F.col("rest") > ALL_PAIRS)
+    pairs, turn = _in_full(members.where(F.col("rest") <= ALL_PAIRS)).union(_with_leaders(many, 0)), 0
     while True:
-        leaders = buckets.select("key", F.explode("leaders").alias("x")).select("key", "x.text_hash", "x.n", "x.root")
-        found = cut(similar_roots(docs, pairs.union(_sides(leaders, many)) if pairs else _sides(leaders, many), jaccard))
-        if merged is not None and found.isEmpty():
-            return merged
+        found = cut(similar_roots(docs, pairs, jaccard, sets))
+        if found.isEmpty() and merged is not None:
+            return merged, many
         step = cut(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
         merged = step if merged is None else cut(_carried(merged, step))
+        many = cut(_mixed(_moved(many, step)))
         if many.isEmpty():
-            return merged
-        moved = many.join(step, many["root"] == step["node"], "left").select("key", "text_hash", "n", F.coalesce("component", "root").alias("root"))
-        many, pairs, turn = cut(moved), None, turn + 1
-        buckets = cut(_mixed(many, turn))
+            return merged, many
+        turn += 1
+        pairs = _with_leaders(many, turn)
+
+
+def rare_shingles(hot: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """``(key, text_hash, n, root)``: each text under those of its rarest shingles that a similar text must have one of.
+
+    Of its n shingles, in the order of how many texts have them, these are the first
+    n - jaccard * n + 1; the ones that no other text has are among them but bring nobody
+    together, so they are only counted.
+    """
+    each = hot.join(sets, "text_hash").select("text_hash", "n", "root", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, "key")
+    own = Window.partitionBy("text_hash")
+    first = F.col("n") - F.ceil(jaccard * F.col("n") - 1e-9) + 1 - (F.col("n") - F.count("*").over(own))
+    ranked = shared.withColumns({"_rank": F.row_number().over(own.orderBy("often", "key")), "_first": first})
+    return ranked.where(F.col("_rank") <= F.col("_first")).select(*MEMBER)
 
 
 def _carried(merged: DataFrame, step: DataFrame) -> DataFrame:

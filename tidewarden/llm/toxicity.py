@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,10 +31,11 @@ STEMS = (4, 5, 6)
 #: A lexicon entry must be held by toxic texts of so many kins, and by a kin for each so
 #: large share of toxic texts more, and be right this often.
 MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
-MEMO = 400_000
-#: Latest tokens whose words a task that learns keeps, features that it counts before it hands them over,
+#: Log probabilities and shapes of pieces that a task remembers.
+MEMO = 100_000
+#: Latest tokens whose words a task keeps, features that it counts before it hands them over,
 #: and words that are counted before their trigrams are.
-RECENT = 100_000
+RECENT = 60_000
 #: A word counts that is on a path this close to the best one, as a difference of logarithms.
 MARGIN = 5.0
 #: Signs that are decoded at once and what windows share; characters of texts whose blanks are looked up at once.
@@ -45,6 +47,8 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "µ": "u",
 }
+# Letters of other scripts that look like those of ours.
+SHAPES = dict(zip("аеорсухіјѕԁһԛԝкмнтвгпиѵɡıȷοαρνικτυχεηωγ", "aeopcyxijsdhqwkmhtbrnuvgijoapviktuxenwy"))
 #: Letters that several signs in a row can stand for.
 DRAWN = {
     "|_|": "u", "(_)": "u", "/\\/\\": "m", "|\\/|": "m", "|v|": "m", "|\\|": "n", "/\\/": "n", "\\/\\/": "w", "\\/": "v", "/\\": "a",
@@ -64,7 +68,7 @@ INNER_EDGES = ".,;:?\"'()[]{}<>*#%&~`´-_=/\\…«»„“”‚‘’"
 REPEATED, TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 DRAWING = re.compile("|".join(map(re.escape, DRAWN)))
 MARKED = re.compile(f"[{re.escape(SEPARATORS)}]+")
-PARTS = re.compile(r"[^\W\d_]+")
+PARTS, FOREIGN = re.compile(r"[^\W\d_]+"), re.compile("[^\x00-ÿ]")
 
 
 def model_letter(letter: str) -> str:
@@ -271,6 +275,8 @@ class Boundaries:
     several readings, any that runs on counts; a chunk of one letter is tried with both
     sides, and several in a row are always read together.  So decoding the runs found
     here gives every word that is read across blanks, without decoding the rest.
+
+    The table is made once, where the model is, and goes to the tasks as bits.
     """
 
     def __init__(self, model: CharModel):
@@ -284,8 +290,15 @@ class Boundaries:
         self.start = np.array([model.logp("  ", a) for a in letters], np.float32)
         self.second = np.array([[model.logp(" " + a, b) for b in letters] for a in letters], np.float32)
         self.start_two = (self.start[:, None] + self.second).ravel()
-        run_on = self.follow.reshape(n, n, n, 1) + self.follow.reshape(1, n, n, n)  # tail letters, then head letters
-        self.joins = run_on.reshape(n * n, n * n) + np.float32(DROP) > self.ends[:, None] + self.start_two
+        self.joins = np.stack([self._joined_by(t) for t in range(n * n)])
+
+    def _joined_by(self, tail: int) -> np.ndarray:
+        """Bits of the heads that are read on with after a tail, the highest bit first."""
+        run_on = self.follow[tail][:, None] + self.follow[tail % self.n * self.n : tail % self.n * self.n + self.n]
+        return np.packbits(run_on.ravel() + np.float32(DROP) > self.ends[tail] + self.start_two)
+
+    def joined(self, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+        return (self.joins[tail, head >> 3] >> (7 - (head & 7)) & 1).astype(bool)
 
     def shape(self, chunk: str) -> int:
         """Kind, tails and heads of a chunk in one number; -1 if it holds no letter."""
@@ -344,10 +357,10 @@ class Boundaries:
         tail, tail2, head, head2 = ((made >> k & mask).astype(np.int32) for k in (2, 14, 26, 38))
         t, u, h, i = tail[:-1], tail2[:-1], head[1:], head2[1:]
         many, one, wild, several = (kind == k for k in (MANY, ONE, WILD, SEVERAL))
-        linked = self.joins[t, h]
+        linked = self.joined(t, h)
         for a, b in ((u, h), (t, i), (u, i)):
             differ = np.flatnonzero(((a is u) & (u != t)) | ((b is i) & (i != h)))
-            linked[differ] |= self.joins[a[differ], b[differ]]
+            linked[differ] |= self.joined(a[differ], b[differ])
         linked &= many[:-1] & many[1:]
         linked |= one[:-1] & one[1:]
         at = 1 + np.flatnonzero(one[1:-1] & many[:-2] & many[2:])
@@ -366,7 +379,7 @@ class Boundaries:
                     one_side, other = self.many.get(chunks[place[a]]), self.many.get(chunks[place[b]])
                     tails = one_side[0] if one_side else [tail[a], tail2[a]]
                     heads = other[1] if other else [head[b], head2[b]]
-                    linked[a] |= self.joins[np.ix_(tails, heads)].any()
+                    linked[a] |= any(self.joined(np.int64(x), np.int64(y)) for x in tails for y in heads)
         linked &= text_of[:-1] == text_of[1:]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], linked.view(np.int8), [0]))))
         for a, b in edges.reshape(-1, 2).tolist():
@@ -390,10 +403,19 @@ def unmarked(text: str) -> str:
     return text
 
 
+def folded(text: str) -> str:
+    """A text with letters of other scripts and widths as the ones that they look like."""
+    return "".join(SHAPES.get(c) or unicodedata.normalize("NFKC", c).lower() if c > "ÿ" else c for c in text)
+
+
 def text_tokens(texts: list[str], boundaries: Boundaries) -> list[set[str]]:
-    """Different tokens of each text, and the runs of pieces that are read across blanks."""
+    """Different tokens of each text, and the runs of pieces that are read across blanks.
+
+    Tokens with letters beyond our own alphabet count as they are and as what they look like.
+    """
     low = [unmarked(t.lower()) for t in texts]
-    return [{*t.split(), *runs} for t, runs in zip(low, boundaries.runs(low))]
+    plain = [folded(t) if FOREIGN.search(t) else t for t in low]
+    return [{*t.split(), *runs} if t is p else {*t.split(), *p.split(), *runs} for t, p, runs in zip(low, plain, boundaries.runs(plain))]
 
 
 def in_groups(texts: list[str]) -> Iterator[list[str]]:
@@ -427,7 +449,7 @@ def kin(features: set[str]) -> int:
     return min((zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in features), default=0)
 
 
-def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
+def learn_lexicon(sample: DataFrame, model: CharModel, boundaries: Boundaries | None = None) -> tuple[dict[str, float], float]:
     """Log odds of a document with each lexicon entry, and of one without any.
 
     An entry must be held by toxic texts of many different kins, so that the other words
@@ -448,7 +470,6 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         clean: Counter = Counter()
-        boundaries = Boundaries(model)
         toxic: dict[str, tuple[set[int], list[int]]] = {}
         known = Recent(lambda token: tuple(word_features(token_words(token, model))))
         for batch in batches:
@@ -469,6 +490,7 @@ def learn_lexicon(sample: DataFrame, model: CharModel) -> tuple[dict[str, float]
                     clean, toxic = Counter(), {}
         yield counted(clean, toxic)
 
+    boundaries = boundaries or Boundaries(model)
     texts = cut(sample.groupBy("text").agg(F.max("label").alias("label")).withColumn("number", F.monotonically_increasing_id()))
     totals = dict(texts.groupBy("label").count().collect())
     features = texts.select("number", "text", "label").mapInArrow(run, schema).groupBy("feature").agg(
@@ -503,8 +525,8 @@ class Recent(dict):
 class Scorer:
     """Scores texts with a lexicon; remembers what it found in tokens."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], base: float):
-        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries, MEMO // 2), Boundaries(model)
+    def __init__(self, model: CharModel, boundaries: Boundaries, weights: dict[str, float], base: float):
+        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries), boundaries
 
     def entries(self, token: str) -> tuple[str, ...]:
         return tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
@@ -519,7 +541,10 @@ class Scorer:
                 yield 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
 
 
-def score(docs: DataFrame, fitted: tuple[CharModel, dict[str, float], float]) -> DataFrame:
+Fitted = tuple[CharModel, Boundaries, dict[str, float], float]
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """``(doc_id, score, n_hits)`` for each row of ``docs``; null texts count as empty."""
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64())])
 
@@ -547,11 +572,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return docs.mapInArrow(run, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[CharModel, dict[str, float], float]:
-    """The character model of all ``docs`` and the lexicon of a bounded labelled sample."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Fitted:
+    """The character model of all ``docs`` with its table of blanks, and the lexicon of a bounded labelled sample."""
     model = CharModel({r["gram"]: r["n"] for r in trigram_counts(docs).collect()})  # letters cubed at most
-    weights, base = learn_lexicon(training_rows(docs, labels, "toxic", sample_rows), model)
-    return model, weights, base
+    boundaries = Boundaries(model)
+    return model, boundaries, *learn_lexicon(training_rows(docs, labels, "toxic", sample_rows), model, boundaries)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
