@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: Pieces that one packing task holds.
 TASK_PIECES = 65_536
 #: Words whose ids a worker keeps; beyond it a memo starts anew.
-WORDS = 600_000
+WORDS = 250_000
 #: Texts that are split and looked up together.
 GROUP = 1000
 #: A chunk that is one word of Latin letters with marks after it, as Arrow takes it.

@@ -29,8 +29,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)
 #: A lexicon entry must be held by toxic texts of so many kins, and by a kin for each so
-#: large share of toxic texts more, and be right this often.
-MIN_KIN, KIN_SHARE, PRECISION = 4, 0.004, 0.95
+#: large share of toxic texts more, and be right this often, one clean text not counted.
+MIN_KIN, KIN_SHARE, PRECISION, FORGIVEN = 4, 0.004, 0.95, 1
 #: Log probabilities and shapes of pieces that a task remembers.
 MEMO = 100_000
 #: Latest tokens whose words a task keeps, features that it counts before it hands them over,
@@ -497,7 +497,7 @@ def learn_lexicon(sample: DataFrame, model: CharModel, boundaries: Boundaries |
         F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("kins")))).alias("kins"), F.flatten(F.collect_list("toxic")).alias("toxic")
     )
     n, n1, n0 = F.size("toxic"), totals.get(1, 0), totals.get(0, 0)
-    strong = features.where((F.col("kins") >= MIN_KIN + KIN_SHARE * n1) & (n >= PRECISION * (n + F.col("clean")))).collect()  # of a bounded sample
+    strong = features.where((F.col("kins") >= MIN_KIN + KIN_SHARE * n1) & (n >= PRECISION * (n + F.greatest(F.col("clean") - FORGIVEN, F.lit(0))))).collect()  # of a bounded sample
     weights: dict[str, float] = {}
     for r in sorted(strong, key=lambda r: (len(r["feature"].lstrip("=")), r["feature"])):
         word = r["feature"].lstrip("=")
