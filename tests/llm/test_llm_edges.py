@@ -351,10 +351,19 @@ def test_a_pair_among_pages_of_one_template_is_grouped(spark, pages):
     assert len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2]) and len(sets[0] & sets[1]) < 0.75 * len(sets[0] | sets[1])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     prints = shared.cut(simhash.fingerprints(docs, with_bands=True))
-    merged = shingles.merged_roots(docs, prints.select("text_hash", "n", "bands", F.col("doc_id").alias("root")))
+    merged = shingles.merged_roots(docs, prints.select("text_hash", "n", "bands", "parity", F.col("doc_id").alias("root")))
     assert {(r["node"], r["component"]) for r in merged.collect()} == {(pages, pages), (pages + 1, pages)}
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(15)
+    for _ in range(200):
+        both, one, two = (rng.integers(0, 1 << 63, n, np.uint64) for n in rng.integers(0, 300, 3))
+        a, b = np.concatenate([both, one]), np.concatenate([both, two])
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(shingles.parities(a), shingles.parities(b)))
+        assert bits <= len(one) + len(two)
+
+
 def test_rare_shingles_bring_all_similar_texts_together(spark):
     rng = random.Random(14)
     sets = {}

@@ -57,6 +57,7 @@ FORMS = {
 }
 AT_HOST = re.compile(rf"(?:@|[(\[{{<]\s?(?:at|@)\s?[)\]}}>]|\bat\s)\s?{_HOST}", re.IGNORECASE)
 NUMBER = re.compile(r"[0-9](?:(?:[\W_]|dot)*[0-9])+", re.IGNORECASE)
+PART = re.compile(r"[\w.%+-]")
 GROUPS = re.compile(r"[0-9]+")
 
 
@@ -399,8 +400,16 @@ def plausible(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15 and len(GROUPS.findall(text)) >= 3
 
 
-def added_spans(text: str, at: int, tags: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Plausible spans of a decoded stretch that touch no span taken before.
+def marked(text: str, spans: list[Span]) -> bytearray:
+    """Which characters of a text spans hold."""
+    mask = bytearray(len(text))
+    for _, a, b in spans:
+        mask[a:b] = b"\1" * (b - a)
+    return mask
+
+
+def added_spans(text: str, at: int, tags: np.ndarray, taken: bytearray) -> list[Span]:
+    """Plausible spans of a decoded stretch that touch no character taken before; theirs are taken then.
 
     A decoded span takes the edges of a text of its kind's form: for numbers those of the
     groups of digits that it touches, else those of a form that it covers half of or that
@@ -414,19 +423,29 @@ def added_spans(text: str, at: int, tags: np.ndarray, taken: list[Span]) -> list
         kind, a, b = KINDS[(int(tags[s]) - 1) // 2], at + s, at + end
         for x, y in written(kind, text, a, b):
             both = min(b, y) - max(a, x)
-            if both > 0 and 2 * both >= min(b - a, y - x) and plausible(kind, text[x:y]) and all(y <= p or x >= q for _, p, q in [*taken, *out]):
+            if both > 0 and 2 * both >= min(b - a, y - x) and plausible(kind, text[x:y]) and taken.find(1, x, y) < 0:
                 out.append((kind, x, y))
+                taken[x:y] = b"\1" * (y - x)
                 break
     return out
 
 
+def unbroken(text: str, a: int, b: int) -> tuple[int, int]:
+    """Edges moved out to where no word or number goes over them."""
+    while a > 0 and PART.match(text[a - 1]):
+        a -= 1
+    while b < len(text) and PART.match(text[b]):
+        b += 1
+    return a, b
+
+
 def written(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     """Edges of the forms of a kind at a decoded span."""
     if kind in ("email", "ip"):
-        for m in FORMS[kind].finditer(text, max(0, a - MARGIN), b + MARGIN):
+        for m in FORMS[kind].finditer(text, *unbroken(text, max(0, a - MARGIN), b + MARGIN)):
             yield m.span()
         return
-    groups = [m.span() for m in GROUPS.finditer(text, max(0, a - MARGIN), b + MARGIN)]
+    groups = [m.span() for m in GROUPS.finditer(text, *unbroken(text, max(0, a - MARGIN), b + MARGIN))]
     groups = [(x, y) for x, y in groups if min(b, y) - max(a, x) > 0]
     if groups:
         x, y = groups[0][0], groups[-1][1]
@@ -445,11 +464,11 @@ def find_all(texts: list[str], w: Weights, whole: bool = False) -> Iterator[tupl
         wanted = {k for k, _, _ in parts}
         coded = [classes(t) if k in wanted else None for k, t in enumerate(held)]
         found: dict[int, list[Span]] = {}
+        taken = {k: marked(held[k], base[k]) for k in wanted}
         for lo in range(0, len(parts), 256):
             some = parts[lo : lo + 256]
             for (k, a, _), scores in zip(some, joined_scores(coded, some, w)):
-                spans = found.setdefault(k, [])
-                spans.extend(added_spans(held[k], a, viterbi(scores, trans), base[k] + spans))
+                found.setdefault(k, []).extend(added_spans(held[k], a, viterbi(scores, trans), taken[k]))
         for k, spans in enumerate(base):
             yield spans, sorted(spans + found.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -50,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a table and read it back.
+
+    As ``cut``, but nothing of the plan stays, which a loop needs: what the optimizer
+    knows of a checkpoint's columns would grow with each turn.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _KEPT: dict[tuple, object] = {}
 
 

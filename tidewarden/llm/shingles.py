@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, release
+from .shared import connected_components, release, stored
 
 JACCARD = 0.8
 WIDTH, BANDS, ROWS = 5, 30, 5
@@ -61,6 +61,20 @@ def band_keys(wide: np.ndarray) -> list[int]:
     return (keys.sum(axis=1, dtype=np.uint64) + OFFSETS).view(np.int64).tolist()
 
 
+#: Bits of a set's parities.
+PARITY = 512
+
+
+def parities(wide: np.ndarray) -> list[int]:
+    """For each of ``PARITY`` classes of hashes whether the set has an odd number of them, as longs.
+
+    Sets that differ in d members differ in d of these bits at most, so many different
+    bits rule a pair out without its sets.
+    """
+    odd = np.bincount((wide % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(text_hash, shingles)``: the whole sets of the texts in ``wanted``."""
     from .simhash import shingle_hashes
@@ -80,12 +94,18 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.dropDuplicates(["text_hash"]).mapInArrow(run, "text_hash long, shingles array<long>")
 
 
-def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float, sets: DataFrame | None = None) -> DataFrame:
-    """``(root_a, root_b)`` of the ``pairs`` of texts whose whole sets are similar."""
+def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float, parity: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """``(root_a, root_b)`` of the ``pairs`` of texts whose whole sets are similar.
+
+    Sets are read and compared only where sizes and ``parity`` leave that open.
+    """
     near = F.least("n_a", "n_b") >= jaccard * F.greatest("n_a", "n_b") - 1e-9
-    pairs = cut(pairs.where((F.col("root_a") != F.col("root_b")) & near).dropDuplicates(["a", "b"]))
+    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & near).dropDuplicates(["a", "b"])
+    told = pairs.join(parity.toDF("a", "odd_a"), "a").join(parity.toDF("b", "odd_b"), "b")
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = stored(told.where(differ <= (1 - jaccard) / (1 + jaccard) * (F.col("n_a") + F.col("n_b")) + 1e-9).drop("odd_a", "odd_b"))
     if sets is None:
-        sets = cut(shingle_sets(docs, pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()))
+        sets = stored(shingle_sets(docs, pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()))
     whole = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(both >= jaccard * (F.col("n_a") + F.col("n_b") - both) - 1e-9).select("root_a", "root_b").distinct()
@@ -134,20 +154,21 @@ def _moved(members: DataFrame, step: DataFrame) -> DataFrame:
 def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``(node, component)`` of the roots that similar texts connect.
 
-    ``texts`` has ``text_hash``, its ``n`` different shingles, ``bands`` and the
-    ``root`` of the group that it is in.
+    ``texts`` has ``text_hash``, its ``n`` different shingles, ``bands``, ``parity`` and
+    the ``root`` of the group that it is in.
     """
-    members = cut(_mixed(texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")))
-    merged, left = _merge(docs, members, None, jaccard, None)
-    hot = cut(left.select("text_hash", "n", "root").distinct())
+    parity = texts.select("text_hash", "parity")
+    members = stored(_mixed(texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")))
+    merged, left = _merge(docs, members, None, jaccard, parity, None)
+    hot = stored(left.select("text_hash", "n", "root").distinct())
     if hot.isEmpty():
         return merged
-    sets = cut(shingle_sets(docs, hot.select("text_hash")))
-    rare = cut(_mixed(rare_shingles(hot, sets, jaccard)))
-    return _merge(docs, rare, merged, jaccard, sets)[0]
+    sets = stored(shingle_sets(docs, hot.select("text_hash")))
+    rare = stored(_mixed(rare_shingles(hot, sets, jaccard)))
+    return _merge(docs, rare, merged, jaccard, parity, sets)[0]
 
 
-def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, parity: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """What buckets add to ``merged``: in full where few are outside the largest group, else by leaders until a turn links nothing.
 
     Also the members, by their roots now, of the buckets that leaders have left mixed.
@@ -155,12 +176,12 @@ def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccar
     many = members.where(F.col("rest") > ALL_PAIRS)
     pairs, turn = _in_full(members.where(F.col("rest") <= ALL_PAIRS)).union(_with_leaders(many, 0)), 0
     while True:
-        found = cut(similar_roots(docs, pairs, jaccard, sets))
+        found = stored(similar_roots(docs, pairs, jaccard, parity, sets))
         if found.isEmpty() and merged is not None:
             return merged, many
-        step = cut(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
-        merged = step if merged is None else cut(_carried(merged, step))
-        many = cut(_mixed(_moved(many, step)))
+        step = stored(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
+        merged = step if merged is None else stored(_carried(merged, step))
+        many = stored(_mixed(_moved(many, step)))
         if many.isEmpty():
             return merged, many
         turn += 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .shared import connected_components, cut, release
+from .shared import connected_components, cut, release, stored
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -74,16 +74,16 @@ def fingerprint_of(text: str | None) -> int:
 def fingerprints(docs: DataFrame, with_bands: bool = False) -> DataFrame:
     """``(doc_id, text_hash, fp)`` for each row of ``docs``, ``fp`` the fingerprint as a signed long.
 
-    ``with_bands`` adds ``n``, the number of different five-word shingles, and ``bands``.
+    ``with_bands`` adds ``n``, the number of different five-word shingles, ``bands`` and ``parity``.
     """
-    schema = "doc_id long, text_hash long, fp long" + ", n long, bands array<long>" * with_bands
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    arrow = pa.schema(list(zip(("doc_id", "text_hash", "fp", "n", "bands"), kinds))[: 3 + 2 * with_bands])
+    schema = "doc_id long, text_hash long, fp long" + ", n long, bands array<long>, parity array<long>" * with_bands
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    arrow = pa.schema(list(zip(("doc_id", "text_hash", "fp", "n", "bands", "parity"), kinds))[: 3 + 3 * with_bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            prints, sizes, bands = [], [], []
+            prints, sizes, bands, odd = [], [], [], []
             for text in batch.column(2):
                 hashes, words = shingle_hashes(text.as_py())
                 prints.append(majority(hashes))
@@ -91,9 +91,10 @@ def fingerprints(docs: DataFrame, with_bands: bool = False) -> DataFrame:
                     wide = shingles.wide_hashes(hashes, words)
                     sizes.append(len(wide))
                     bands.append(shingles.band_keys(wide))
+                    odd.append(shingles.parities(wide))
             made = [pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())]
             if with_bands:
-                made += [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                made += [pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, odd))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=arrow)
 
     text = F.col("text").cast("string")
@@ -204,8 +205,9 @@ def _members(docs: DataFrame, jaccard: float | None) -> DataFrame:
     )
     rooted = cut(rooted)
     if jaccard is not None:
-        texts = prints.where("n > 0").select("text_hash", "fp", "n", "bands").dropDuplicates(["text_hash"])
-        merged = shingles.merged_roots(docs, texts.join(rooted, "fp").select("text_hash", "n", "bands", "root"), jaccard)
+        texts = prints.where("n > 0").select("text_hash", "fp", "n", "bands", "parity").dropDuplicates(["text_hash"])
+        texts = stored(texts.join(rooted, "fp").select("text_hash", "n", "bands", "parity", "root"))
+        merged = shingles.merged_roots(docs, texts, jaccard)
         rooted = rooted.join(merged, rooted["root"] == merged["node"], "left").select(
             "fp", "first_id", F.coalesce("component", "root").alias("root")
         )
