@@ -87,19 +87,24 @@ def detect_ddos(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return _detections(rows, "DDOS", confidence, text, "ddos")
 
 
-def beacon_stats(flows: DataFrame, with_acf: bool = True) -> DataFrame:
-    """Regularity of the gaps of each pair of source and target, with its last flow."""
+def beacon_stats(flows: DataFrame, with_acf: bool = True, only: Column | None = None) -> DataFrame:
+    """Regularity of the gaps of each pair of source and target, with its last flow.
+
+    ``only`` says of which pairs, by their other figures, the autocorrelation is wanted.
+    """
     keys = ["src_ip", "dst_ip"]
     stats = inter_arrival_stats(flows, keys).join(flows.groupBy(*keys).agg(*_last_flow(keys)), keys)
     if not with_acf:
         return stats.withColumn("acf_peak", F.lit(0.0))
-    peaks = autocorrelation(flows, keys).select(*keys, "acf_peak")
+    wanted = flows if only is None else flows.join(stats.where(only).select(*keys), keys, "left_semi")
+    peaks = autocorrelation(wanted, keys).select(*keys, "acf_peak")
     return stats.join(peaks, keys, "left").withColumn("acf_peak", F.coalesce("acf_peak", F.lit(0.0)))
 
 
 def detect_beacon(flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Pairs that talk at nearly regular intervals; a periodic autocorrelation confirms."""
-    rows = _unpack(beacon_stats(flows)).where((F.col("flows") >= params.beacon_min_flows) & (F.col("cv") <= params.beacon_cv))
+    regular = (F.col("flows") >= params.beacon_min_flows) & (F.col("cv") <= params.beacon_cv)
+    rows = _unpack(beacon_stats(flows, only=regular & (F.col("flows") >= params.beacon_acf_min_times))).where(regular)
     periodic = (F.col("acf_peak") > params.beacon_acf) & (F.col("flows") >= params.beacon_acf_min_times)
     base = clip01(F.lit(1.0) - F.col("cv") / params.beacon_cv)
     confidence = F.when(periodic, F.least(F.lit(1.0), base + 0.15)).otherwise(base)

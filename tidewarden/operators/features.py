@@ -60,9 +60,24 @@ def inter_arrival(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("t
     return rows.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
 
 
+def numbered_gaps(rows: DataFrame, keys: list[str], stretch_s: float = 3600.0) -> DataFrame:
+    """Rows with ``gap`` to the one before of their keys, null for the first, and ``place``, how many gaps come before it.
+
+    Rows are sorted within stretches of time; of a key's whole history only one row per
+    stretch meets in one task, so a busy key is spread over time.  Null is a key as any other.
+    """
+    timed = rows.withColumns({"_key": F.struct(*keys), "_s": F.floor(F.col("ts") / stretch_s)})
+    whole = Window.partitionBy("_key").orderBy("_s")
+    ends = timed.groupBy("_key", "_s").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"))
+    ends = ends.select("_key", "_s", F.lag("_last").over(whole).alias("_before"), F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("_key", "_s").orderBy("ts", "event_id")
+    placed = timed.withColumns({"_lag": F.lag("ts").over(inside), "_row": F.row_number().over(inside)}).join(ends, ["_key", "_s"])
+    return placed.withColumns({"gap": F.col("ts") - F.coalesce("_lag", "_before"), "place": F.col("_from") + F.col("_row") - 2}).drop("_key", "_s", "_lag", "_row", "_before", "_from")
+
+
 def inter_arrival_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, flows, mean_gap, std_gap, cv``: no gaps give 0, a mean near 0 gives infinity."""
-    gaps = inter_arrival(rows, keys)
+    gaps = numbered_gaps(rows, keys)
     stats = gaps.groupBy(*keys).agg(
         F.count("*").alias("flows"), F.count("gap").alias("_n"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"),
         F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("std_gap"),
@@ -140,9 +155,8 @@ def autocorrelation(rows: DataFrame, keys: list[str], longest: int = 4096) -> Da
     computed as an array; of a longer one the mean and norm are aggregated and the
     products of blocks and shifted blocks are added up per lag, over the whole series.
     """
-    gaps = inter_arrival(rows, keys).where("gap is not null")
-    numbered = gaps.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")) - 1) / longest))
-    blocks = numbered.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gap"))), lambda g: g["gap"]).alias("_x"))
+    numbered = numbered_gaps(rows, keys).where("gap is not null").withColumn("block", F.floor(F.col("place") / longest))
+    blocks = numbered.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gap"))), lambda g: g["gap"]).alias("_x"))
     add = lambda a, x: a + x
     totals = blocks.groupBy(*keys).agg(F.sum(F.size("_x")).alias("n"), F.sum(F.aggregate("_x", F.lit(0.0), add)).alias("_sum"))
     # Null is a key as any other, so keys are joined as one value that is never null.
@@ -168,21 +182,6 @@ def autocorrelation(rows: DataFrame, keys: list[str], longest: int = 4096) -> Da
     return short.unionByName(long).select(*[F.col("_key")[k].alias(k) for k in keys], "acf", "acf_peak", "acf_lag")
 
 
-def numbered_gaps(rows: DataFrame, keys: list[str], stretch_s: float = 3600.0) -> DataFrame:
-    """Rows with ``gap`` to the one before of their keys, null for the first, and ``place``, how many gaps come before it.
-
-    Rows are sorted within stretches of time; of a key's whole history only one row per
-    stretch meets in one task, so a busy key is spread over time.  Null is a key as any other.
-    """
-    timed = rows.withColumns({"_key": F.struct(*keys), "_s": F.floor(F.col("ts") / stretch_s)})
-    whole = Window.partitionBy("_key").orderBy("_s")
-    ends = timed.groupBy("_key", "_s").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"))
-    ends = ends.select("_key", "_s", F.lag("_last").over(whole).alias("_before"), F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy("_key", "_s").orderBy("ts", "event_id")
-    placed = timed.withColumns({"_lag": F.lag("ts").over(inside), "_row": F.row_number().over(inside)}).join(ends, ["_key", "_s"])
-    return placed.withColumns({"gap": F.col("ts") - F.coalesce("_lag", "_before"), "place": F.col("_from") + F.col("_row") - 2}).drop("_key", "_s", "_lag", "_row", "_before", "_from")
-
-
 SPECTRUM = "_text string, n long, k long, re double, im double"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +122,38 @@ def tls_features(flows: DataFrame) -> DataFrame:
     return flows.withColumns({k: F.col(v).cast("double") for k, v in names.items()} | {"tls_event_count": F.col("ja3").isNotNull().cast("double")})
 
 
+TREES = "part int, tree int, weight double, node int, feature int, threshold double, left int, right int, value double"
+
+
+def exported_trees(model: Calibrated, path: str) -> DataFrame:
+    """The trees of every fold's model as rows, from which SQL can compute what the model does.
+
+    A row is a node: ``feature`` -1 marks a leaf, ``value`` is what a leaf adds to the
+    margin, already times the tree's weight in a forest.  Values up to ``threshold`` go
+    left.  Models are saved below ``path`` and their tables read back.
+    """
+    spark = SparkSession.getActiveSession()
+    out = None
+    for k, (part, _, _) in enumerate(model.parts):
+        part.write().overwrite().save(f"{path}/part-{k}")
+        weights = spark.read.parquet(f"{path}/part-{k}/treesMetadata").select("treeID", F.col("weights").alias("weight"))
+        n = spark.read.parquet(f"{path}/part-{k}/data").select("treeID", "nodeData.*").join(weights, "treeID")
+        stats = F.col("impurityStats")
+        # A forest's margin adds the share of positives of its leaves; boosting adds twice the weighted predictions.
+        value = F.col("prediction") * F.col("weight") * 2 if isinstance(part, GBTClassificationModel) else stats[1] / F.greatest(stats[0] + stats[1], F.lit(1e-300)) * F.col("weight")
+        rows = n.select(
+            F.lit(k).alias("part"), F.col("treeID").alias("tree"), "weight", F.col("id").alias("node"), F.when(F.col("leftChild") >= 0, F.col("split.featureIndex")).otherwise(-1).alias("feature"),
+            F.when(F.col("leftChild") >= 0, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), value.alias("value"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def exported_calibration(model: Calibrated) -> DataFrame:
+    """``(part, slope, offset)`` of each fold's sigmoid."""
+    return SparkSession.getActiveSession().createDataFrame([(k, s, o) for k, (_, s, o) in enumerate(model.parts)], "part int, slope double, offset double")
+
+
 # -- isolation forest ------------------------------------------------------------------
 
 
@@ -129,50 +162,61 @@ def path_length(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n <= 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
+NODES = "tree int, node int, feature int, threshold double, length double"
+
+
+def hashed_share(*parts: object) -> float:
+    """A number from 0 to 1 that follows from a text, the same in any engine with MD5."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2.0**32
+
 
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes of one tree, numbered as in a heap from 1; feature -1 marks a leaf, whose length adds what lies below it.
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes of one tree: feature -1 marks a leaf, whose length adds what lies below it."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+    The feature, of those that differ in the node's rows, and the place of the cut between
+    its least and largest value are hashes of seed, tree and node.
+    """
+    nodes, todo = [], [(np.arange(len(x)), 1, 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        at = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 + side] = at
-        spread = x[rows].max(axis=0) > x[rows].min(axis=0) if len(rows) else np.array([])
-        if depth >= limit or len(rows) <= 1 or not spread.any():
-            nodes.append([at, -1, 0.0, -1, -1, depth + path_length(len(rows))])
+        rows, node, depth = todo.pop()
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        differ = np.flatnonzero(high > low)
+        if depth >= limit or len(rows) <= 1 or not len(differ):
+            nodes.append((node, -1, 0.0, depth + path_length(len(rows))))
             continue
-        f = int(rng.choice(np.flatnonzero(spread)))
-        low, high = x[rows, f].min(), x[rows, f].max()
-        cut = float(rng.uniform(low, high))
-        nodes.append([at, f, cut, -1, -1, 0.0])
+        f = int(differ[int(hashed_share(seed, tree, node, "feature") * len(differ))])
+        cut = float(low[f] + hashed_share(seed, tree, node, "cut") * (high[f] - low[f]))
+        nodes.append((node, f, cut, 0.0))
         under = x[rows, f] <= cut
-        todo += [(rows[under], depth + 1, at, 0), (rows[~under], depth + 1, at, 1)]
-    return [tuple(n) for n in nodes]
+        todo += [(rows[under], 2 * node, depth + 1), (rows[~under], 2 * node + 1, depth + 1)]
+    return nodes
+
+
+def sample_share(n: Column, sample: int) -> Column:
+    """The part of all hashes below which a row is a candidate for a tree's sample, about a third more than needed."""
+    return F.least(F.lit(1.0), F.lit(1.3 * sample) / F.greatest(n, F.lit(1)))
 
 
 def fit_isolation_forest(rows: DataFrame, key: str, trees: int = 200, sample: int = 256, seed: int = 7) -> DataFrame:
     """The nodes of ``trees`` isolation trees, each grown from about ``sample`` rows, at most that many.
 
-    Rows, with ``features_array``, are dealt to trees by the hash of key and tree, so
-    a tree's sample does not depend on how rows are partitioned.
+    Rows, with ``features_array``, are dealt to trees by the hash of tree and key, which
+    is unique, so neither samples nor trees depend on how rows are partitioned.  A task
+    holds one tree's sample.
     """
-    n = rows.count()
-    share = min(1.0, 1.3 * sample / max(1, n))
-    numbers = F.explode(F.array(*[F.lit(t) for t in range(trees)])) if trees <= 64 else F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    dealt = rows.select(F.col(key).cast("string").alias("k"), "features_array", numbers.alias("tree"))
-    dealt = dealt.withColumn("h", F.pmod(F.xxhash64("k", "tree", F.lit(seed)), F.lit(1 << 30))).where(F.col("h") < int(share * (1 << 30)))
+    total = rows.agg(sample_share(F.count("*"), sample).alias("share"))  # one row
+    dealt = rows.select(F.col(key).cast("string").alias("k"), "features_array", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), "k").cast("binary"))
+    hashed = dealt.withColumn("h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32)
+    chosen = hashed.join(F.broadcast(total), F.col("h") < F.col("share")).drop("share")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf.sort_values(["h", "k"]).head(sample)
-        tree = int(chosen["tree"].iloc[0])
-        nodes = _grow(np.stack(chosen["features_array"].to_numpy()), np.random.default_rng([seed, tree]), math.ceil(math.log2(max(2, sample))))
+        own = pdf.sort_values(["h", "k"]).head(sample)
+        tree = int(own["tree"].iloc[0])
+        nodes = _grow(np.stack(own["features_array"].to_numpy()), seed, tree, math.ceil(math.log2(max(2, sample))))
         return pd.DataFrame([(tree, *n) for n in nodes], columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return dealt.groupBy("tree").applyInPandas(grow, NODES)
+    return chosen.groupBy("tree").applyInPandas(grow, NODES)
 
 
 def isolation_scores(rows: DataFrame, forest: DataFrame, sample: int = 256) -> DataFrame:
@@ -181,9 +225,12 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, sample: int = 256) -> D
     The forest is a few hundred trees of at most twice ``sample`` nodes, whatever the
     size of ``rows``, and goes to every task.
     """
-    nodes = forest.toPandas()
-    grouped = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    trees = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")) for g in grouped]
+    nodes, depth = forest.toPandas(), math.ceil(math.log2(max(2, sample)))
+    trees = []
+    for _, g in nodes.groupby("tree"):
+        feature, threshold, length = np.full(2 << depth, -1), np.zeros(2 << depth), np.zeros(2 << depth)
+        feature[g["node"]], threshold[g["node"]], length[g["node"]] = g["feature"], g["threshold"], g["length"]
+        trees.append((feature, threshold, length))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", anomaly double"
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,14 +239,12 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, sample: int = 256) -> D
                 yield f.assign(anomaly=np.empty(0))
                 continue
             x = np.stack(f["features_array"].to_numpy())
-            total = np.zeros(len(x))
-            for feature, threshold, left, right, length in trees:
-                at = np.zeros(len(x), np.int64)
-                while (inner := feature[at] >= 0).any():
-                    rows_in = np.flatnonzero(inner)
-                    node = at[rows_in]
-                    under = x[rows_in, feature[node]] <= threshold[node]
-                    at[rows_in] = np.where(under, left[node], right[node])
+            every, total = np.arange(len(x)), np.zeros(len(x))
+            for feature, threshold, length in trees:
+                at = np.ones(len(x), np.int64)
+                for _ in range(depth):
+                    own = feature[at]
+                    at = np.where(own < 0, at, 2 * at + (x[every, own] > threshold[at]))
                 total += length[at]
             mean = total / max(1, len(trees))
             yield f.assign(anomaly=np.clip(2 * 2 ** (-mean / path_length(sample)) - 1, 0, 1))
@@ -246,9 +291,7 @@ def save_model(model: Calibrated, path: str, metrics: DataFrame | None = None) -
     """Write the models of the folds, their calibration and, as one table, metrics."""
     for k, (part, _, _) in enumerate(model.parts):
         PipelineModel([part]).write().overwrite().save(f"{path}/part-{k}")
-    spark = SparkSession.getActiveSession()
-    table = spark.createDataFrame([(k, s, o) for k, (_, s, o) in enumerate(model.parts)], "part int, slope double, offset double")
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/calibration")
+    exported_calibration(model).coalesce(1).write.mode("overwrite").parquet(f"{path}/calibration")
     if metrics is not None:
         metrics.write.mode("overwrite").json(f"{path}/metrics")
 

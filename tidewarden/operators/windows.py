@@ -140,16 +140,18 @@ def repeat_recency(alerts: DataFrame, window_s: int = 600, half_life_s: float =
     with the time, and a busy entity is spread over its buckets.
     """
     at, q = F.col("event_time"), F.floor(F.col("event_time") / window_s)
-    side = lambda own, q, at: F.struct(F.lit(own).alias("own"), q.alias("q"), at.alias("at"))
-    sides = alerts.select("alert_id", "entity", "event_time", F.inline(F.array(side(1, q, at), side(0, q - 1, at - window_s))))
+    row = F.struct(*alerts.columns)
+    side = lambda own, q, at, row: F.struct(F.lit(own).alias("own"), q.alias("q"), at.alias("at"), row.alias("_row"))
+    edge = side(0, q - 1, at - window_s, F.lit(None).cast(alerts.select(row.alias("r")).schema["r"].dataType))
+    sides = alerts.select("alert_id", "entity", "event_time", F.inline(F.array(side(1, q, at, row), edge)))
     decay = F.pow(F.lit(2.0), (F.col("event_time") - F.col("q") * F.lit(float(window_s))) / half_life_s)
     weighed = sides.withColumn("_w", F.when(F.col("own") == 1, decay).otherwise(0.0))
     w = Window.partitionBy("entity", "q").orderBy("at", "own", "alert_id")  # an edge comes before alerts of its moment
     before = F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     whole = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     part = F.when(F.col("own") == 1, before).otherwise(F.greatest(whole - before, F.lit(0.0))) / decay
-    sums = weighed.select("alert_id", part.alias("_m")).groupBy("alert_id").agg(F.sum("_m").alias("_m"))
-    return alerts.join(sums, "alert_id").withColumn("recency", clip01(F.lit(1.0) - F.exp(-F.col("_m")))).drop("_m")
+    both = weighed.select("alert_id", part.alias("_m"), "_row").groupBy("alert_id").agg(F.sum("_m").alias("_m"), F.first("_row", ignorenulls=True).alias("_row"))
+    return both.select("_row.*", clip01(F.lit(1.0) - F.exp(-F.col("_m"))).alias("recency"))
 
 
 def split_incidents(alerts: DataFrame, gap_s: float = 600.0) -> DataFrame:

@@ -394,7 +394,7 @@ def _zeek_logs(spark, d):
     rows = flows(spark, d).select("ts", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("C"), "flow_id")).alias("uid"), F.col("src_ip").alias("id.orig_h"), F.lit(4000).alias("id.orig_p"), F.col("dst_ip").alias("id.resp_h"), F.col("dst_port").alias("id.resp_p"),
                                   F.col("bytes_out").alias("orig_bytes"), F.col("bytes_in").alias("resp_bytes"), F.col("duration"), F.col("conn_state"), F.col("dns_query").alias("query"), "event_type")
     for kind, name in (("flow", "conn"), ("dns", "dns")):
-        rows.where(F.col("event_type") == kind).drop("event_type").coalesce(1).write.mode("append").json(f"{path}-raw/{name}")
+        rows.where(F.col("event_type") == kind).drop("event_type").write.mode("append").json(f"{path}-raw/{name}")
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     for name in ("conn", "dns"):
         source = fs.Path(f"{path}-raw/{name}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detectors, ml, reports, windows
+from ..operators.joins import match_blocklist
 from ..operators.normalize import flow_kinetics
 from ..sources.flows import flows
 from ..sources.paths import new_path
@@ -25,7 +26,7 @@ def _dns(spark, d):
 
 def _tls(spark, d):
     rows = ml.tls_features(flow_kinetics(flows(spark, d))).where("ja3 is not null")
-    return rows.withColumn("target", F.col("ja3").isin(*[r[0] for r in blocklist(spark).collect()]).cast("int"))  # two fingerprints
+    return match_blocklist(rows, blocklist(spark)).withColumn("target", F.col("blocklist_hit").cast("int")).drop("blocklist_hit")
 
 
 def _dga_model(train):
@@ -53,11 +54,47 @@ def m2(spark, d):
     return detectors.detect_tls(scored, ml.harvest_blocklist(train, "target"), WIDE, probability="probability").select("flow_id", "confidence")
 
 
-@query("m3_isolation_forest")
+FOREST, SAMPLE, SEED = 200, 256, 7
+DEPTH = 8
+MEAN_PATH = "CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} <= 2 THEN 1.0::DOUBLE ELSE 2 * (ln({n}::DOUBLE - 1) + 0.5772156649::DOUBLE) - 2 * ({n}::DOUBLE - 1) / {n} END"
+
+
+def forest_sql(benign: str) -> str:
+    """SQL that grows the forest itself, level by level from the same hashes, and scores all flows."""
+    share = lambda *parts: f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    width = len(ml.ANOMALY_FEATURES)
+    lists = lambda kind: f"[{', '.join(f'{kind}(x[{k}])' for k in range(1, width + 1))}]"
+    parts = [f""", x AS (SELECT flow_id, [(pkts_out + pkts_in)::DOUBLE, (bytes_out + bytes_in)::DOUBLE, (bytes_out + bytes_in)::DOUBLE / greatest(1.0::DOUBLE, (pkts_out + pkts_in)::DOUBLE),
+  bytes_out::DOUBLE / greatest(1.0::DOUBLE, bytes_in::DOUBLE), dur, (pkts_out + pkts_in)::DOUBLE / dur, (bytes_out + bytes_in)::DOUBLE / dur, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS x,
+  {benign} AS benign FROM (SELECT *, CASE WHEN duration IS NULL OR duration = 0 THEN 0.001::DOUBLE ELSE greatest(0.001::DOUBLE, duration) END AS dur FROM flows)),
+dealt AS (SELECT t, flow_id, x, {share("'" + str(SEED) + "'", "t", "flow_id")} AS h FROM x, range({FOREST}) AS r(t) WHERE benign),
+l0 AS MATERIALIZED (SELECT t, x, 1 AS node FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY h, flow_id) AS r FROM dealt
+  WHERE h < least(1.0::DOUBLE, {1.3 * SAMPLE}::DOUBLE / greatest(1, (SELECT count(*) FROM x WHERE benign)))) WHERE r <= {SAMPLE})"""]
+    for k in range(DEPTH + 1):
+        inner = "n > 1 AND len(differ) > 0" if k < DEPTH else "false"
+        feature = f"differ[1 + CAST(floor({share(repr(str(SEED)), 't', 'node', repr('feature'))} * len(differ)) AS BIGINT)]"
+        parts.append(f"""n{k} AS MATERIALIZED (SELECT t, node, n, {inner} AS inner_node, f, lo[f] + {share(repr(str(SEED)), 't', 'node', repr('cut'))} * (hi[f] - lo[f]) AS cut FROM (
+  SELECT *, {feature} AS f FROM (SELECT *, list_filter(range(1, {width + 1}), lambda j: hi[j] > lo[j]) AS differ FROM (
+    SELECT t, node, count(*) AS n, {lists('min')} AS lo, {lists('max')} AS hi FROM l{k} GROUP BY 1, 2))))""")
+        if k < DEPTH:
+            parts.append(f"l{k + 1} AS MATERIALIZED (SELECT t, x, node * 2 + CASE WHEN x[f] > cut THEN 1 ELSE 0 END AS node FROM l{k} JOIN n{k} USING (t, node) WHERE inner_node)")
+    parts.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT t, node, inner_node, f, cut, {k} + {MEAN_PATH.format(n='n')} AS length FROM n{k}" for k in range(DEPTH + 1)) + ")")
+    parts.append(f"d0 AS (SELECT flow_id, x, t, 1 AS node FROM x, range({FOREST}) AS r(t))")
+    for k in range(DEPTH):
+        parts.append(f"d{k + 1} AS (SELECT flow_id, x, t, CASE WHEN inner_node THEN node * 2 + CASE WHEN x[f] > cut THEN 1 ELSE 0 END ELSE node END AS node FROM d{k} JOIN nodes USING (t, node))")
+    score = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * pow(2.0::DOUBLE, -avg(length) / ({MEAN_PATH.format(n=SAMPLE)})) - 1))"
+    return ",\n".join(parts) + f"\nSELECT flow_id, {round6(score)} AS anomaly FROM d{DEPTH} JOIN nodes USING (t, node) GROUP BY 1"
+
+
+BENIGN = "ja3 IS DISTINCT FROM md5('ja3-3') AND ja3 IS DISTINCT FROM md5('ja3-7') AND bytes_out <= 200000"
+
+
+@query("m3_isolation_forest", sql_flows(forest_sql(BENIGN)))
 def m3(spark, d):
-    rows = ml.prepare(flow_kinetics(flows(spark, d)), ml.ANOMALY_FEATURES)
-    forest = ml.fit_isolation_forest(rows.where("event_type = 'flow'"), "flow_id", trees=20)
-    return ml.isolation_scores(rows.select("flow_id", "features_array"), forest).select("flow_id", "anomaly")
+    """Scores of all flows by 200 trees grown from benign ones."""
+    rows = match_blocklist(ml.prepare(flow_kinetics(flows(spark, d)), ml.ANOMALY_FEATURES), blocklist(spark))
+    forest = ml.fit_isolation_forest(rows.where("not blocklist_hit and bytes_out <= 200000"), "flow_id", FOREST, SAMPLE, SEED)
+    return ml.isolation_scores(rows.select("flow_id", "features_array"), forest, SAMPLE).select("flow_id", S.round_to(F.col("anomaly"), 6).alias("anomaly"))
 
 
 @query("m4_platt_calibration")
@@ -83,10 +120,9 @@ pred AS (SELECT flow_id, l, coalesce(threat_class, 'benign') AS p FROM (SELECT f
 
 
 def _predicted(spark, d):
-    rows = flows(spark, d)
-    listed = [r[0] for r in blocklist(spark).collect()]  # two fingerprints
-    label = F.when(F.col("ja3").isin(*listed), "ENCRYPTED_MALWARE").when(F.col("bytes_out") > 200_000, "DATA_EXFILTRATION").otherwise("benign")
-    return rows.withColumn("truth", label)
+    rows = match_blocklist(flows(spark, d), blocklist(spark))
+    label = F.when(F.col("blocklist_hit"), "ENCRYPTED_MALWARE").when(F.col("bytes_out") > 200_000, "DATA_EXFILTRATION").otherwise("benign")
+    return rows.withColumn("truth", label).drop("blocklist_hit")
 
 
 @query("m6_evaluate", sql_detections(f""", {BEST}, cls AS (SELECT l AS class FROM pred UNION SELECT p FROM pred),
