@@ -136,11 +136,11 @@ def exported_trees(model: Calibrated, path: str) -> DataFrame:
     out = None
     for k, (part, _, _) in enumerate(model.parts):
         part.write().overwrite().save(f"{path}/part-{k}")
-        weights = spark.read.parquet(f"{path}/part-{k}/treesMetadata").select("treeID", F.col("weights").alias("weight"))
+        weights = spark.read.parquet(f"{path}/part-{k}/treesMetadata").toDF("treeID", "metadata", "weight").select("treeID", "weight")
         n = spark.read.parquet(f"{path}/part-{k}/data").select("treeID", "nodeData.*").join(weights, "treeID")
         stats = F.col("impurityStats")
-        # A forest's margin adds the share of positives of its leaves; boosting adds twice the weighted predictions.
-        value = F.col("prediction") * F.col("weight") * 2 if isinstance(part, GBTClassificationModel) else stats[1] / F.greatest(stats[0] + stats[1], F.lit(1e-300)) * F.col("weight")
+        # A forest's margin adds the share of positives in its leaves, boosting the predictions of its trees.
+        value = F.col("prediction") * F.col("weight") if isinstance(part, GBTClassificationModel) else stats[1] / F.greatest(stats[0] + stats[1], F.lit(1e-300)) * F.col("weight")
         rows = n.select(
             F.lit(k).alias("part"), F.col("treeID").alias("tree"), "weight", F.col("id").alias("node"), F.when(F.col("leftChild") >= 0, F.col("split.featureIndex")).otherwise(-1).alias("feature"),
             F.when(F.col("leftChild") >= 0, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), value.alias("value"),
