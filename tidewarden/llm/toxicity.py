@@ -32,7 +32,7 @@ STEMS = (4, 5, 6)
 #: large share of toxic texts more, and be right this often, one clean text not counted.
 MIN_KIN, KIN_SHARE, PRECISION, FORGIVEN = 4, 0.004, 0.95, 1
 #: Log probabilities and shapes of pieces that a task remembers.
-MEMO = 100_000
+MEMO = 300_000
 #: Latest tokens whose words a task keeps, features that it counts before it hands them over,
 #: and words that are counted before their trigrams are.
 RECENT = 60_000
@@ -526,7 +526,7 @@ class Scorer:
     """Scores texts with a lexicon; remembers what it found in tokens."""
 
     def __init__(self, model: CharModel, boundaries: Boundaries, weights: dict[str, float], base: float):
-        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries), boundaries
+        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries, MEMO // 2), boundaries
 
     def entries(self, token: str) -> tuple[str, ...]:
         return tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
