@@ -4,14 +4,13 @@ A text's set is sketched by 150 minima of hashes, in 30 bands of five.  Two text
 of similarity 0.8 agree in no band with a probability of (1 - 0.8**5)**30, seven in
 a million.  Texts that share a band and are not in one group yet are compared by
 their whole sets, all of them where at most 16 texts of a bucket are outside its
-largest group.  In larger buckets two leaders, which change from round to round, first
-merge what is alike as a whole.  The texts of buckets that are still mixed then, such as
+largest group.  In larger buckets two leaders first merge what is alike as a whole.  The texts of buckets that are still mixed then, such as
 pages of one template, meet anew by their rarest shingles: two sets of similarity s
 share one among the first n - s n + 1 of n shingles in the order of their frequency.
 Shingles that only one text has come first there and bring nobody together, so pages
 that have a fifth or more for themselves are no candidates, however many there are, and
 no link is lost.  Only buckets of one rare shingle that are themselves that large and
-mixed are left to leaders.
+mixed are left to leaders, which change from turn to turn until a turn links nothing.
 """
 
 from __future__ import annotations
@@ -159,7 +158,7 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     """
     parity = texts.select("text_hash", "parity")
     members = stored(_mixed(texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")))
-    merged, left = _merge(docs, members, None, jaccard, parity, None)
+    merged, left = _merge(docs, members, None, jaccard, parity, None, once=True)
     hot = stored(left.select("text_hash", "n", "root").distinct())
     if hot.isEmpty():
         return merged
@@ -168,8 +167,8 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     return _merge(docs, rare, merged, jaccard, parity, sets)[0]
 
 
-def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, parity: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """What buckets add to ``merged``: in full where few are outside the largest group, else by leaders until a turn links nothing.
+def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, parity: DataFrame, sets: DataFrame | None, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What buckets add to ``merged``: in full where few are outside the largest group, else by leaders until a turn links nothing, or ``once``.
 
     Also the members, by their roots now, of the buckets that leaders have left mixed.
     """
@@ -182,7 +181,7 @@ def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccar
         step = stored(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
         merged = step if merged is None else stored(_carried(merged, step))
         many = stored(_mixed(_moved(many, step)))
-        if many.isEmpty():
+        if once or many.isEmpty():
             return merged, many
         turn += 1
         pairs = _with_leaders(many, turn)
