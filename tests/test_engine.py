@@ -206,3 +206,16 @@ def test_report_of_an_absent_class_is_zero(spark):
 
 def test_defaults_are_as_documented():
     assert (DEFAULTS.cooldown_s, DEFAULTS.incident_gap_s, DEFAULTS.scan_ports) == (30, 600, 20) and len(CLASS_PARAMS) == 6
+
+
+def test_addresses_meet_networks_of_any_size(spark):
+    import ipaddress
+
+    from tidewarden.dims import networks
+    from tidewarden.operators.joins import cidr_join
+
+    cidrs = ("0.0.0.0/0", "10.0.0.0/8", "10.1.0.0/16", "10.1.2.3/32", "192.168.50.0/24", "128.0.0.0/1")
+    ips = ["10.1.2.3", "10.1.2.4", "10.9.9.9", "192.168.50.255", "192.168.51.0", "255.255.255.255", "host", None]
+    got = {(r["src_ip"], r["cidr"]) for r in cidr_join(spark.createDataFrame([(x,) for x in ips], "src_ip string"), networks(spark, cidrs)).collect()}
+    assert got == {(x, c) for x in ips[:6] for c in cidrs if ipaddress.ip_address(x) in ipaddress.ip_network(c)}
+    assert cidr_join(spark.createDataFrame([("10.1.2.3",)], "src_ip string"), networks(spark, cidrs).limit(0)).count() == 0
