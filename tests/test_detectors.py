@@ -149,6 +149,23 @@ def test_metrics_listener_counts_each_run_from_nothing(spark, small):
     assert [r["rows"] for r in runs] == [1000, 1000] and all(r["batches"] == len(r["millis"]) >= 1 for r in runs)
 
 
+def test_an_autocorrelation_costs_no_power_of_its_length(spark):
+    """A block of the longest size took n ** 3 steps: hours for a few of them."""
+    import time
+
+    rng = random.Random(4)
+    series = [[rng.random() + (k % 7 == 0) for k in range(n)] for n in (200, 1000, 4096)]
+    rows = spark.createDataFrame([(x,) for x in series for _ in range(8)], "x array<double>")
+    start = time.monotonic()
+    got = [r["a"] for r in rows.select(features.acf_of(F.col("x")).alias("a")).collect()]
+    assert time.monotonic() - start < 60 and len(got) == 24
+    for x, a in zip(series, got[::8]):
+        mean = sum(x) / len(x)
+        c = [v - mean for v in x]
+        want = {lag: sum(p * q for p, q in zip(c, c[lag:])) / sum(v * v for v in c) for lag in (0, 1, 2, 7, len(x) // 2)}
+        assert len(a) == len(x) // 2 + 1 and {lag: a[lag] for lag in want} == pytest.approx(want, abs=1e-9)
+
+
 def test_a_long_series_has_one_autocorrelation(spark, tmp_path):
     import duckdb
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,19 +90,29 @@ def inter_arrival_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def acf_of(series: Column) -> Column:
     """Normalized autocorrelation of an array at lags 0 to half its length; short ones give [1], flat ones zeros."""
-    n = F.size(series)
-    mean = F.aggregate(series, F.lit(0.0), lambda a, x: a + x) / n
-    centred = F.transform(series, lambda x: x - mean)
-    square = F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x)
 
-    def at(lag: Column) -> Column:
-        length = n - lag
-        pairs = F.zip_with(F.slice(centred, F.lit(1), length), F.slice(centred, lag + 1, length), lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / square
+    @F.pandas_udf("array<double>")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(acf_values)
 
-    lags = F.sequence(F.lit(0), F.floor(n / 2).cast("int"))
-    flat = F.transform(lags, lambda _: F.lit(0.0))
-    return F.when(n < 3, F.array(F.lit(1.0))).when(square / n < 1e-12, flat).otherwise(F.transform(lags, at))
+    return run(series)
+
+
+def acf_values(x: np.ndarray) -> np.ndarray:
+    """The values of ``acf_of``; the series is centred once, and long ones go by their spectrum."""
+    n = len(x)
+    if n < 3:
+        return np.ones(1)
+    most, x = n // 2 + 1, x - x.sum() / n
+    square = x @ x
+    if square / n < 1e-12:
+        return np.zeros(most)
+    if n <= 256:
+        products = np.correlate(x, x, "full")[n - 1 : n - 1 + most]
+    else:
+        width = 1 << (2 * n - 1).bit_length()
+        products = np.fft.irfft(np.abs(np.fft.rfft(x, width)) ** 2, width)[:most]
+    return np.append(1.0, products[1:] / square)
 
 
 def lag_products(blocks: DataFrame, keys: list[str], longest: int) -> DataFrame:
@@ -110,7 +122,6 @@ def lag_products(blocks: DataFrame, keys: list[str], longest: int) -> DataFrame:
     block in order, the last one shorter.  Each block meets the later ones within reach;
     a task adds up what it has before it hands on, and the rest is a sum per lag.
     """
-    import numpy as np
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -191,7 +202,6 @@ def partial_spectra(blocks: DataFrame) -> DataFrame:
     ``blocks`` has ``_text, n, _at`` and the centred values ``_x`` from place ``_at`` on.
     A task adds up what it has of a key before it hands on its components from 1 to n / 2.
     """
-    import numpy as np
     import pyarrow as pa
 
     schema = pa.schema([("_text", pa.string()), ("n", pa.int64()), ("k", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])
