@@ -32,16 +32,17 @@ def with_class_params(rows: DataFrame, params: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def cidr_join(rows: DataFrame, networks: DataFrame, ip: str = "src_ip") -> DataFrame:
+def cidr_join(rows: DataFrame, networks: DataFrame, ip: str = "src_ip", carry: bool = False) -> DataFrame:
     """Rows with each network that holds their address; rows in none are left out.
 
     ``networks`` has ``cidr`` and its first and last address, ``lo`` and ``hi``.  A
     network's addresses share all bits but its lowest, so for each size of network, at most
     33, the join is one of equal numbers; a list of any length needs no broadcast.
+    ``carry`` as in ``ipv4_number``.
     """
     sized = networks.withColumn("_bits", F.round(F.log2(F.col("hi") - F.col("lo") + 1)).cast("int")).withColumn("_net", F.expr("shiftright(lo, _bits)"))
     sizes = sorted(r[0] for r in sized.select("_bits").distinct().collect())  # 33 at most
-    numbered = rows.withColumn("_ip", ipv4_number(F.col(ip))).withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in sizes]).cast("array<int>")))
+    numbered = rows.withColumn("_ip", ipv4_number(F.col(ip), carry)).withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in sizes]).cast("array<int>")))
     held = numbered.withColumn("_net", F.expr("shiftright(_ip, _bits)")).join(sized.drop("lo", "hi"), ["_bits", "_net"])
     return held.drop("_ip", "_bits", "_net")
 
