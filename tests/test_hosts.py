@@ -21,6 +21,6 @@ def many_hosts(small, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["p6_is_internal", "j3_cidr_join"])
+@pytest.mark.parametrize("name", ["p6_is_internal", "j3_cidr_join", "d4_detect_exfil", "e1_detector_registry", "w7_best_detection", "d7_score_alerts", "p11_check_incident"])
 def test_hosts_past_the_third_part_are_counted_on(spark, many_hosts, name):
     assert_same(plans.QUERIES[name](spark, many_hosts), plans.ORACLES[name], many_hosts)

@@ -74,11 +74,11 @@ def check_alert(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_by(whole, alert_rules(alerts.columns) | {"complete": F.lit(not missing)})
 
 
-def check_incident(incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incidents with sound ranges, classes and an address, and rejects."""
+def check_incident(incidents: DataFrame, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Incidents with sound ranges, classes and an address, and rejects; ``carry`` as in ``ipv4_number``."""
     c = F.col
     return split_by(incidents, {
-        "incident_id": c("incident_id") != "", "src_ip": ipv4_number(c("src_ip")).isNotNull() | c("src_ip").rlike("^[0-9a-fA-F:]+:[0-9a-fA-F:.]*$"),
+        "incident_id": c("incident_id") != "", "src_ip": ipv4_number(c("src_ip"), carry).isNotNull() | c("src_ip").rlike("^[0-9a-fA-F:]+:[0-9a-fA-F:.]*$"),
         "risk_score": c("risk_score").between(0, 100), "alert_count": c("alert_count") >= 1, "times": c("last_seen") >= c("first_seen"),
         "threat_classes": (F.size("threat_classes") > 0) & F.forall("threat_classes", lambda x: x.isin(*CLASS_PARAMS)),
         "severity": c("severity") == severity(c("risk_score")),
