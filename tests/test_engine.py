@@ -219,3 +219,16 @@ def test_addresses_meet_networks_of_any_size(spark):
     got = {(r["src_ip"], r["cidr"]) for r in cidr_join(spark.createDataFrame([(x,) for x in ips], "src_ip string"), networks(spark, cidrs)).collect()}
     assert got == {(x, c) for x in ips[:6] for c in cidrs if ipaddress.ip_address(x) in ipaddress.ip_network(c)}
     assert cidr_join(spark.createDataFrame([("10.1.2.3",)], "src_ip string"), networks(spark, cidrs).limit(0)).count() == 0
+
+
+def test_every_earlier_alert_within_the_window_is_a_pair(spark):
+    """More than the three nearest: each pair is a row, over bucket edges, with ties by alert id."""
+    from tidewarden import plans
+    from tidewarden.operators.joins import prior_pairs
+
+    times = {"a": 0.0, "b": 5.0, "c": 9.5, "d": 10.0, "e": 10.0, "f": 15.0, "g": 20.1}
+    rows = spark.createDataFrame([*((i, "h", t) for i, t in times.items()), ("x", "other", 9.0), ("y", None, 9.0), ("z", None, 9.0)], "alert_id string, entity string, event_time double")
+    want = {(x, y) for x in times for y in times if (times[y], y) < (times[x], x) and times[y] >= times[x] - 10}
+    got = [(r["alert_id"], r["prior_id"]) for r in prior_pairs(rows, 10.0).collect()]
+    assert len(got) == len(want) and set(got) == want and sum(x == "f" for x, _ in got) == 4
+    assert "prior_id" in plans.ORACLES["j5_prior_alerts"]

@@ -77,6 +77,19 @@ def prior_alerts(alerts: DataFrame, window_s: float = 600.0, nearest: int = 3) -
     return counted.join(close.select("alert_id", F.transform(latest, lambda x: x["alert_id"]).alias("nearest")), "alert_id")
 
 
+def prior_pairs(alerts: DataFrame, window_s: float = 600.0) -> DataFrame:
+    """``alert_id, prior_id``: each alert with every earlier one of its entity at most ``window_s`` before; ties go by alert id.
+
+    An alert looks into its own bucket of ``window_s`` and the one before, so a busy
+    entity is spread over its buckets.
+    """
+    at, q = F.col("event_time"), F.floor(F.col("event_time") / window_s)
+    earlier = alerts.select("entity", F.col("alert_id").alias("prior_id"), at.alias("prior_time"), q.alias("_q"))
+    later = alerts.select("entity", "alert_id", "event_time", F.explode(F.array(q, q - 1)).alias("_q"))
+    before = (F.col("prior_time") < at) | ((F.col("prior_time") == at) & (F.col("prior_id") < F.col("alert_id")))
+    return later.join(earlier, ["entity", "_q"]).where(before & (F.col("prior_time") >= at - window_s)).select("alert_id", "prior_id")
+
+
 def alerts_with_incidents(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     """Alerts with their incident's risk and count; orphans keep nulls."""
     side = incidents.select("incident_id", F.col("risk_score").alias("incident_risk"), F.col("alert_count").alias("incident_alerts"))
