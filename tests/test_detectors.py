@@ -192,3 +192,10 @@ def test_a_long_series_has_one_autocorrelation(spark, tmp_path):
         assert r["acf_lag"] == got[name]["acf_lag"] and r["acf"] == pytest.approx(got[name]["acf"], abs=1e-9)
     peaks = {r["src_ip"]: r["acf_peak"] for r in detectors.beacon_stats(some).collect()}
     assert peaks == {name: pytest.approx(r["acf_peak"], abs=1e-9) for name, r in by_blocks.items()}
+
+
+def test_an_envelope_is_parsed_once(spark):
+    valid, rejects = sensors.parse_envelope(spark.createDataFrame([("{}",), (None,), ("[1]",), ('{"ts":"1","flow_id":"f","src_ip":"s","event_type":"flow","x":2}',)], "data string"))
+    for part in (valid, rejects):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert valid.count() == 1 and sorted(r["error"] for r in rejects.collect()) == ["no data", "not a JSON object", "not a JSON object"]

@@ -67,13 +67,14 @@ def parse_envelope(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     An event needs a finite ``ts`` and non-empty ``flow_id``, ``src_ip`` and
     ``event_type``.  Rejects carry ``data`` and ``error``.
     """
-    parsed = entries.withColumn("event", F.from_json("data", ENVELOPE, {"mode": "PERMISSIVE"}))
+    # As a row of its own the event is parsed once; as a column it would be again wherever it is named.
+    parsed = entries.select("*", F.explode(F.array(F.from_json("data", ENVELOPE, {"mode": "PERMISSIVE"}))).alias("event"))
     is_object = F.coalesce(F.trim("data").startswith("{"), F.lit(False)) & F.col("event").isNotNull()
     missing = [F.when(F.coalesce(F.col(f"event.{c}"), F.lit("")) == "", F.lit(f"missing {c}")) for c in ("ts", "flow_id", "src_ip", "event_type")]
     ts = finite(F.col("event.ts").try_cast("double"))
     error = (
         F.when(F.col("data").isNull(), "no data")
-        .when(~is_object | (F.to_json("event") == "{}"), "not a JSON object")
+        .when(~is_object | F.coalesce(*[F.col(f"event.{c}").cast("string") for c in parsed.schema["event"].dataType.names]).isNull(), "not a JSON object")
         .otherwise(F.coalesce(*missing, F.when(ts.isNull(), "ts is not a finite number")))
     )
     marked = parsed.withColumn("error", error)
