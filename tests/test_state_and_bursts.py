@@ -123,6 +123,14 @@ def test_idle_sources_are_forgotten(spark):
     assert state_rows(queries[0]) == 20 and state_rows(queries[-1]) == 1
 
 
+def test_a_batch_of_a_source_is_one_piece_of_state(spark):
+    """Each quarter of the window was a piece, with calls of the state store of its own."""
+    parts = [[flow(k, 1000.0 + 100 * k) for k in range(40)], [flow(100, 5000.0)]]
+    found, queries = jobs.in_turns(spark, [spark.createDataFrame(p, FLOW) for p in parts], lambda fed: keyed.trailing_state(fed, 600.0))
+    assert state_rows(queries[0]) == 1 and state_rows(queries[1]) == 1
+    assert {r["event_id"]: r["attempts"] for r in found.collect()} == {r[0]: trailing(parts[0] + parts[1], 600.0)[r[0]][2] for r in parts[0] + parts[1]}
+
+
 def detections(spark, rows):
     return spark.createDataFrame([(i, e, c, t, 0.8, 0.5) for i, e, c, t in rows], "alert_id string, entity string, threat_class string, event_time double, confidence double, anomaly double")
 

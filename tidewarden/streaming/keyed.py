@@ -45,32 +45,32 @@ def rearm(handle: StatefulProcessorHandle, at: int, watermark: int) -> None:
 TRAILING = "event_id long, src_ip string, ports int, ips int, attempts int"
 
 
+#: Flows below which a piece of state takes in those of the next batch.
+PIECE = 64
+
+
 class TrailingWindow(StatefulProcessor):
     """Distinct ports and addresses, and attempts, of a source in the window that ends with each flow.
 
-    The window's flows are kept in slots of a quarter of it.  Counts per value go up and
-    down as flows come and go, so a flow costs the same however full the window is.
+    A batch adds its flows of a source as one piece, or to the last piece while that holds
+    fewer than ``PIECE``, so a call of the state store serves all of them; a piece of which
+    half can matter no more is written anew without that.  Counts per value go up and down as flows come and go, so a
+    flow costs the same however full the window is.
     """
 
     def __init__(self, window_s: float):
-        self.window_s, self.slot_s = window_s, window_s / 4
+        self.window_s = window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "ts array<double>, ids array<long>, ports array<int>, ips array<string>")
+        self.pieces = handle.getMapState("pieces", "number long", "ts array<double>, ids array<long>, ports array<int>, ips array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = {slot: [list(column) for column in value] for (slot,), value in self.slots.iterator()}
-        known = [(ts, i, port, ip, False) for columns in held.values() for ts, i, port, ip in zip(*columns)]
-        new = [(r.ts, r.event_id, r.dst_port, r.dst_ip, True) for r in rows]
-        touched = set()
-        for ts, i, port, ip, _ in new:
-            slot = math.floor(ts / self.slot_s)
-            touched.add(slot)
-            for column, value in zip(held.setdefault(slot, [[], [], [], []]), (ts, i, port, ip)):
-                column.append(value)
+        held = {number: [*zip(*columns)] for (number,), columns in self.pieces.iterator()}
+        new = sorted(((r.ts, r.event_id, r.dst_port, r.dst_ip) for r in rows), key=lambda x: x[:2])
+        flows = [(*x, False) for piece in held.values() for x in piece] + [(*x, True) for x in new]
         window, ports, ips, out = deque(), Counter(), Counter(), []
-        for ts, i, port, ip, fresh in sorted(known + new, key=lambda x: x[:2]):
+        for ts, i, port, ip, fresh in sorted(flows, key=lambda x: x[:2]):
             window.append((ts, port, ip))
             ports[port] += 1
             ips[ip] += 1
@@ -82,24 +82,33 @@ class TrailingWindow(StatefulProcessor):
                         del counts[value]
             if fresh:  # null is no target
                 out.append(Row(event_id=i, src_ip=key[0], ports=len(ports) - (None in ports), ips=len(ips) - (None in ips), attempts=len(window)))
-        for slot in touched:
-            self.slots.updateValue((slot,), tuple(held[slot]))
-        self._forget([*held], timerValues.getCurrentWatermarkInMs())
+        self._keep(held, new, timerValues.getCurrentWatermarkInMs())
         yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._forget([slot for (slot,) in self.slots.keys()], timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for number, ts in [(number, max(columns[0])) for (number,), columns in self.pieces.iterator()]:
+            if self._end(ts) <= watermark:
+                self.pieces.removeKey((number,))
         return iter(())
 
-    def _forget(self, slots: list[int], watermark: int) -> None:
-        """Drop the slots that no flow from the watermark on can reach, and come again for the next."""
-        ends = {slot: until((slot + 1) * self.slot_s + self.window_s) for slot in slots}
-        for slot, end in ends.items():
-            if end <= watermark:
-                self.slots.removeKey((slot,))
-        rest = [end for end in ends.values() if end > watermark]
-        if rest:
-            rearm(self.handle, min(rest), watermark)
+    def _end(self, ts: float) -> int:
+        """From when on no flow can reach one at ``ts``."""
+        return until(ts + self.window_s)
+
+    def _keep(self, held: dict[int, list[tuple]], new: list[tuple], watermark: int) -> None:
+        """Add the new flows and cut old pieces; each has a timer that removes it once no flow can reach it."""
+        reached = lambda piece: [x for x in piece if self._end(x[0]) > watermark]
+        last = max(held, default=0)
+        number = last if len(held.get(last, [])) < PIECE else last + 1
+        for old, piece in held.items():
+            left = reached(piece)
+            if old != number and left and 2 * len(left) < len(piece):
+                self.pieces.updateValue((old,), tuple(map(list, zip(*left))))
+        left = sorted(reached([*held.get(number, []), *new]), key=lambda x: x[:2])
+        if left:
+            self.pieces.updateValue((number,), tuple(map(list, zip(*left))))
+            self.handle.registerTimer(self._end(left[-1][0]))
 
     def close(self) -> None:
         pass
