@@ -497,3 +497,32 @@ def test_lexicon_is_the_same_from_parts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "RECENT", 5)
     assert toxicity.learn_lexicon(sample, model) == whole
     assert whole[0]
+
+
+def test_links_in_large_mixed_buckets_of_rare_shingles_are_found(spark):
+    """Sets of common shingles only; a few are near one other set, and leaders of buckets seldom are among these."""
+    rng = random.Random(16)
+    parts = [[f"w{p}x{k}" for k in range(40)] for p in range(40)]
+    rows = []
+    for k in range(240):
+        own = rng.sample(parts, 12)
+        rows.append((2 * k, sum(own, [])))
+        if k % 20 == 0:  # the same parts in another order, so what is rare in one is not in the other
+            rows.append((2 * k + 1, sum(rng.sample(own, 12), [])))
+    texts = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    held = {i: set(shingles.wide_hashes(*simhash.shingle_hashes(t)).tolist()) for i, t in texts}
+    similar = {(a, b) for a in held for b in held if a < b and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    assert len(similar) >= 12
+    many = spark.createDataFrame([(7, i, len(x), i, len(held) - 1, 0) for i, x in held.items()], "key long, text_hash long, n long, root long, rest long, major long")
+    sets = spark.createDataFrame([(i, sorted(np.array(list(x), np.uint64).view(np.int64).tolist())) for i, x in held.items()], "text_hash long, shingles array<long>")
+    want = dict(shared.connected_components(spark.createDataFrame(sorted(similar), "a long, b long")).collect())
+    odd = {i: shingles.parities(shingles.wide_hashes(*simhash.shingle_hashes(t))) for i, t in texts}
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    facts = spark.createDataFrame([(i, len(held[i]), [7], odd[i], i) for i in held], "doc_id long, n long, bands array<long>, parity array<long>, root long")
+    assert dict(shingles.merged_roots(docs, hashed.join(facts, "doc_id").drop("doc_id")).collect()) == want
+    for block in (512, 50):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(shingles, "BLOCK", block)
+            links = shingles.linked_in_blocks(many, sets, 0.8)
+            assert dict(shared.connected_components(links).collect()) == want

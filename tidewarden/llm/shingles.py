@@ -4,20 +4,23 @@ A text's set is sketched by 150 minima of hashes, in 30 bands of five.  Two text
 of similarity 0.8 agree in no band with a probability of (1 - 0.8**5)**30, seven in
 a million.  Texts that share a band and are not in one group yet are compared by
 their whole sets, all of them where at most 16 texts of a bucket are outside its
-largest group.  In larger buckets two leaders first merge what is alike as a whole.  The texts of buckets that are still mixed then, such as
-pages of one template, meet anew by their rarest shingles: two sets of similarity s
+largest group.  In larger buckets two leaders first merge what is alike as a whole.
+The texts of buckets that are still mixed then, such as pages of one template, meet anew by their rarest shingles: two sets of similarity s
 share one among the first n - s n + 1 of n shingles in the order of their frequency.
 Shingles that only one text has come first there and bring nobody together, so pages
 that have a fifth or more for themselves are no candidates, however many there are, and
-no link is lost.  Only buckets of one rare shingle that are themselves that large and
-mixed are left to leaders, which change from turn to turn until a turn links nothing.
+no link is lost.  Buckets of one rare shingle that are themselves that large and mixed
+are compared in full as well, in blocks that bound what a task holds; that work grows
+with the square of such a bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ WIDTH, BANDS, ROWS = 5, 30, 5
 ALL_PAIRS = 16
 #: Texts whose sets are handed over at once.
 TOGETHER = 500
+#: Texts and shingles of a block, at most, where all pairs of large buckets are compared.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,9 +141,9 @@ def _in_full(few: DataFrame) -> DataFrame:
     return _sides(few.where("root != major").select(*MEMBER), few.select(*MEMBER))
 
 
-def _with_leaders(many: DataFrame, turn: int) -> DataFrame:
-    """Pairs of two texts of each bucket, others in each turn, with all of it."""
-    by = F.struct(F.xxhash64("text_hash", F.lit(turn)), "text_hash", "n", "root")
+def _with_leaders(many: DataFrame) -> DataFrame:
+    """Pairs of two texts of each bucket with all of it."""
+    by = F.struct(F.xxhash64("text_hash", F.lit(0)), "text_hash", "n", "root")
     chosen = many.groupBy("key").agg(F.array(F.min(by), F.max(by)).alias("leaders"))
     leaders = chosen.select("key", F.explode("leaders").alias("x")).select("key", "x.text_hash", "x.n", "x.root")
     return _sides(leaders, many.select(*MEMBER))
@@ -158,33 +163,85 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     """
     parity = texts.select("text_hash", "parity")
     members = stored(_mixed(texts.select(F.explode("bands").alias("key"), "text_hash", "n", "root")))
-    merged, left = _merge(docs, members, None, jaccard, parity, None, once=True)
+    merged, left = _merge(docs, members, None, jaccard, parity, None)
     hot = stored(left.select("text_hash", "n", "root").distinct())
     if hot.isEmpty():
         return merged
     sets = stored(shingle_sets(docs, hot.select("text_hash")))
-    rare = stored(_mixed(rare_shingles(hot, sets, jaccard)))
-    return _merge(docs, rare, merged, jaccard, parity, sets)[0]
+    rare = stored(_mixed(_once_each(rare_shingles(hot, sets, jaccard))))
+    merged, left = _merge(docs, rare, merged, jaccard, parity, sets)
+    few, many = left.where(F.col("rest") <= ALL_PAIRS), left.where(F.col("rest") > ALL_PAIRS)
+    found = similar_roots(docs, _in_full(few), jaccard, parity, sets).union(linked_in_blocks(many, sets, jaccard))
+    return stored(_carried(merged, stored(connected_components(found))))
 
 
-def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, parity: DataFrame, sets: DataFrame | None, once: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What buckets add to ``merged``: in full where few are outside the largest group, else by leaders until a turn links nothing, or ``once``.
+def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccard: float, parity: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What buckets add to ``merged``: in full where few are outside the largest group, else by two leaders.
 
     Also the members, by their roots now, of the buckets that leaders have left mixed.
     """
     many = members.where(F.col("rest") > ALL_PAIRS)
-    pairs, turn = _in_full(members.where(F.col("rest") <= ALL_PAIRS)).union(_with_leaders(many, 0)), 0
-    while True:
-        found = stored(similar_roots(docs, pairs, jaccard, parity, sets))
-        if found.isEmpty() and merged is not None:
-            return merged, many
-        step = stored(connected_components(found))  # of roots as they are now, so each turn adds to what the others found
-        merged = step if merged is None else stored(_carried(merged, step))
-        many = stored(_mixed(_moved(many, step)))
-        if once or many.isEmpty():
-            return merged, many
-        turn += 1
-        pairs = _with_leaders(many, turn)
+    pairs = _in_full(members.where(F.col("rest") <= ALL_PAIRS)).union(_with_leaders(many))
+    step = stored(connected_components(stored(similar_roots(docs, pairs, jaccard, parity, sets))))
+    merged = step if merged is None else stored(_carried(merged, step))
+    return merged, stored(_mixed(_moved(many, step)))
+
+
+def _once_each(members: DataFrame) -> DataFrame:
+    """Members of one bucket of those that hold the same texts, told by their number and two sums of hashes."""
+    told = [F.count("*"), *(F.sum(F.xxhash64("text_hash", F.lit(k)).cast("decimal(38,0)")) for k in range(2))]
+    alike = members.groupBy("key").agg(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(told))).alias("_texts"))
+    return members.join(alike.groupBy("_texts").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def linked_in_blocks(many: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """``(root_a, root_b)``: links that connect the roots of all similar texts that share a bucket, every pair compared.
+
+    Similar sets are of one class of sizes or of neighbouring ones.  A bucket's texts of
+    a class are dealt into blocks that hold so many texts and shingles at most, and each
+    pair of blocks with texts outside the bucket's largest group is one small task's work.
+    """
+    width = math.log(1 / jaccard) + 1e-6
+    held = many.withColumns({"c": F.floor(F.log("n") / width), "apart": F.col("root") != F.col("major")})
+    size = lambda c: F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_SHINGLES / F.exp((c + 1) * width)))
+    counts = held.groupBy("key", "c", "apart").agg(F.ceil(F.count("*") / size(F.col("c"))).alias("blocks"))
+    own = held.join(counts, ["key", "c", "apart"]).withColumn("block", F.pmod(F.xxhash64("text_hash", F.lit(1)), "blocks"))
+    other = counts.select("key", F.col("c").alias("c_2"), F.col("apart").alias("apart_2"), F.col("blocks").alias("blocks_2"))
+    dealt = own.join(other, "key").where(((F.col("c") - F.col("c_2")).between(-1, 1)) & (F.col("apart") | F.col("apart_2")))
+    dealt = dealt.withColumn("block_2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_2") - 1)))
+    one, two = F.struct("c", "apart", "block"), F.struct(F.col("c_2").alias("c"), F.col("apart_2").alias("apart"), F.col("block_2").alias("block"))
+    work = dealt.select(F.struct("key", F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).alias("work"), (one <= two).alias("first"), "text_hash", "n", "root")
+    return work.join(sets, "text_hash").groupBy("work").applyInPandas(lambda rows: _links_of(rows, jaccard), "root_a long, root_b long")
+
+
+def _links_of(rows: pd.DataFrame, jaccard: float) -> pd.DataFrame:
+    """Links from each root to the smallest that similar sets of two blocks, or within one, connect it with."""
+    n, first, held = rows["n"].to_numpy(), rows["first"].to_numpy(), rows["shingles"].to_list()
+    names, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
+    one = np.flatnonzero(first)
+    two = np.flatnonzero(~first) if not first.all() else one
+    values, code = np.unique(np.concatenate(held), return_inverse=True)
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    shared = np.flatnonzero(np.bincount(code) > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    code, both = place[code], np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for at in range(0, len(shared), 4096):
+        some = slice(*np.searchsorted(code, [at, at + 4096]))
+        holds = np.zeros((len(held), 4096), np.float32)
+        holds[owner[some], code[some] - at] = 1
+        both += holds[one] @ holds[two].T
+    near = (both >= jaccard * (n[one][:, None] + n[two] - both) - 1e-9) & (root[one][:, None] != root[two])
+    a, b = (root[side[k]] for side, k in zip((one, two), np.nonzero(near)))
+    least, before = np.arange(len(names)), None
+    while before is None or (least != before).any():
+        before, small = least.copy(), np.minimum(least[a], least[b])
+        np.minimum.at(least, a, small)
+        np.minimum.at(least, b, small)
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return pd.DataFrame({"root_a": names[moved], "root_b": names[least[moved]]})
 
 
 def rare_shingles(hot: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
