@@ -526,3 +526,30 @@ def test_links_in_large_mixed_buckets_of_rare_shingles_are_found(spark):
             patch.setattr(shingles, "BLOCK", block)
             links = shingles.linked_in_blocks(many, sets, 0.8)
             assert dict(shared.connected_components(links).collect()) == want
+
+
+def test_only_tokens_whose_outline_holds_an_entry_are_decoded(monkeypatch):
+    model = char_model(VOCABULARY)
+    weights = {"stup": 2.0, "=ass": 1.0, "moro": 3.0, "mill": 1.5}
+    scorer = toxicity.Scorer(model, toxicity.Boundaries(model), weights, -3.0)
+    asked = []
+    decode = toxicity.token_words
+    monkeypatch.setattr(toxicity, "token_words", lambda token, model: asked.append(token) or decode(token, model))
+    disguised = ["s.t.u.p.i.d", "sttuupiid", "a$$", "@ss", "m0r0n!", "m o r o n", "m1|l", "m!l1s", "m()ron", "stupid", "as-s", "moron²", "(stu)pid"]
+    harmless = ["w0rd", "w.e.l.l", "gooodd", "h e l l o", "x-ray", "2024", "naïve!!", "", "..."]
+    for token in [*disguised, *harmless]:
+        want = {f for f in toxicity.word_features(decode(token, model)) if f in weights}
+        assert set(scorer.entries(token)) == want, token
+    assert not set(asked) & set(harmless) and {"s.t.u.p.i.d", "m o r o n", "m()ron"} <= set(asked)
+
+
+def test_trigrams_are_those_of_each_word(spark):
+    texts = ["Naïve, żółw (b) x1 aaa", "", None, "aaa. µm \U0001d518x ab-cd 'ab'"]
+    want = {}
+    for text in texts:
+        for word in (w.strip(toxicity.EDGES) for w in (text or "").lower().split()):
+            padded = f"  {''.join(map(toxicity.model_letter, word))} " if word.isalpha() else ""
+            for k in range(len(padded) - 2):
+                want[padded[k : k + 3]] = want.get(padded[k : k + 3], 0) + 1
+    got = toxicity.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert dict(got.collect()) == want

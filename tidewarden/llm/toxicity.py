@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 
 EDGES = ".,;:!?\"'()[]{}<>|*#%&$~`´-_=+/\\…«»„“”‚‘’"
 INNER_EDGES = ".,;:?\"'()[]{}<>*#%&~`´-_=/\\…«»„“”‚‘’"
-REPEATED, TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+REPEATED, TRIPLED, REPEATS = re.compile(r"(.)\1"), re.compile(r"(.)\1\1"), re.compile(r"(.)\1+")
 DRAWING = re.compile("|".join(map(re.escape, DRAWN)))
 MARKED = re.compile(f"[{re.escape(SEPARATORS)}]+")
 PARTS, FOREIGN = re.compile(r"[^\W\d_]+"), re.compile("[^\x00-ÿ]")
@@ -75,6 +76,22 @@ def model_letter(letter: str) -> str:
     return letter if letter in LETTERS else "?"
 
 
+#: What trigrams are made of: a word's edge, the letters and the class of the others.
+SIGNS = " " + LETTERS + "?"
+SIGN_OF = np.array([SIGNS.index(model_letter(chr(c))) if chr(c) != " " else 0 for c in range(256)] + [len(SIGNS) - 1])
+
+
+def grams_of(words: Counter) -> np.ndarray:
+    """How often each trigram is in words that are counted with the marks around them, by the places of its signs."""
+    bare = [(w, n) for w, n in ((chunk.strip(EDGES), n) for chunk, n in words.items()) if w.isalpha()]
+    text = "  " + "  ".join(w for w, _ in bare) + " "
+    signs = SIGN_OF[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 256)]
+    whole = np.flatnonzero((signs[1:-1] != 0) | (signs[2:] != 0))  # the others reach from a word into the next
+    times = np.repeat([n for _, n in bare], [len(w) + 1 for w, _ in bare])
+    grams = (signs[whole] * len(SIGNS) + signs[whole + 1]) * len(SIGNS) + signs[whole + 2]
+    return np.bincount(grams, times, len(SIGNS) ** 3).astype(np.int64)
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """``(gram, n)``: character trigrams of every word of the corpus, edges as blanks.
 
@@ -85,24 +102,18 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        grams: Counter = Counter()
-
-        def spend(words: Counter) -> None:
-            for word, n in words.items():
-                if word.isalpha():
-                    padded = "  " + "".join(map(model_letter, word)) + " "
-                    for k in range(len(padded) - 2):
-                        grams[padded[k : k + 3]] += n
-
+        totals = np.zeros(len(SIGNS) ** 3, np.int64)
         words: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                words.update([w.strip(EDGES) for w in (text.as_py() or "").lower().split()])
+                words.update((text.as_py() or "").lower().split())
                 if len(words) > RECENT:
-                    spend(words)
+                    totals += grams_of(words)
                     words = Counter()
-        spend(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], schema=schema)
+        totals += grams_of(words)
+        held = np.flatnonzero(totals)
+        names = ["".join(SIGNS[k // len(SIGNS) ** e % len(SIGNS)] for e in (2, 1, 0)) for k in held.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(totals[held])], schema=schema)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -266,6 +277,20 @@ def trimmed(chunk: str) -> str:
     return chunk.lstrip(INNER_EDGES).rstrip(EDGES)
 
 
+class Asked(dict):
+    """A memo whose function keeps what it finds itself."""
+
+    def __init__(self, made: Callable):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key):
+        return self.made(key)
+
+    def __reduce__(self):
+        return Asked, (self.made,)
+
+
 class Boundaries:
     """Which blanks of a text the lattice of the whole text leaves out.
 
@@ -281,7 +306,7 @@ class Boundaries:
 
     def __init__(self, model: CharModel):
         letters = LETTERS + "?"
-        self.code, self.n, self.shapes, self.many = {c: k for k, c in enumerate(letters)}, len(letters), {}, {}
+        self.code, self.n, self.shapes, self.many = {c: k for k, c in enumerate(letters)}, len(letters), Asked(self.shape), {}
         pairs, n = [a + b for a in letters for b in letters], len(letters)
         self.pairs = {p: k for k, p in enumerate(pairs) if p[0] != p[1] and "?" not in p}
         self.follow = np.array([[model.logp(p, c) for c in letters] for p in pairs], np.float32)
@@ -346,7 +371,7 @@ class Boundaries:
         for text in texts:
             chunks += text.split()
             ends.append(len(chunks))
-        made = np.fromiter((known[p] if p in known else self.shape(p) for p in chunks), np.int64, len(chunks))
+        made = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
         place = np.flatnonzero(made >= 0)
         made, text_of = made[place], text_of[place]
@@ -522,13 +547,48 @@ class Recent(dict):
         return found
 
 
+class Outlined(dict):
+    """The letter of a sign in an outline, or None; letters that one sign can stand for are one."""
+
+    def __missing__(self, code: int) -> str | None:
+        letter = chr(code) if chr(code).isalpha() else LOOK_ALIKES.get(chr(code), "")[:1]
+        self[code] = found = next((x[0] for x in LOOK_ALIKES.values() if letter and letter in x), letter) or None
+        return found
+
+
+OUTLINED = Outlined()
+
+
+def outline(signs: str) -> str:
+    """All letters that signs can write, in a row, with those that one sign can stand for as one and none twice in a row.
+
+    A reading writes letters that follow each other, for what is between them is left out, so
+    its outline is part of that of the signs, whatever it leaves out or repeats.
+    """
+    return REPEATS.sub(r"\1", signs.translate(OUTLINED))
+
+
 class Scorer:
-    """Scores texts with a lexicon; remembers what it found in tokens."""
+    """Scores texts with a lexicon; remembers what it found in tokens.
+
+    A token is decoded only if its outline holds that of an entry, or a drawing that has
+    other letters than its signs; no other one can be read as an entry.
+    """
 
     def __init__(self, model: CharModel, boundaries: Boundaries, weights: dict[str, float], base: float):
-        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries, MEMO // 2), boundaries
+        self.model, self.weights, self.base, self.memo, self.boundaries = model, weights, base, Recent(self.entries), boundaries
+        self.heads, tails = {f.lstrip("=")[: STEMS[0]] for f in weights}, {}
+        for f in weights:
+            held = outline(f.lstrip("="))
+            tails.setdefault(held[:1], set()).add(re.escape(held[1:]))
+        self.possible = re.compile("|".join(f"{re.escape(head)}(?:{'|'.join(sorted(tails[head]))})" for head in sorted(tails)) or "(?!)")
 
     def entries(self, token: str) -> tuple[str, ...]:
+        core = token.strip(EDGES)
+        if core.isalpha() and not REPEATED.search(core):  # has itself as its only reading
+            return tuple(f for f in word_features([core]) if f in self.weights) if core[: STEMS[0]] in self.heads else ()
+        if not self.possible.search(outline(token)) and not DRAWING.search(token):
+            return ()
         return tuple(f for f in word_features(token_words(token, self.model)) if f in self.weights)
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
@@ -536,7 +596,7 @@ class Scorer:
         memo = self.memo
         for group in in_groups([t or "" for t in texts]):
             for tokens in text_tokens(group, self.boundaries):
-                found = {f for t in tokens for f in memo[t]}
+                found = set(chain.from_iterable(map(memo.__getitem__, tokens)))
                 total = max(self.weights[f] for f in found) + math.log(len(found)) if found else self.base
                 yield 1 / (1 + math.exp(-max(-50.0, min(50.0, total)))), len(found)
 
