@@ -56,6 +56,19 @@ def test_a_burst_of_a_million_is_spread_over_tasks(spark):
     assert blocks[0] < 1000 and blocks[1] > 1000  # what a task folds at once
 
 
+def test_bursts_are_followed_many_to_a_batch(spark):
+    rows = [(f"{e}-{k:03}", f"e{e}", "DDOS", float(e + k * (7 + e % 5))) for e in range(60) for k in range(40)]
+    made = spark.createDataFrame(rows, "alert_id string, entity string, threat_class string, event_time double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # bursts go on from batch to batch
+    try:
+        kept = windows.cooldown(made, 30.0, 2)
+        assert {r["alert_id"] for r in kept.collect()} == greedy(rows, 30.0)
+        assert "FlatMapGroups" not in plan(kept)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_block_tables_lead_where_the_recurrence_leads():
     rng = random.Random(5)
     for _ in range(200):

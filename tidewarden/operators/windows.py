@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,8 +89,9 @@ def cooldown(detections: DataFrame, cooldown_s: float = 30.0, block: int = BLOCK
 def _last_before(tables: DataFrame, cooldown_s: float) -> DataFrame:
     """``(entity, threat_class, _block, _before)``: the time of the last detection kept before each block of a burst.
 
-    A task holds the tables of one burst, not its detections: an entry for each place
-    within one cooldown of a block's start that leads to a different end.
+    A task goes over its bursts in order, many to a batch of rows, and remembers one time.
+    It holds tables, not detections: an entry for each place within one cooldown of a
+    block's start that leads to a different end.
     """
     arrow = pa.schema([("entity", pa.string()), ("threat_class", pa.string()), ("_block", pa.int64()), ("_burst", pa.int64()), ("entry", pa.list_(pa.float64())), ("exit", pa.list_(pa.float64()))])
 
@@ -101,16 +101,22 @@ def _last_before(tables: DataFrame, cooldown_s: float) -> DataFrame:
             entry, end = (pa.array([x[k] for x in made], pa.list_(pa.float64())) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], entry, end], schema=arrow)
 
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, before = rows.sort_values("_block"), math.nan, []
-        for entry, end in zip(rows["entry"], rows["exit"]):
-            before.append(last)
-            k = 0 if math.isnan(last) else int(np.searchsorted(entry, last + cooldown_s))
-            last = end[k] if k < len(end) else last
-        return rows.assign(_before=before)[["entity", "threat_class", "_block", "_before"]]
-
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        burst, last = None, math.nan
+        for batch in batches:
+            before = []
+            for own, entry, end in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))), batch.column(4), batch.column(5)):
+                if own != burst:
+                    burst, last = own, math.nan
+                before.append(last)
+                entry, end = entry.values.to_numpy(), end.values.to_numpy()
+                k = 0 if math.isnan(last) else int(np.searchsorted(entry, last + cooldown_s))
+                last = float(end[k]) if k < len(end) else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.float64())], names=["entity", "threat_class", "_block", "_before"])
+
+    keys = ["entity", "threat_class", "_burst"]
     steps = tables.mapInArrow(tabled, "entity string, threat_class string, _block long, _burst long, entry array<double>, exit array<double>")
-    followed = steps.groupBy("entity", "threat_class", "_burst").applyInPandas(follow, "entity string, threat_class string, _block long, _before double")
+    followed = steps.repartition(*keys).sortWithinPartitions(*keys, "_block").mapInArrow(follow, "entity string, threat_class string, _block long, _before double")
     return followed.withColumn("_before", F.nanvl("_before", F.lit(None).cast("double")))
 
 
