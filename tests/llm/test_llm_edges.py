@@ -1,8 +1,10 @@
 """Nulls, empty tables, repeated rows, ties, long texts, extra and clashing columns."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,6 +530,22 @@ def test_links_in_large_mixed_buckets_of_rare_shingles_are_found(spark):
             assert dict(shared.connected_components(links).collect()) == want
 
 
+def test_a_pair_of_blocks_takes_a_small_multiple_of_its_shingles():
+    """Blocks of few and long sets: what is laid out at once does not grow with what they share."""
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 1 << 62, 1000)) for _ in range(200)]
+    sets += [np.append(x[100:], rng.integers(0, 1 << 62, 50)) for x in sets[:150]] + [rng.integers(0, 1 << 62, 1000) for _ in range(50)]
+    rows = pa.table({
+        "n": [len(x) for x in sets], "first": [k < 200 for k in range(400)], "root": list(range(400)), "shingles": pa.array(sets, pa.list_(pa.int64())),
+    })
+    tracemalloc.start()
+    links = shingles._links_of(rows, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(links["root_a"].to_pylist(), links["root_b"].to_pylist())) == [(200 + k, k) for k in range(150)]
+    assert peak < 5 * rows["shingles"].nbytes
+
+
 def test_only_tokens_whose_outline_holds_an_entry_are_decoded(monkeypatch):
     model = char_model(VOCABULARY)
     weights = {"stup": 2.0, "=ass": 1.0, "moro": 3.0, "mill": 1.5}

@@ -20,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +33,9 @@ ALL_PAIRS = 16
 #: Texts whose sets are handed over at once.
 TOGETHER = 500
 #: Texts and shingles of a block, at most, where all pairs of large buckets are compared.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles whose holders are laid out at once there.
+AT_ONCE = 1024
 
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,26 +212,20 @@ def linked_in_blocks(many: DataFrame, sets: DataFrame, jaccard: float) -> DataFr
     dealt = dealt.withColumn("block_2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_2") - 1)))
     one, two = F.struct("c", "apart", "block"), F.struct(F.col("c_2").alias("c"), F.col("apart_2").alias("apart"), F.col("block_2").alias("block"))
     work = dealt.select(F.struct("key", F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).alias("work"), (one <= two).alias("first"), "text_hash", "n", "root")
-    return work.join(sets, "text_hash").groupBy("work").applyInPandas(lambda rows: _links_of(rows, jaccard), "root_a long, root_b long")
+    return work.join(sets, "text_hash").groupBy("work").applyInArrow(lambda rows: _links_of(rows, jaccard), "root_a long, root_b long")
 
 
-def _links_of(rows: pd.DataFrame, jaccard: float) -> pd.DataFrame:
+def _links_of(rows: pa.Table, jaccard: float) -> pa.Table:
     """Links from each root to the smallest that similar sets of two blocks, or within one, connect it with."""
-    n, first, held = rows["n"].to_numpy(), rows["first"].to_numpy(), rows["shingles"].to_list()
+    n, first = rows["n"].to_numpy(), rows["first"].to_numpy()
     names, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
     one = np.flatnonzero(first)
     two = np.flatnonzero(~first) if not first.all() else one
-    values, code = np.unique(np.concatenate(held), return_inverse=True)
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    shared = np.flatnonzero(np.bincount(code) > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    code, both = place[code], np.zeros((len(one), len(two)), np.float32)
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for at in range(0, len(shared), 4096):
-        some = slice(*np.searchsorted(code, [at, at + 4096]))
-        holds = np.zeros((len(held), 4096), np.float32)
+    code, owner, shared = _shared(rows["shingles"])
+    both = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, shared, AT_ONCE):
+        some = slice(*np.searchsorted(code, [at, at + AT_ONCE]))
+        holds = np.zeros((len(n), AT_ONCE), np.float32)
         holds[owner[some], code[some] - at] = 1
         both += holds[one] @ holds[two].T
     near = (both >= jaccard * (n[one][:, None] + n[two] - both) - 1e-9) & (root[one][:, None] != root[two])
@@ -241,7 +236,21 @@ def _links_of(rows: pd.DataFrame, jaccard: float) -> pd.DataFrame:
         np.minimum.at(least, a, small)
         np.minimum.at(least, b, small)
     moved = np.flatnonzero(least != np.arange(len(names)))
-    return pd.DataFrame({"root_a": names[moved], "root_b": names[least[moved]]})
+    return pa.table({"root_a": names[moved], "root_b": names[least[moved]]})
+
+
+def _shared(sets: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that several of the sets have, numbered and in order, the set of each, and how many there are."""
+    values = np.concatenate([c.flatten().to_numpy() for c in sets.chunks])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), np.concatenate([c.value_lengths().to_numpy() for c in sets.chunks]))
+    order = np.argsort(values)
+    values, owner = values[order], owner[order]
+    del order
+    code = np.cumsum(np.append(False, values[1:] != values[:-1]), dtype=np.int32)
+    del values
+    several = np.bincount(code) > 1
+    kept = several[code]
+    return (np.cumsum(several, dtype=np.int32) - 1)[code[kept]], owner[kept], int(several.sum())
 
 
 def rare_shingles(hot: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
