@@ -1,6 +1,7 @@
 """Nulls, empty tables, repeated rows, ties, long texts, extra and clashing columns."""
 
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -530,6 +531,32 @@ def test_links_in_large_mixed_buckets_of_rare_shingles_are_found(spark):
             assert dict(shared.connected_components(links).collect()) == want
 
 
+def test_pairs_of_texts_are_joined_by_a_small_method(spark, tmp_path, capsys):
+    """Filters on pairs are pushed into the join; a method of 3,600 bytes there took the compiler 0.5 GB in each executor."""
+    rng = random.Random(18)
+    rows = [(rng.randint(-9, 9), rng.randint(-99, 99), rng.randint(8, 12), rng.randint(0, 20)) for _ in range(300)]
+    kind = "key long, text_hash long, n long, root long"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "members"))
+    members = spark.read.schema(kind).parquet(str(tmp_path / "members"))
+    pairs = shingles._sides(members, members, 0.8)
+    assert pairs.columns == ["a", "n_a", "root_a", "b", "n_b", "root_b"]
+    near = lambda x, y: x[0] == y[0] and x[1] != y[1] and x[3] != y[3] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])
+    want = [sorted([x[1:], y[1:]]) for x in rows for y in rows if near(x, y)]
+    assert sorted(map(tuple, pairs.collect())) == sorted((*x, *y) for x, y in want)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else no code is made before the run
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        capsys.readouterr()
+        shingles._sides(members, members, 0.8).dropDuplicates(["a", "b"]).explain("codegen")
+        told = capsys.readouterr().out
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert "SortMergeJoin" in told and 0 < max(sizes) < 1500, sizes
+
+
 def test_a_pair_of_blocks_takes_a_small_multiple_of_its_shingles():
     """Blocks of few and long sets: what is laid out at once does not grow with what they share."""
     rng = np.random.default_rng(17)

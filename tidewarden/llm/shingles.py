@@ -102,11 +102,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float, parity: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """``(root_a, root_b)`` of the ``pairs`` of texts whose whole sets are similar.
 
-    Sets are read and compared only where sizes and ``parity`` leave that open.
+    Sets are read and compared only where ``parity`` leaves that open.
     """
-    near = F.least("n_a", "n_b") >= jaccard * F.greatest("n_a", "n_b") - 1e-9
-    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & near).dropDuplicates(["a", "b"])
-    told = pairs.join(parity.toDF("a", "odd_a"), "a").join(parity.toDF("b", "odd_b"), "b")
+    told = pairs.dropDuplicates(["a", "b"]).join(parity.toDF("a", "odd_a"), "a").join(parity.toDF("b", "odd_b"), "b")
     differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = stored(told.where(differ <= (1 - jaccard) / (1 + jaccard) * (F.col("n_a") + F.col("n_b")) + 1e-9).drop("odd_a", "odd_b"))
     if sets is None:
@@ -116,14 +114,18 @@ def similar_roots(docs: DataFrame, pairs: DataFrame, jaccard: float, parity: Dat
     return whole.where(both >= jaccard * (F.col("n_a") + F.col("n_b") - both) - 1e-9).select("root_a", "root_b").distinct()
 
 
-def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of two sides that share a key, with the smaller text first."""
-    both = left.toDF("key", "text", "n", "root").join(right.toDF("key", "other", "m", "far"), "key").where("text != other and root != far")
-    one, two = F.struct("text", "n", "root"), F.struct(F.col("other").alias("text"), F.col("m").alias("n"), F.col("far").alias("root"))
-    ordered = both.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
-    return ordered.select(
-        F.col("x.text").alias("a"), F.col("x.n").alias("n_a"), F.col("x.root").alias("root_a"),
-        F.col("y.text").alias("b"), F.col("y.n").alias("n_b"), F.col("y.root").alias("root_b"),
+def _sides(left: DataFrame, right: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs of two sides that share a key, are in different groups and of sizes that similar texts can have, with the smaller text first.
+
+    All filters are on the sides' own columns.  Filters on pairs in order are pushed into
+    the join, and with the order in each of them the JVM's compiler took 0.5 GB for it.
+    """
+    near = F.least("n", "m") >= jaccard * F.greatest("n", "m") - 1e-9
+    both = left.toDF("key", "text", "n", "root").join(right.toDF("key", "other", "m", "far"), "key").where("text != other and root != far").where(near)
+    of = lambda x, y, name: F.when(F.col("text") < F.col("other"), F.col(x)).otherwise(F.col(y)).alias(name)
+    return both.select(
+        of("text", "other", "a"), of("n", "m", "n_a"), of("root", "far", "root_a"),
+        of("other", "text", "b"), of("m", "n", "n_b"), of("far", "root", "root_b"),
     )
 
 
@@ -137,17 +139,17 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.select(*MEMBER).join(sizes.where("rest > 0"), "key")
 
 
-def _in_full(few: DataFrame) -> DataFrame:
-    """Pairs of each text outside its bucket's largest group with all that are in another group."""
-    return _sides(few.where("root != major").select(*MEMBER), few.select(*MEMBER))
+def _in_full(few: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs of each text outside its bucket's largest group with all of like size that are in another group."""
+    return _sides(few.where("root != major").select(*MEMBER), few.select(*MEMBER), jaccard)
 
 
-def _with_leaders(many: DataFrame) -> DataFrame:
-    """Pairs of two texts of each bucket with all of it."""
+def _with_leaders(many: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs of two texts of each bucket with all of it that are of like size."""
     by = F.struct(F.xxhash64("text_hash", F.lit(0)), "text_hash", "n", "root")
     chosen = many.groupBy("key").agg(F.array(F.min(by), F.max(by)).alias("leaders"))
     leaders = chosen.select("key", F.explode("leaders").alias("x")).select("key", "x.text_hash", "x.n", "x.root")
-    return _sides(leaders, many.select(*MEMBER))
+    return _sides(leaders, many.select(*MEMBER), jaccard)
 
 
 def _moved(members: DataFrame, step: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def merged_roots(docs: DataFrame, texts: DataFrame, jaccard: float = JACCARD) ->
     rare = stored(_mixed(_once_each(rare_shingles(hot, sets, jaccard))))
     merged, left = _merge(docs, rare, merged, jaccard, parity, sets)
     few, many = left.where(F.col("rest") <= ALL_PAIRS), left.where(F.col("rest") > ALL_PAIRS)
-    found = similar_roots(docs, _in_full(few), jaccard, parity, sets).union(linked_in_blocks(many, sets, jaccard))
+    found = similar_roots(docs, _in_full(few, jaccard), jaccard, parity, sets).union(linked_in_blocks(many, sets, jaccard))
     return stored(_carried(merged, stored(connected_components(found))))
 
 
@@ -182,7 +184,7 @@ def _merge(docs: DataFrame, members: DataFrame, merged: DataFrame | None, jaccar
     Also the members, by their roots now, of the buckets that leaders have left mixed.
     """
     many = members.where(F.col("rest") > ALL_PAIRS)
-    pairs = _in_full(members.where(F.col("rest") <= ALL_PAIRS)).union(_with_leaders(many))
+    pairs = _in_full(members.where(F.col("rest") <= ALL_PAIRS), jaccard).union(_with_leaders(many, jaccard))
     step = stored(connected_components(stored(similar_roots(docs, pairs, jaccard, parity, sets))))
     merged = step if merged is None else stored(_carried(merged, step))
     return merged, stored(_mixed(_moved(many, step)))
