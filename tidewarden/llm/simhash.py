@@ -173,7 +173,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes 84, which no later step can tell beforehand
     keys = prints.select("fp").distinct().repartition(spread).mapInArrow(run, "side byte, key long, fp long")
-    left = keys.where("side = 0").select("key", F.col("fp").alias("a"))
+    # Spark sizes the keys by the fingerprints that they are made of, 84 times too low, and would broadcast them.
+    left = keys.where("side = 0").select("key", F.col("fp").alias("a")).hint("merge")
     right = keys.where("side = 1").select("key", F.col("fp").alias("b"))
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     close = left.join(right, "key").where((F.col("a") != F.col("b")) & (differ <= MAX_BITS))
