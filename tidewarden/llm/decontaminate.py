@@ -71,8 +71,8 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it is seen to be small; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast if it is seen to be small; else it is joined by a shuffle, whatever Spark makes of exploded shingles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def contamination(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:

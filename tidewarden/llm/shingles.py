@@ -133,10 +133,13 @@ MEMBER = ("key", "text_hash", "n", "root")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one group, with ``rest``, how many are outside the largest, and ``major``, that group."""
+    """Members of the buckets that hold more than one group, with ``rest``, how many are outside the largest, and ``major``, that group.
+
+    Members may be exploded and are then more than Spark takes them for, so they are not to be broadcast.
+    """
     groups = members.groupBy("key", "root").agg(F.count("*").alias("c"))
     sizes = groups.groupBy("key").agg((F.sum("c") - F.max("c")).alias("rest"), F.max(F.struct("c", "root"))["root"].alias("major"))
-    return members.select(*MEMBER).join(sizes.where("rest > 0"), "key")
+    return members.select(*MEMBER).hint("merge").join(sizes.where("rest > 0"), "key")
 
 
 def _in_full(few: DataFrame, jaccard: float) -> DataFrame:
